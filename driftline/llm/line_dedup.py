@@ -39,7 +39,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 10,
     rows are treated alike; an empty table stays empty. If the input already has columns named ``n_lines`` or
     ``n_removed``, they are replaced.
     """
-    hidden = {n: free_name(docs.columns, n) for n in ("id_", "lines_", "at_")}
+    hidden = {n: free_name(docs.columns, n) for n in ("id_", "lines_", "at_", "acts_")}
     every = F.split(F.col(text), "\n", -1)
     site_of = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("-"))
     own = F.xxhash64(*[F.col(c) for c in docs.columns if not dict(docs.dtypes)[c].startswith(("map", "variant"))])
@@ -53,7 +53,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 10,
     kept = F.filter(hidden["lines_"], lambda x, i: ~F.array_contains(gone, i))
     lost = F.aggregate(gone, F.lit(0), lambda s, i: s + F.length(F.get(F.col(hidden["lines_"]), i)))
     acts = (F.size(gone) > 0) & (lost <= max_share * F.length(text))
-    out = joined.withColumns({hidden["id_"]: acts, "n_lines": F.coalesce(F.size(every), F.lit(0)).cast("long")}).withColumns(
-        {"n_removed": F.when(F.col(hidden["id_"]), F.size(gone)).otherwise(0).cast("long"), text: F.when(F.col(hidden["id_"]), F.array_join(kept, "\n")).otherwise(F.col(text))}
+    out = joined.withColumns({hidden["acts_"]: acts, "n_lines": F.coalesce(F.size(every), F.lit(0)).cast("long")}).withColumns(
+        {"n_removed": F.when(F.col(hidden["acts_"]), F.size(gone)).otherwise(0).cast("long"), text: F.when(F.col(hidden["acts_"]), F.array_join(kept, "\n")).otherwise(F.col(text))}
     )
     return out.drop(*hidden.values())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, line_dedup, mixing, packing, quality, secret_scan, simhash, tokens
+from . import ctph, line_dedup, mixing, near_vectors, packing, quality, secret_scan, simhash, suffix_dedup, tokens
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,7 +74,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op4_simhash, op5_line_dedup, op6_packing, op7_secrets, op8_mixing, op9_tokens, op10_fingerprints)
+    own = (op1_quality, op2_near_vectors, op3_suffix_dedup, op4_simhash, op5_line_dedup, op6_packing, op7_secrets, op8_mixing, op9_tokens, op10_fingerprints)
     return {f.__name__: f for f in own}
 
 
