@@ -74,12 +74,20 @@ class Series:
     def __and__(self, other: Any) -> Series:
         c, kind = self._other(other)
         both = isinstance(self.kind, T.BooleanType) and isinstance(kind, T.BooleanType)
-        return self._new(F.coalesce(self.column, F.lit(False)) & c if both else F.when(truthy(self.column, self.kind), c).otherwise(self.column))
+        mine, c = self._alike(c, kind)
+        return self._new(F.coalesce(mine, F.lit(False)) & c if both else F.when(self.truth(), c).otherwise(mine))
 
     def __or__(self, other: Any) -> Series:
         c, kind = self._other(other)
         both = isinstance(self.kind, T.BooleanType) and isinstance(kind, T.BooleanType)
-        return self._new(F.coalesce(self.column, F.lit(False)) | c if both else F.when(truthy(self.column, self.kind), self.column).otherwise(c))
+        mine, c = self._alike(c, kind)
+        return self._new(F.coalesce(mine, F.lit(False)) | c if both else F.when(self.truth(), mine).otherwise(c))
+
+    def _alike(self, c: Column, kind: T.DataType) -> tuple[Column, Column]:
+        """Both operands of one type: a column has one, so text and another type meet as text."""
+        if isinstance(kind, T.StringType) != isinstance(self.kind, T.StringType):
+            return self.column.cast("string"), c.cast("string")
+        return self.column, c
 
     def __invert__(self) -> Series:
         return self._new(~truthy(self.column, self.kind))

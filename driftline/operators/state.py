@@ -69,9 +69,9 @@ def plain(value: Any) -> Any:
     return value
 
 
-def each(pdf: pd.DataFrame, columns: list[str], scalar: bool) -> Iterator[tuple[Any, tuple]]:
-    """(value, reserved cells) of the rows, in replay order."""
-    pdf = pdf.sort_values(["_timestamp", "_offset"], kind="stable")
+def each(pdf: pd.DataFrame, columns: list[str], scalar: bool, by_time: bool = True) -> Iterator[tuple[Any, tuple]]:
+    """(value, reserved cells) of the rows, in replay order: by time, then arrival, or by arrival alone."""
+    pdf = pdf.sort_values(["_timestamp", "_offset"] if by_time else ["_offset"], kind="stable")
     for row in pdf.itertuples(index=False, name=None):
         cells = dict(zip(pdf.columns, map(plain, row), strict=True))
         value = cells["value"] if scalar else {c: cells[c] for c in columns}
