@@ -26,7 +26,7 @@ class KeyProcessor(StatefulProcessor):
         self.store = handle.getValueState("state", "blob binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        parts = list(rows)
+        parts = [named(pdf, self.input) for pdf in rows]
         pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
         state = pickle.loads(bytes(self.store.get()[0])) if self.store.exists() else None
         out, state = self.run(plain(key[0]), pdf, state)
@@ -40,8 +40,14 @@ class KeyProcessor(StatefulProcessor):
         pass
 
 
+def named(pdf: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """Spark hands rows over as named tuples, which lose names that begin with an underscore."""
+    return pdf.set_axis(columns, axis=1)
+
+
 def keyed(df: DataFrame, processor: StatefulProcessor, schema: T.StructType, time_mode: str = "None") -> DataFrame:
     """``df`` by ``_key`` (null keys are left out) through a processor, in append mode."""
+    processor.input = df.columns
     return df.where(F.col("_key").isNotNull()).groupBy("_key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=time_mode)
 
 
@@ -68,7 +74,7 @@ class Silence(StatefulProcessor):
         self.last = handle.getValueState("last", "at bigint, time bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(int(pdf["_timestamp"].max()) for pdf in rows)
+        newest = max(int(named(pdf, self.input)["_timestamp"].max()) for pdf in rows)
         for old in self.handle.listTimers():
             self.handle.deleteTimer(old)
         now = timerValues.getCurrentProcessingTimeInMs()
