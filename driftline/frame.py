@@ -21,7 +21,7 @@ from .functions.series import Series
 from .functions.truth import truthy
 from .operators import joins
 from .operators.aggregations import Record
-from .operators.state import State, runner
+from .operators.state import State, each, replay, stepper
 from .operators.windows import HEADERS, KEY, ORDER, TIME, Definition, to_ms
 from .plans.running import STRETCH
 
@@ -183,21 +183,21 @@ class EventFrame:
         head = [self.df.schema[c] for c in (KEY, TIME, HEADERS, ORDER)]
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*head, *fields]])
         out_columns = [f.name for f in fields]
-        run = runner(func, how, names, scalar, out_columns, metadata, stateful, expand)
+        step = stepper(func, how, out_columns, metadata, stateful, expand)
         columns = list(schema.names)
-        frame = lambda rows: pd.DataFrame(rows, columns=columns, dtype=object)
         if not stateful:
 
             def batch(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for pdf in pdfs:
-                    yield frame(run(pdf, None))
+                    rows = [r for value, head in each(pdf, names, scalar, ()) for r in step(value, head, None)]
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
 
             return self._derived(self.df.mapInPandas(batch, schema))
         if self.df.isStreaming:
             from .streaming.state import stream_state
 
-            return self._derived(stream_state(self.df, run, schema))
-        return self._derived(self.df.where(F.col(KEY).isNotNull()).groupBy(KEY).applyInPandas(lambda pdf: frame(run(pdf, State())), schema))
+            return self._derived(stream_state(self.df, step, names, scalar, schema))
+        return self._derived(replay(self.df, step, State, names, scalar, schema))
 
     def apply(self, func: Callable, returns: str | None = None, *, stateful: bool = False, expand: bool = False, metadata: bool = False) -> EventFrame:
         """Another value for each record, or with ``expand`` one for each item.

@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import to_ms
 
@@ -69,39 +72,59 @@ def plain(value: Any) -> Any:
     return value
 
 
-def each(pdf: pd.DataFrame, columns: list[str], scalar: bool, by_time: bool = True) -> Iterator[tuple[Any, tuple]]:
-    """(value, reserved cells) of the rows, in replay order: by time, then arrival, or by arrival alone."""
-    pdf = pdf.sort_values(["_timestamp", "_offset"] if by_time else ["_offset"], kind="stable")
-    for row in pdf.itertuples(index=False, name=None):
-        cells = dict(zip(pdf.columns, map(plain, row), strict=True))
-        value = cells["value"] if scalar else {c: cells[c] for c in columns}
-        yield value, tuple(cells[c] for c in ("_key", "_timestamp", "_headers", "_offset"))
-
-
-def runner(func: Callable, how: str, columns: list[str], scalar: bool, out_columns: list[str], metadata: bool, stateful: bool, expand: bool) -> Callable[[pd.DataFrame, State], list[tuple]]:
-    """Runs a user function over rows of one key (or a batch without state); gives output rows, reserved cells first."""
-
-    def call(value: Any, head: tuple, state: State) -> Any:
-        args = [value, *(head[:3] if metadata else ()), *((state,) if stateful else ())]
-        return func(*args)
-
-    def run(pdf: pd.DataFrame, state: State) -> list[tuple]:
-        out = []
-        for value, head in each(pdf, columns, scalar):
-            if stateful:
-                if head[0] is None:
-                    continue
-                state.advance(head[1])
-            got = call(value, head, state)
-            if how == "filter":
-                results = [value] if got else []
-            elif how == "update":
-                results = [value]
-            else:
-                results = list(got) if expand else [got]
-            for r in results:
-                cells = [r.get(c) if isinstance(r, dict) else None for c in out_columns] if out_columns != ["value"] else [r]
-                out.append((*head, *cells))
-        return out
-
-    return run
+def each(pdf: pd.DataFrame, columns: list[str], scalar: bool, order: tuple[str, ...] = ("_timestamp", "_offset")) -> Iterator[tuple[Any, tuple]]:
+    """(value, reserved cells) of the rows, by ``order`` (none: as they come)."""
+    if order:
+        pdf = pdf.sort_values(list(order), kind="stable")
+    lists = {c: [plain(x) for x in pdf[c].tolist()] for c in pdf.columns}
+    heads = zip(*(lists[c] for c in ("_key", "_timestamp", "_headers", "_offset")), strict=True)
+    if scalar:
+        yield from zip(lists["value"], heads, strict=True)
+    else:
+        for cells, head in zip(zip(*(lists[c] for c in columns), strict=True), heads, strict=True):
+            yield dict(zip(columns, cells, strict=True)), head
+
+
+Step = Callable[[Any, tuple, Any], list[tuple]]
+
+
+def stepper(func: Callable, how: str, out_columns: list[str], metadata: bool, stateful: bool, expand: bool) -> Step:
+    """Runs a user function on a record: (value, reserved cells, state) to output rows, reserved cells first."""
+
+    def step(value: Any, head: tuple, state: State) -> list[tuple]:
+        if stateful:
+            state.advance(head[1])
+        got = func(value, *(head[:3] if metadata else ()), *((state,) if stateful else ()))
+        if how == "filter":
+            results = [value] if got else []
+        elif how == "update":
+            results = [value]
+        else:
+            results = got if expand else [got]
+        if out_columns == ["value"]:
+            return [(*head, r) for r in results]
+        return [(*head, *(r.get(c) if isinstance(r, dict) else None for c in out_columns)) for r in results]
+
+    return step
+
+
+def replay(df: DataFrame, step: Step, fresh: Callable[[], Any], columns: list[str], scalar: bool, schema: T.StructType, order: tuple[str, ...] = ("_timestamp", "_offset")) -> DataFrame:
+    """Records of each key in order through ``step``, with a state that ``fresh`` makes for each key.
+
+    Rows are dealt and sorted by Spark and pass by in batches, so a key of any length needs the memory of its state
+    only; records without a key are left out.
+    """
+    names = list(schema.names)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in pdfs:
+            out: list[tuple] = []
+            for value, head in each(pdf, columns, scalar, ()):
+                if state is None or head[0] != last:
+                    last, state = head[0], fresh()
+                out += step(value, head, state)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    dealt = df.where(F.col("_key").isNotNull()).repartition("_key").sortWithinPartitions("_key", *order)
+    return dealt.mapInPandas(run, schema)

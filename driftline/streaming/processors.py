@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.state import State, plain
+from ..operators.state import State, each, plain
 
 
 class KeyProcessor(StatefulProcessor):
@@ -54,13 +54,13 @@ def keyed(df: DataFrame, processor: StatefulProcessor, schema: T.StructType, tim
 class UserState(KeyProcessor):
     """User functions with keyed state; see ``operators.state``."""
 
-    def __init__(self, function: Any, columns: list[str]):
+    def __init__(self, step: Any, names: list[str], scalar: bool, columns: list[str]):
         super().__init__(columns)
-        self.function = function
+        self.step, self.names, self.scalar = step, names, scalar
 
     def run(self, key: Any, pdf: pd.DataFrame, state: Any) -> tuple[list[tuple], Any]:
         values = State.load(state)
-        return self.function(pdf, values), values.dump()
+        return [r for value, head in each(pdf, self.names, self.scalar) for r in self.step(value, head, values)], values.dump()
 
 
 class Silence(StatefulProcessor):

@@ -10,5 +10,5 @@ from pyspark.sql import types as T
 from .processors import UserState, keyed
 
 
-def stream_state(df: DataFrame, function: Any, schema: T.StructType) -> DataFrame:
-    return keyed(df, UserState(function, list(schema.names)), schema)
+def stream_state(df: DataFrame, step: Any, names: list[str], scalar: bool, schema: T.StructType) -> DataFrame:
+    return keyed(df, UserState(step, names, scalar, list(schema.names)), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import aggregations as A
-from ..operators.state import each
+from ..operators.state import each, replay
 from ..operators.windows import HEADERS, KEY, ORDER, TIME, Definition
 from .engine import Engine
 from .processors import KeyProcessor, keyed
@@ -33,14 +33,16 @@ def _schema(d: Definition, named: dict[str, A.BaseAggregator], columns: list[str
     return T.StructType([T.StructField(f.name, f.dataType) for f in [*head, *(again[c] for c in columns)]])
 
 
-def _rows(engine: Engine, state: dict, pdf: pd.DataFrame, names: list[str], scalar: bool, columns: list[str]) -> list[tuple]:
-    out = []
-    # arrival order is the replay's order here
-    for value, (key, time, headers, order) in each(pdf, names, scalar, by_time=False):
+def _step(engine: Engine, columns: list[str]) -> Any:
+    def step(value: Any, head: tuple, state: dict) -> list[tuple]:
+        key, time, headers, order = head
+        out = []
         for start, end, results in engine.process(state, value, key, time, headers, order):
             cells = results | {"start": start, "end": end}
             out.append((key, start, None, order, *(cells[c] for c in columns)))
-    return out
+        return out
+
+    return step
 
 
 class WindowProcessor(KeyProcessor):
@@ -50,7 +52,8 @@ class WindowProcessor(KeyProcessor):
 
     def run(self, key: Any, pdf: pd.DataFrame, state: Any) -> tuple[list[tuple], Any]:
         state = state or self.engine.fresh()
-        return _rows(self.engine, state, pdf, self.names, self.scalar, self.own), state
+        step = _step(self.engine, self.own)
+        return [r for value, head in each(pdf, self.names, self.scalar, (ORDER,)) for r in step(value, head, state)], state
 
 
 def stream_windows(d: Definition, named: dict[str, A.BaseAggregator], closing: str, current: bool, columns: list[str]) -> DataFrame:
@@ -76,9 +79,5 @@ def _native(d: Definition, named: dict[str, A.BaseAggregator], current: bool, co
 def replay_windows(d: Definition, named: dict[str, A.BaseAggregator], current: bool, columns: list[str]) -> DataFrame:
     """Batch windows with triggers: a replay of each key, as triggers depend on all that came before."""
     schema, frame = _schema(d, named, columns), d.frame
-    engine, names, scalar = _engine(d, named, current, columns), frame.value_columns, frame.scalar
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(engine, engine.fresh(), pdf, names, scalar, columns), columns=list(schema.names), dtype=object)
-
-    return frame.df.where(F.col(KEY).isNotNull()).groupBy(KEY).applyInPandas(run, schema)
+    engine = _engine(d, named, current, columns)
+    return replay(frame.df, _step(engine, columns), engine.fresh, frame.value_columns, frame.scalar, schema, (ORDER,))
