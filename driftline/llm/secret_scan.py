@@ -84,13 +84,14 @@ def linked(weak: list[Span], base: list[Span], scope: int) -> list[Span]:
         return []
     parts = sorted([*weak, *base])
     near: dict[Span, set[str]] = {s: set() for s in parts}
-    # nearest earlier end and nearest later start of each role decide whether the role is in scope
-    for line, edge in ((parts, 1), (sorted(parts, key=lambda s: -s.end), -1)):
-        last: dict[str, int] = {}
-        for s in line:
-            at = s.start if edge == 1 else -s.end
-            near[s] |= {r for r, e in last.items() if at - e <= scope}
-            last[s.role] = max(last.get(s.role, -(1 << 62)), s.end if edge == 1 else -s.start)
+    last: dict[str, int] = {}  # by role: the furthest end of the parts that begin before
+    for s in parts:
+        near[s] |= {r for r, end in last.items() if s.start - end <= scope}
+        last[s.role] = max(last.get(s.role, s.end), s.end)
+    first: dict[str, int] = {}  # by role: the nearest start of the parts that begin after
+    for s in reversed(parts):
+        near[s] |= {r for r, start in first.items() if start - s.end <= scope}
+        first[s.role] = s.start
     needs = {"identifier": ({"secret"},), "secret": ({"identifier"}, {"endpoint"}), "endpoint": ({"identifier", "secret"},)}
     return [s for s in weak if any(n <= near[s] for n in needs[s.role])]
 
