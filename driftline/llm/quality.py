@@ -139,7 +139,7 @@ def fit(train: DataFrame, count: int = 256, ridge: float = 1e-2, width: float =
     features = Features(mean, scale, count, width)
     rate = moments[0]["rate"] if moments else 0.5
     m = count + d + 1
-    if not 0 < rate < 1:
+    if not moments or not 0 < rate < 1:
         return Model(features, np.zeros(m), np.array([0.0, 1.0]), np.array([rate, rate]))
     size = FOLDS * (m * m + m)
 
