@@ -9,6 +9,8 @@ allowed), so that sequences come out full.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -23,39 +25,67 @@ from pyspark.sql import functions as F
 from .common import free_name, map_arrow
 
 DEFAULT, END = "word_bpe_49k.json", 2
-_KEEP, _LONG = 400_000, 256
+#: One run of letters whose lower case is one code point each, and marks that are one piece after it.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+_KEEP = 700_000
 
 
 class WordTokenizer:
-    """Ids of whole texts, for tokenizers whose tokens never cross a space or a line feed; known words are looked up."""
+    """Ids of whole texts, for lower-casing BPE tokenizers whose tokens never cross white space.
+
+    Words are looked up; a new one is its run of letters, in lower case, and the marks after it, and the runs that
+    are new are encoded together (each run is one piece for the tokenizer and ends in its one word-end token).
+    Words of any other make are encoded as they are.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """Words of each text; after this all of them are known."""
-        split = [[w for line in t.split("\n") for w in line.split(" ")] for t in texts]
-        new = list({w for words in split for w in words}.difference(self.known))
-        if len(self.known) + len(new) > _KEEP:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.inner.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
-        return split
+        vocab = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 20_000):
+            for e in self.inner.encode_batch(words[at : at + 20_000], add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4").tobytes()
+
+    def _encode_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 20_000):
+            part = runs[at : at + 20_000]
+            ids = np.array(self.inner.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                self.runs.update(zip(part, self._encode(part), strict=True))
+                continue
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.runs.update(zip(part, (data[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [(w, m) for w, m in zip(new, map(_WORD.match, new), strict=True) if m]
+        if len(self.runs) > _KEEP:
+            self.runs.clear()
+        self._encode_runs(list({m[1].lower() for _, m in plain}.difference(self.runs)))
+        marks = list({m[2] for _, m in plain})
+        tails = dict(zip(marks, self._encode(marks), strict=True))
+        self.known.update((w, self.runs[m[1].lower()] + tails[m[2]]) for w, m in plain)
+        other = list(set(new).difference(self.known))
+        self.known.update(zip(other, self._encode(other), strict=True))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known, out = self.known, []
-        for words in self.words(texts):
-            flat: list[int] = []
-            for w in map(known.__getitem__, words):
-                flat += w
-            out.append(np.array(flat, dtype="<u4"))
-        return out
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > _KEEP:
+                self.known.clear()
+                new = set().union(*split)
+            self._learn(list(new))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in split]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
