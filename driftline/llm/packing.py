@@ -133,7 +133,7 @@ class Packer:
             raise ValueError("limits are positive")
         self.limit = np.array([tokens, segments, loss], dtype=float)
         self.window, self.may_cut, self.choices = window, cut, choices
-        self.waiting: list[deque[Piece]] = [deque() for _ in range(tokens.bit_length() + 1)]
+        self.waiting: list[deque[Piece]] = [deque() for _ in range(64)]  # by bit length
         self.held = 0
         self.open: list[Piece] = []
         self.left = self.limit.copy()
