@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, map_arrow
+from .tokens import byte_letters
 
 DEFAULT, END = "word_bpe_49k.json", 2
 #: One run of letters whose lower case is one code point each, and marks that are one piece after it.
@@ -33,9 +34,9 @@ _KEEP = 700_000
 class WordTokenizer:
     """Ids of whole texts, for lower-casing BPE tokenizers whose tokens never cross white space.
 
-    Words are looked up; a new one is its run of letters, in lower case, and the marks after it, and the runs that
-    are new are encoded together (each run is one piece for the tokenizer and ends in its one word-end token).
-    Words of any other make are encoded as they are.
+    Words are looked up; a new one is its run of letters, in lower case, and the marks after it. A run is one piece
+    for the tokenizer, so its model is asked directly; that this holds is tried on some words at first. Words of any
+    other make are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -43,33 +44,28 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        vocab = self.inner.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.inner.model.tokenize
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        tried = ["The", "Straße", "déjà", "ÜBERÿ", "x"]
+        self.direct = all(self._run(w.lower()) == e for w, e in zip(tried, self._encode(tried), strict=True))
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 20_000):
             for e in self.inner.encode_batch(words[at : at + 20_000], add_special_tokens=False):
                 yield np.array(e.ids, dtype="<u4").tobytes()
 
-    def _encode_runs(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 20_000):
-            part = runs[at : at + 20_000]
-            ids = np.array(self.inner.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                self.runs.update(zip(part, self._encode(part), strict=True))
-                continue
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.runs.update(zip(part, (data[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+    def _run(self, run: str) -> bytes:
+        """Ids of a lower-case run of letters."""
+        shown = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+        return np.array([t.id for t in self.model(shown)], dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        plain = [(w, m) for w, m in zip(new, map(_WORD.match, new), strict=True) if m]
+        plain = [(w, m) for w, m in zip(new, map(_WORD.match, new), strict=True) if m] if self.direct else []
         if len(self.runs) > _KEEP:
             self.runs.clear()
-        self._encode_runs(list({m[1].lower() for _, m in plain}.difference(self.runs)))
+        self.runs.update((r, self._run(r)) for r in {m[1].lower() for _, m in plain}.difference(self.runs))
         marks = list({m[2] for _, m in plain})
         tails = dict(zip(marks, self._encode(marks), strict=True))
         self.known.update((w, self.runs[m[1].lower()] + tails[m[2]]) for w, m in plain)
