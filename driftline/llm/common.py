@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -47,11 +48,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again, so that later readers prune columns."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that no name holds any more (their results are written)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _forget() -> None:
     for spark, path in _written:

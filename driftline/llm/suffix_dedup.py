@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, stored
+from .common import free_name, map_arrow, stored, tidy
 from .induced import Scratch, buckets
 
 GRAM = 16
@@ -100,9 +100,23 @@ def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str =
     """Per distinct row: ``row`` (its hash) and ``spans``, intervals (start, end) of windows that repeat.
 
     A window repeats if its bytes also start in a row of a smaller key. Null texts are empty, null keys come last.
+    The shuffle files of a step go once its result is written.
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).withColumn("row", F.xxhash64("id", "data"))
+    runs = _segments(slim, length)
+    tidy(spark)
+    unique = stored(runs.groupBy("name", "hash", "segment").agg(F.min("id").alias("least")), "unique")
+    tidy(spark)
+    earlier = stored(_earlier(unique, length, shard, budget), "earlier")
+    tidy(spark)
+    out = stored(_spans(runs, unique, earlier), "spans")
+    tidy(spark)
+    return out
+
+
+def _segments(slim: DataFrame, length: int) -> DataFrame:
+    """Segments whose name occurs in two rows or more: ``row, id, start, windows, name, hash, segment``."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +186,11 @@ def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
     with_names = slim.join(of_row, "row").select("row", "id", "data", "names")
-    runs = stored(map_arrow(with_names, cut, "row long, id long, start long, windows long, name long, hash long, segment binary"), "segments")
-    _tidy(spark)
-    unique = stored(runs.groupBy("name", "hash", "segment").agg(F.min("id").alias("least")), "unique")
+    return stored(map_arrow(with_names, cut, "row long, id long, start long, windows long, name long, hash long, segment binary"), "segments")
+
+
+def _earlier(unique: DataFrame, length: int, shard: int, budget: int) -> DataFrame:
+    """Windows of segments that a smaller document has: ``name, hash, offset, windows, first``."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, int]] = []
@@ -201,21 +217,17 @@ def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str =
             yield done()
 
     sorted_ = unique.select("name", "hash", "segment", "least").repartition("name").sortWithinPartitions("name", "hash", "segment")
-    earlier = map_arrow(sorted_, sort, "name long, hash long, offset long, windows long, first long")
+    return map_arrow(sorted_, sort, "name long, hash long, offset long, windows long, first long")
+
+
+def _spans(runs: DataFrame, unique: DataFrame, earlier: DataFrame) -> DataFrame:
     parts = earlier.groupBy("name", "hash").agg(F.collect_list(F.struct("offset", "windows", "first")).alias("parts"))
     facts = unique.groupBy("name", "hash").agg(F.min("least").alias("least")).join(parts, ["name", "hash"], "left")
     at = F.col("start")
     mine = F.transform(F.filter("parts", lambda p: p["first"] < F.col("id")), lambda p: F.struct((at + p["offset"]).alias("start"), (at + p["offset"] + p["windows"]).alias("end")))
     spans = F.when(F.col("least") < F.col("id"), F.array(F.struct(at.alias("start"), (at + F.col("windows")).alias("end")))).otherwise(F.coalesce(mine, F.array().cast("array<struct<start:bigint,end:bigint>>")))
     found = runs.select("row", "id", "start", "windows", "name", "hash").join(facts, ["name", "hash"]).select("row", spans.alias("spans")).where(F.size("spans") > 0)
-    out = stored(found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    _tidy(spark)
-    return out
-
-
-def _tidy(spark) -> None:
-    """Lets Spark drop the shuffle files of what has been written."""
-    spark.sparkContext._jvm.System.gc()
+    return found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = True, shard: int = 6 << 20) -> DataFrame:
