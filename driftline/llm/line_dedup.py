@@ -29,17 +29,19 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 10) -> DataFrame:
     return sure.unionAll(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 10, max_share: float = 0.5, site: str = "source", text: str = "text", lg_k: int = 10) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 10, max_share: float | None = 0.5, site: str = "source", text: str = "text", lg_k: int = 10) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``, and ``n_lines``, ``n_removed`` added.
 
     A line of at least ``min_chars`` code points that occurs on ``min_sites`` or more sites is boilerplate. A
     document more than ``max_share`` of whose characters would go is a copy of another rather than a page with
-    boilerplate, and stays as it is (near-duplicate removal's business). A null site is a site of its own; null
+    boilerplate, and stays as it is (near-duplicate removal's business). With ``max_share=None`` lines go whatever
+    their share, and a document stays whole only if nothing but blank lines would be left and another row has the
+    very same text. A null site is a site of its own; null
     texts stay null with 0 lines, an empty text is one empty line; lines repeated in a document all go; repeated
     rows are treated alike; an empty table stays empty. If the input already has columns named ``n_lines`` or
     ``n_removed``, they are replaced.
     """
-    hidden = {n: free_name(docs.columns, n) for n in ("id_", "lines_", "at_", "acts_")}
+    hidden = {n: free_name(docs.columns, n) for n in ("id_", "lines_", "at_", "acts_", "same_")}
     every = F.split(F.col(text), "\n", -1)
     site_of = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("-"))
     own = F.xxhash64(*[F.col(c) for c in docs.columns if not dict(docs.dtypes)[c].startswith(("map", "variant"))])
@@ -48,11 +50,19 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 10,
     lines = rows.select(F.explode(F.array_distinct(F.array_compact("lines"))).alias("line"), "site")
     bad = checkpointed(boilerplate(lines, min_sites, lg_k))
     at = rows.select("id_", F.posexplode("lines").alias("pos", "line")).join(bad, "line").groupBy("id_").agg(F.collect_set("pos").alias(hidden["at_"]))
+    if max_share is None:
+        whole = docs.where(F.col(text).isNotNull()).select(own.alias("id_"), F.xxhash64(text).alias("whole")).join(at.select("id_"), "id_", "left_semi")
+        twice = whole.groupBy("whole").count().where("count > 1").select("whole")
+        same = whole.join(twice, "whole").select("id_").distinct().withColumn(hidden["same_"], F.lit(True))
+        at = at.join(same, "id_", "left")
     joined = docs.withColumn(hidden["id_"], own).join(at.withColumnRenamed("id_", hidden["id_"]), hidden["id_"], "left").withColumn(hidden["lines_"], every)
     gone = F.coalesce(F.col(hidden["at_"]), F.array().cast("array<int>"))
     kept = F.filter(hidden["lines_"], lambda x, i: ~F.array_contains(gone, i))
     lost = F.aggregate(gone, F.lit(0), lambda s, i: s + F.length(F.get(F.col(hidden["lines_"]), i)))
-    acts = (F.size(gone) > 0) & (lost <= max_share * F.length(text))
+    if max_share is None:
+        acts = (F.size(gone) > 0) & (F.exists(kept, lambda x: line_key(x) != "") | F.col(hidden["same_"]).isNull())
+    else:
+        acts = (F.size(gone) > 0) & (lost <= max_share * F.length(text))
     out = joined.withColumns({hidden["acts_"]: acts, "n_lines": F.coalesce(F.size(every), F.lit(0)).cast("long")}).withColumns(
         {"n_removed": F.when(F.col(hidden["acts_"]), F.size(gone)).otherwise(0).cast("long"), text: F.when(F.col(hidden["acts_"]), F.array_join(kept, "\n")).otherwise(F.col(text))}
     )
