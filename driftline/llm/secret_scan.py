@@ -29,7 +29,7 @@ WEAK = ("identifier", "secret", "endpoint")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAMED = re.compile(r"""(?:user(?:name)?|login|client_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.ASCII | re.IGNORECASE)
 _NAMES = ("user", "login", "clientid", "client_id", "accountid", "account_id", "accesskey", "access_key")
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{24,64}={0,2}(?![A-Za-z0-9+/_=-])")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|\b(?:[a-z0-9-]+\.)+[a-z]{2,6}:[0-9]{2,5}\b", re.ASCII)
 
 
