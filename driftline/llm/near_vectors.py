@@ -46,11 +46,12 @@ def candidates(one: np.ndarray, other: np.ndarray, threshold: float, same: bool)
     """Index pairs that reach the count, by tiles of ``one``; of one block with itself, each pair once."""
     half, misses, first = calibration(one.shape[1], threshold)
     m = one.shape[1]
-    low, high, rank = (np.empty((m, len(x)), dtype=np.uint16) for x in (one, one, other))
+    kind = np.uint16 if len(other) < 1 << 16 else np.uint32  # ties on the lead can make a block larger than asked
+    low, high, rank = (np.empty((m, len(x)), dtype=kind) for x in (one, one, other))
     for j in range(m):
         order = np.argsort(other[:, j], kind="stable")
         line = other[order, j]
-        rank[j, order] = np.arange(len(order), dtype=np.uint16)
+        rank[j, order] = np.arange(len(order), dtype=kind)
         low[j] = np.searchsorted(line, one[:, j] - half, "left")
         high[j] = np.searchsorted(line, one[:, j] + half, "right")
     # all pairs are counted in ranks of one byte, with windows widened to match; what is left in exact ranks
