@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -33,32 +34,42 @@ def shared_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(where)
         return where
     if not (where := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         where = f"file://{tempfile.mkdtemp(prefix='driftline-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+@contextmanager
+def _without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run here go when it has ended: its result is written, and nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: lineage ends here and a lost executor loses nothing."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with _without_leftovers(df.sparkSession):
+        return df.checkpoint()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again, so that later readers prune columns."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _without_leftovers(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that no name holds any more (their results are written)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @atexit.register
 def _forget() -> None:
     for spark, path in _written:
@@ -88,6 +99,19 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The key as a long; keys of other types have no order or number that the operator could use."""
+    kind = df.select(column(key)).schema[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{key} is {kind.simpleString()}; an integer key is needed")
+    return column(key).cast("long")
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores before it until no column of the input has it."""
     low = {x.lower() for x in taken}

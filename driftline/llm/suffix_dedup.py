@@ -1,10 +1,15 @@
 """Repeated byte strings across documents (operator 3), by external induced sorting of suffixes.
 
 Text is dealt to shards so that equal strings meet: each window of ``length`` bytes is named by the least hash of its
-16-byte strings, and neighbouring windows of one name form a segment. Names that occur in one row alone are set
-aside, the segments of the others are collected by name, and every shard of them is suffix-sorted with common
+16-byte strings, and neighbouring windows of one name form a segment. Names that occur in one document alone are set
+aside; the distinct segments of the others are collected by name, and every shard of them is suffix-sorted with common
 prefixes (``induced``). Suffixes that share ``length`` bytes are neighbours there; the least document among them
 decides for all. Names depend on the windows' bytes only, so nothing is lost between shards.
+
+What is frequent is put together before it moves: documents go in chunks, a chunk sends a name once and a segment once,
+with its least and greatest document, and gets one answer for it, which meets the chunk's own list of occurrences. So
+a passage in a third of all documents is as many rows in one task as there are chunks. Segments of a name that has very
+many distinct ones are named again by 44-byte strings, and dealt by those.
 """
 
 from __future__ import annotations
@@ -17,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, stored, tidy
-from .induced import Scratch, buckets
+from .common import column, integer_key, map_arrow, stored
+from .induced import CHUNK, Scratch, suffixes
 
-GRAM = 16
+GRAM, LONG_GRAM = 16, 44
 LAST = (1 << 63) - 1
 _BLOCK = 1 << 21
+_NAMES, _BYTES = 500_000, 8 << 20
+_FACTORS = np.random.default_rng(50).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def window_names(data: bytes, length: int) -> np.ndarray:
-    """For each window of ``length`` bytes, the least hash of the 16-byte strings in it."""
+def window_names(data: bytes, length: int, gram: int = GRAM) -> np.ndarray:
+    """For each window of ``length`` bytes, the least hash of the strings of ``gram`` bytes in it."""
     if len(data) < length:
         return np.empty(0, dtype=np.uint64)
     parts = []
@@ -34,12 +41,15 @@ def window_names(data: bytes, length: int) -> np.ndarray:
         block = data[at : at + _BLOCK + length - 1]
         a = np.frombuffer(block + b"\0" * 8, np.uint8)
         words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(a, (len(block) + 1, 8), (1, 1))).view("<u8").ravel()
-        m = len(block) - GRAM + 1
-        h = (words[:m] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F))
+        m = len(block) - gram + 1
+        h = np.zeros(m, dtype=np.uint64)
+        for k, j in enumerate([*range(0, gram - 8, 8), gram - 8]):
+            h ^= words[j : j + m] * _FACTORS[k]
+            h = (h << np.uint64(23)) | (h >> np.uint64(41))
         h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h *= _FACTORS[-1]
         h ^= h >> np.uint64(32)
-        width, span = 1, length - GRAM + 1
+        width, span = 1, length - gram + 1
         while 2 * width <= span:
             h = np.minimum(h[:-width], h[width:])
             width *= 2
@@ -48,225 +58,414 @@ def window_names(data: bytes, length: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _runs(names: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.empty(0, dtype=np.int64)
-
-
-def shard_repeats(segments: list[bytes], least: np.ndarray, length: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that also occur in a segment of a smaller document: segment number, offset, smallest document."""
-    sizes = np.array([len(s) for s in segments], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8) + np.uint8(2)  # separators, of value 1
-    text = np.append(text, np.uint8(0))
-    where: list[np.ndarray] = []
-    docs: list[np.ndarray] = []
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def close() -> None:
-        places = np.concatenate([p for p, _ in held])
-        group = np.cumsum(np.concatenate([c for _, c in held]) < length)
-        segment = np.searchsorted(starts, places, "right") - 1
-        offset = places - starts[segment]
-        whole = offset + length <= sizes[segment]
-        segment, offset, group = segment[whole], offset[whole], group[whole]
-        held.clear()
-        if not len(segment):
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns changes, the first place included."""
+    if not len(columns[0]):
+        return np.empty(0, dtype=np.int64)
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[0] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+class Shard:
+    """Distinct segments collected for one sort, and what is known of them; all in scratch, whatever their number."""
+
+    def __init__(self, length: int, budget: int):
+        self.length, self.scratch = length, Scratch(budget)
+        self.text, self.lists, self.rows = [], [], []  # blocks
+        self.new: list[tuple[bytes, int, int]] = []
+        self.new_rows: list[tuple[int, ...]] = []
+        self.size = self.held = self.n = self.n_rows = 0
+
+    def add(self, segment: bytes, least: int, alone: bool) -> None:
+        """The next segment; one that is alone with its name needs no sorting, so its text is left out."""
+        self.new.append((b"" if alone else segment, least, len(segment) - self.length + 1))
+        size = 1 if alone else len(segment) + 1
+        self.size, self.held, self.n = self.size + size, self.held + size, self.n + 1
+        if self.held > 1 << 20:
+            self._gather()
+
+    def row(self, segment: int, *facts: int) -> None:
+        """A chunk that has the segment: chunk, at, base, most. Rows come by number of segment."""
+        self.new_rows.append((segment, *facts))
+        self.n_rows += 1
+        if len(self.new_rows) >= 1 << 15:
+            self._gather_rows()
+
+    def _gather(self) -> None:
+        if self.new:
+            self.text.append(self.scratch.put(np.frombuffer(b"\xff".join([s for s, _, _ in self.new]) + b"\xff", dtype=np.uint8)))
+            self.lists.append(self.scratch.put(np.array([(len(s), least, n) for s, least, n in self.new], dtype=np.int64).ravel()))
+            self.new, self.held = [], 0
+
+    def _gather_rows(self) -> None:
+        if self.new_rows:
+            self.rows.append(self.scratch.put(np.array(self.new_rows, dtype=np.int64).ravel()))
+            self.new_rows = []
+
+    def _line(self, blocks: list, width: int, total: int) -> np.ndarray:
+        out, at = self.scratch.array(width * total, np.int64), 0
+        for kept in blocks:
+            part = self.scratch.get(kept)
+            out[at : at + len(part)] = part
+            at += len(part)
+            self.scratch.free(kept)
+        blocks.clear()
+        return out.reshape(total, width)
+
+    def answers(self) -> Iterator[list[np.ndarray]]:
+        """Windows that a smaller document has, for each chunk with some: chunk, at, offset, windows, document."""
+        self._gather()
+        self._gather_rows()
+        facts, rows = self._line(self.lists, 3, self.n), self._line(self.rows, 5, self.n_rows)
+        for a in range(0, self.n_rows, CHUNK // 4):
+            own = rows[a : a + CHUNK // 4]
+            own = own[own[:, 4] > facts[own[:, 0], 1]]
+            if len(own):  # the segment as a whole
+                yield [own[:, 1], own[:, 2], own[:, 3], facts[own[:, 0], 2], facts[own[:, 0], 1]]
+        if self.size == self.n:
             return
-        heads = np.concatenate([[True], group[1:] != group[:-1]])
-        first = np.minimum.reduceat(least[segment], np.flatnonzero(heads))[np.cumsum(heads) - 1]
-        later = first < least[segment]
-        where.append(np.stack([segment[later], offset[later]]))
-        docs.append(first[later])
-
-    for places, common in buckets(text, length, scratch, depth=length + GRAM):
-        new = np.flatnonzero(common < length)
-        if held and len(new):  # what came before the last group's head is complete
-            cut = int(new[-1])
-            held.append((places[:cut], common[:cut]))
-            if sum(len(p) for p, _ in held) > 1 << 18:
-                close()
-            places, common = places[cut:], common[cut:]
-        held.append((places, common))
-    if held:
-        close()
-    if not where:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, none
-    at = np.concatenate(where, axis=1)
-    return at[0], at[1], np.concatenate(docs)
-
-
-def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", shard: int = 6 << 20, budget: int = 192 << 20) -> DataFrame:
-    """Per distinct row: ``row`` (its hash) and ``spans``, intervals (start, end) of windows that repeat.
+        of = np.asarray(rows[:, 0])
+        for segment, offset, windows, first in self.repeats(facts[:, 0], facts[:, 1]):
+            low = np.searchsorted(of, segment, "left")
+            n = np.searchsorted(of, segment, "right") - low
+            ends = np.cumsum(n)
+            for a in range(0, int(ends[-1]), CHUNK // 4):  # a segment may be in very many chunks
+                k = np.arange(a, min(int(ends[-1]), a + CHUNK // 4))
+                which = np.searchsorted(ends, k, "right")
+                own = rows[low[which] + k - (ends[which] - n[which])]
+                good = own[:, 4] > first[which]
+                own, which = own[good], which[good]
+                if len(own):
+                    yield [own[:, 1], own[:, 2], own[:, 3] + offset[which], windows[which], first[which]]
+
+    def repeats(self, sizes: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of windows that also occur in a segment of a smaller document, by segment: number, offset, windows, document."""
+        scratch, length = self.scratch, self.length
+        text = scratch.array(self.size + 1, np.uint8)
+        at = 0
+        for kept in self.text:
+            part = scratch.get(kept)
+            text[at : at + len(part)] = part + np.uint8(2)  # bytes FE and FF are not in UTF-8; separators become 1
+            at += len(part)
+            scratch.free(kept)
+        ends = np.cumsum(sizes + 1)
+        starts = ends - sizes - 1
+        first = scratch.array(self.size + 1, np.uint32)  # by place: the segment whose document decides, and 1
+        by_least = np.argsort(least, kind="stable")
+        rank = np.empty(self.n, dtype=np.int64)
+        rank[by_least] = np.arange(self.n)
+        held: list = []
+
+        def close() -> None:
+            """The groups held: places that share ``length`` bytes, each from a head on."""
+            def of(kept, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                places, common = (scratch.get(x) for x in kept)
+                own = np.cumsum(common < length) + group
+                segment = np.minimum(np.searchsorted(ends, places, "right"), self.n - 1)
+                whole = places - starts[segment] + length <= sizes[segment]
+                return own[whole], segment[whole], places[whole], int(own[-1])
+
+            best, group = np.empty(0, dtype=np.int64), -1
+            for kept in held:
+                own, segment, _, group = of(kept, group)
+                best = np.concatenate([best, np.full(group + 1 - len(best), self.n)])
+                np.minimum.at(best, own, rank[segment])
+            group = -1
+            for kept in held:
+                own, segment, places, group = of(kept, group)
+                winner = by_least[best[own]]
+                later = least[winner] < least[segment]
+                first[places[later]] = winner[later] + 1
+                for x in kept:
+                    scratch.free(x)
+            held.clear()
+
+        waiting = 0
+        for places, common in suffixes(text, length, scratch):
+            new = np.flatnonzero(common < length)
+            if held and len(new):  # what came before the last group's head is complete
+                cut = int(new[-1])
+                if waiting + cut > CHUNK // 2:
+                    if cut:
+                        held.append((scratch.put(places[:cut]), scratch.put(common[:cut])))
+                    close()
+                    waiting, places, common = 0, places[cut:], common[cut:]
+            held.append((scratch.put(places), scratch.put(common)))
+            waiting += len(places)
+        if held:
+            close()
+        for a in range(0, self.size, CHUNK):
+            place = np.flatnonzero(first[a : a + CHUNK]) + a
+            if len(place):
+                won = first[place].astype(np.int64) - 1
+                segment = np.searchsorted(ends, place, "right")
+                heads = _heads(segment, place - np.arange(len(place)), won)
+                yield segment[heads], place[heads] - starts[segment[heads]], np.diff(np.append(heads, len(place))), least[won[heads]]
 
-    A window repeats if its bytes also start in a row of a smaller key. Null texts are empty, null keys come last.
-    The shuffle files of a step go once its result is written.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).withColumn("row", F.xxhash64("id", "data"))
-    runs = _segments(slim, length)
-    tidy(spark)
-    unique = stored(runs.groupBy("name", "hash", "segment").agg(F.min("id").alias("least")), "unique")
-    tidy(spark)
-    earlier = stored(_earlier(unique, length, shard, budget), "earlier")
-    tidy(spark)
-    out = stored(_spans(runs, unique, earlier), "spans")
-    tidy(spark)
-    return out
-
-
-def _segments(slim: DataFrame, length: int) -> DataFrame:
-    """Segments whose name occurs in two rows or more: ``row, id, start, windows, name, hash, segment``."""
+
+def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+
+def _shared_names(slim: DataFrame, length: int) -> DataFrame:
+    """Per ``tag`` (document) the names of its windows that occur in two documents or more: ``tag, names``."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[np.ndarray] = []
+        tags: list[np.ndarray] = []
+
+        def chunk() -> pa.RecordBatch:
+            """Names of one document here are sent (state 0); others once (1), their documents being sure (2)."""
+            n, t = np.concatenate(names).view(np.int64), np.concatenate(tags)
+            order = np.lexsort((t, n))
+            n, t = n[order], t[order]
+            heads = _heads(n)
+            counts = np.diff(np.append(heads, len(n)))
+            several = t[heads] != t[heads + counts - 1]
+            sure = np.repeat(several, counts)
+            state = np.concatenate([several, np.full(int(sure.sum()), 2)]).astype(np.int8)
+            names.clear()
+            tags.clear()
+            return _batch([np.concatenate([n[heads], n[sure]]), np.concatenate([t[heads], t[sure]]), state], ["name", "tag", "state"])
+
+        size = 0
         for batch in batches:
-            names, rows, held = [], [], 0
-            for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.unique((n := window_names(data.as_py(), length))[_runs(n)])
+            for tag, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.unique(window_names(data.as_py(), length))
                 names.append(own)
-                rows.append(np.full(len(own), row))
-                held += len(own)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(rows))], names=["name", "row"])
-                    names, rows, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(rows))], names=["name", "row"])
+                tags.append(np.full(len(own), tag))
+                size += len(own)
+                if size > _NAMES:
+                    yield chunk()
+                    size = 0
+        if size:
+            yield chunk()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first_row, known, single = None, None, False, 0
+        held = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int8)]
+
+        def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
+            n, t, s = columns
+            heads = _heads(n)
+            counts = np.diff(np.append(heads, len(n)))
+            known = np.repeat((counts > 1) | (s[heads] == 1), counts) & (s == 0)
+            return _batch([t[known], n[known]], ["tag", "name"])
+
         for batch in batches:
-            names, rows = (c.to_numpy() for c in batch.columns)
-            if not len(names):
-                continue
-            heads = _runs(names)
-            group = np.cumsum(np.bincount(heads, minlength=len(names))) - 1
-            ends = np.append(heads[1:], len(names)) - 1
-            more = rows[heads] != rows[ends]  # rows are in order
-            pending: list[tuple[int, int]] = []
-            if names[0] == last:
-                if not known and (more[0] or rows[0] != first_row):
-                    pending = [(last, first_row)] * single
-                    known = True
-                more[0] = known
-            keep = more[group]
-            if pending or keep.any():
-                earlier = np.array(pending, dtype=np.int64).reshape(-1, 2)
-                out = (np.concatenate([earlier[:, i], x[keep]]) for i, x in enumerate((names, rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["name", "row"])
-            if names[-1] != last:
-                single = 1
-            last, first_row, known = names[-1], rows[-1], bool(more[-1])
-
-    named = map_arrow(slim.select("row", "data"), name, "name long, row long")
-    flagged = map_arrow(named.repartition("name").sortWithinPartitions("name", "row"), shared, "name long, row long")
-    of_row = flagged.groupBy("row").agg(F.collect_set("name").alias("names"))
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            sure = columns[2] == 2
+            if sure.any():
+                yield _batch([columns[1][sure], columns[0][sure]], ["tag", "name"])
+            held = [np.concatenate([a, b[~sure]]) for a, b in zip(held, columns, strict=True)]
+            if len(held[0]):
+                cut = int(_heads(held[0])[-1])  # the last name may go on
+                yield settle([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if len(held[0]):
+            yield settle(held)
+
+    named = map_arrow(slim.select("tag", "data"), name, "name long, tag long, state byte")
+    deal = F.when(F.col("state") == 2, F.xxhash64("tag")).otherwise(F.col("name"))
+    met = named.withColumn("deal", deal).repartition("deal").sortWithinPartitions("name").select("name", "tag", "state")
+    return map_arrow(met, shared, "tag long, name long").groupBy("tag").agg(F.collect_set("name").alias("names"))
+
+
+def _segments(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """Distinct segments by chunk: ``chunk, at, name, hash, least, most, windows, segment, places`` (tag, mark, id, start).
+
+    ``at`` numbers them within the chunk.
+    """
+    place = pa.struct([("tag", pa.int64()), ("mark", pa.int32()), ("id", pa.int64()), ("start", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
         from xxhash import xxh64_intdigest
 
-        fields = [("row", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("name", pa.int64()), ("hash", pa.int64()), ("segment", pa.binary())]
+        number = TaskContext.get().partitionId() << 32
+        known: dict[tuple[int, int], int] = {}
+        segments: list[bytes] = []
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal number
+            own = np.concatenate([f[0] for f in found])
+            order = np.argsort(own, kind="stable")
+            tag, mark, id_ = (np.repeat([f[i] for f in found], [len(f[0]) for f in found])[order] for i in (1, 2, 3))
+            start = np.concatenate([f[4] for f in found])[order]
+            offsets = np.searchsorted(own[order], np.arange(len(segments) + 1))
+            places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(tag), pa.array(mark, pa.int32()), pa.array(id_), pa.array(start)], fields=list(place)))
+            name, hash_ = (np.array([k[i] for k in known], dtype=np.int64) for i in (0, 1))
+            least, most = np.minimum.reduceat(id_, offsets[:-1]), np.maximum.reduceat(id_, offsets[:-1])
+            windows = np.array([len(s) - length + 1 for s in segments], dtype=np.int64)
+            out = [np.full(len(segments), number), np.arange(len(segments), dtype=np.int64), name, hash_, least, most, windows, pa.array(segments, pa.binary()), places]
+            number += 1
+            known.clear()
+            segments.clear()
+            found.clear()
+            return _batch(out, ["chunk", "at", "name", "hash", "least", "most", "windows", "segment", "places"])
+
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for row, id_, data, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for tag, id_, mark, data, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names = window_names(data, length)
-                heads = _runs(names)
+                heads = _heads(names)
                 ends = np.append(heads[1:], len(names))
                 own = names[heads].view(np.int64)
-                for k in np.flatnonzero(np.isin(own, np.array(mine, dtype=np.int64))).tolist():
-                    a, b = int(heads[k]), int(ends[k])
+                which = np.flatnonzero(np.isin(own, np.array(mine, dtype=np.int64)))
+                numbers = []
+                for n, a, b in zip(own[which].tolist(), heads[which].tolist(), ends[which].tolist(), strict=True):
                     segment = data[a : b + length - 1]
-                    h = xxh64_intdigest(segment)
-                    out.append((row, id_, a, b - a, int(own[k]), h - (1 << 64) if h >> 63 else h, segment))
-                    held += len(segment)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
-
-    with_names = slim.join(of_row, "row").select("row", "id", "data", "names")
-    return stored(map_arrow(with_names, cut, "row long, id long, start long, windows long, name long, hash long, segment binary"), "segments")
-
+                    key = (n, xxh64_intdigest(segment) - (1 << 63))
+                    at = known.setdefault(key, len(segments))
+                    if at == len(segments):
+                        segments.append(segment)
+                        held += len(segment)
+                    numbers.append(at)
+                if numbers:
+                    found.append((np.array(numbers, dtype=np.int64), tag, mark, id_, heads[which]))
+                    held += 24 * len(numbers)
+                if held > _BYTES:
+                    yield chunk()
+                    held = 0
+        if found:
+            yield chunk()
+
+    with_names = texts.join(shared, "tag").select("tag", "id", "mark", "data", "names")
+    return map_arrow(with_names, cut, "chunk long, at long, name long, hash long, least long, most long, windows long, segment binary, places array<struct<tag:bigint,mark:int,id:bigint,start:bigint>>")
+
+
+def _dealt(segments: DataFrame, length: int, hot: int) -> DataFrame:
+    """Segments to be sorted: ``name, hash, chunk, at, base, least, most, segment``; those of frequent names in parts.
+
+    A name with ``hot`` rows or more is frequent; its segments are cut by the names of 44-byte strings, which depend
+    on the windows' bytes as well, and ``base`` is where a part begins.
+    """
+    slim = segments.select("name", "hash", "chunk", "at", F.lit(0).cast("long").alias("base"), "least", "most", "segment")
+    often = stored(slim.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot).select("name"), "frequent")
+    many = often.limit(1_000_001).count()  # the table of frequent names goes everywhere only if it is small
+    if not many:
+        return slim
+    side = (F.broadcast(often) if many <= 1_000_000 else often).withColumn("frequent", F.lit(True))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
-def _earlier(unique: DataFrame, length: int, shard: int, budget: int) -> DataFrame:
-    """Windows of segments that a smaller document has: ``name, hash, offset, windows, first``."""
+        names = ["name", "hash", "chunk", "at", "base", "least", "most", "segment"]
+        for batch in batches:
+            frequent = batch.column(8).to_numpy(zero_copy_only=False)
+            if not frequent.any():
+                yield _batch(batch.columns[:8], names)
+                continue
+            yield _batch([c.filter(pa.array(~frequent)) for c in batch.columns[:8]], names)
+            rows = []
+            for _, _, chunk, at, _, least, most, segment, _ in zip(*(c.to_pylist() for c in batch.filter(batch.column(8)).columns), strict=True):
+                own = window_names(segment, length, min(LONG_GRAM, length))
+                heads = _heads(own)
+                for a, b in zip(heads.tolist(), np.append(heads[1:], len(own)).tolist(), strict=True):
+                    piece = segment[a : b + length - 1]
+                    rows.append((int(own[a].view(np.int64)), xxh64_intdigest(piece) - (1 << 63), chunk, at, a, least, most, piece))
+            yield _batch([pa.array([r[i] for r in rows], pa.binary() if i == 7 else pa.int64()) for i in range(8)], names)
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, int]] = []
-        size, last = 0, None
-
-        def done() -> pa.RecordBatch:
-            segment, offset, first = shard_repeats([h[2] for h in held], np.array([h[3] for h in held]), length, Scratch(budget))
-            order = np.lexsort((offset, segment))
-            segment, offset, first = segment[order], offset[order], first[order]
-            heads = np.concatenate([[True], (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1) | (first[1:] != first[:-1])]) if len(segment) else np.empty(0, dtype=bool)
-            at = np.flatnonzero(heads)
-            counts = np.diff(np.append(at, len(segment)))
-            names, hashes = (np.array([h[i] for h in held], dtype=np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (names[segment[at]], hashes[segment[at]], offset[at], counts, first[at])], names=["name", "hash", "offset", "windows", "first"])
+    marked = slim.join(side, "name", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
+    return map_arrow(marked, part, "name long, hash long, chunk long, at long, base long, least long, most long, segment binary")
 
-        for batch in batches:
-            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= shard and entry[0] != last:
-                    yield done()
-                    held, size = [], 0
-                held.append(entry)
-                size, last = size + len(entry[2]), entry[0]
-        if held:
-            yield done()
 
-    sorted_ = unique.select("name", "hash", "segment", "least").repartition("name").sortWithinPartitions("name", "hash", "segment")
-    return map_arrow(sorted_, sort, "name long, hash long, offset long, windows long, first long")
+def _answers(dealt: DataFrame, length: int, shard: int, budget: int) -> DataFrame:
+    """Windows of a chunk's segments that a smaller document has: ``chunk, at, offset, windows, first``."""
+    names = ["chunk", "at", "offset", "windows", "first"]
 
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Shard(length, budget)
+        name = key = text = None  # of the segment at hand, whose rows still come
+        least, alone = 0, True  # alone: the first of its name
 
-def _spans(runs: DataFrame, unique: DataFrame, earlier: DataFrame) -> DataFrame:
-    parts = earlier.groupBy("name", "hash").agg(F.collect_list(F.struct("offset", "windows", "first")).alias("parts"))
-    facts = unique.groupBy("name", "hash").agg(F.min("least").alias("least")).join(parts, ["name", "hash"], "left")
-    at = F.col("start")
-    mine = F.transform(F.filter("parts", lambda p: p["first"] < F.col("id")), lambda p: F.struct((at + p["offset"]).alias("start"), (at + p["offset"] + p["windows"]).alias("end")))
-    spans = F.when(F.col("least") < F.col("id"), F.array(F.struct(at.alias("start"), (at + F.col("windows")).alias("end")))).otherwise(F.coalesce(mine, F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    found = runs.select("row", "id", "start", "windows", "name", "hash").join(facts, ["name", "hash"]).select("row", spans.alias("spans")).where(F.size("spans") > 0)
-    return found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        def done() -> Iterator[pa.RecordBatch]:
+            for answer in now.answers():
+                yield _batch(answer, names)
 
+        for batch in batches:
+            for n, h, chunk, at, base, low, high, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n == name and h == key and segment == text:
+                    least = min(least, low)
+                else:
+                    if text is not None:
+                        now.add(text, least, alone and n != name)
+                        if n != name and (now.size >= shard or now.n_rows >= shard):
+                            yield from done()
+                            now = Shard(length, budget)
+                    alone, name, key, text, least = n != name, n, h, segment, low
+                now.row(now.n, chunk, at, base, high)
+        if text is not None:
+            now.add(text, least, alone)
+            yield from done()
+
+    met = dealt.repartition("name").sortWithinPartitions("name", "hash", "segment")
+    return map_arrow(met, sort, "chunk long, at long, offset long, windows long, first long")
+
+
+def _texts(docs: DataFrame, key: str, text: str, *more) -> DataFrame:
+    """``tag`` (the document), ``id`` (its key, null last), ``mark`` (tells texts of one key apart), ``data`` and more."""
+    own = integer_key(docs, key)
+    data = F.coalesce(column(text), F.lit("")).cast("binary")
+    return docs.select(F.coalesce(own, F.xxhash64(data)).alias("tag"), F.coalesce(own, F.lit(LAST)).alias("id"), F.hash(data).alias("mark"), data.alias("data"), *more)
+
+
+def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", shard: int = 16 << 20, budget: int = 48 << 20, hot: int = 100_000) -> DataFrame:
+    """Per document: ``tag`` (see ``_texts``) and ``spans`` of windows that repeat (mark, start, end).
 
-def drop_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = True, shard: int = 6 << 20) -> DataFrame:
+    A window repeats if its bytes also start in a row of a smaller key. Null texts are empty, null keys come last.
+    ``shard``: bytes that are sorted together, ``budget``: memory for that, beyond which it goes to scratch files.
+    """
+    texts = _texts(docs, key, text)
+    shared = stored(_shared_names(texts, length), "names")
+    segments = stored(_segments(texts, shared, length), "segments")
+    answers = stored(_answers(_dealt(segments, length, hot), length, shard, budget), "answers")
+    met = segments.select("chunk", "at", "places").join(answers, ["chunk", "at"])
+    later = F.filter("places", lambda p: p["id"] > F.col("first"))
+    each = met.select(F.explode(later).alias("p"), "offset", "windows")
+    begin = F.col("p.start") + F.col("offset")
+    span = F.struct(F.col("p.mark").alias("mark"), begin.alias("start"), (begin + F.col("windows")).alias("end"))
+    return stored(each.select(F.col("p.tag").alias("tag"), span.alias("span")).groupBy("tag").agg(F.collect_list("span").alias("spans")), "spans")
+
+
+def drop_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = True, **sizes: int) -> DataFrame:
     """Per row: the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, ``kept`` (bytes left).
 
     A byte goes if a string of ``length`` bytes over it also starts in a row of a smaller key; strings are judged on
-    the input. Rows of equal keys do not act on each other; repeated rows are treated alike; null texts are empty,
-    null keys come last; texts shorter than ``length`` stay; an empty table gives no rows; other columns are not
-    read. ``kept`` may end in a part of a character.
+    the input. Keys are integers (others raise TypeError). Rows of equal keys do not act on each other; repeated rows
+    are treated alike; null texts are empty, null keys come last; texts shorter than ``length`` stay; an empty table
+    gives no rows; other columns are not read. ``kept`` may end in a part of a character. ``sizes`` go to ``repeats``.
     """
-    found = repeats(docs, length, key, text, shard)
-    hidden = [free_name(list(keep), n) for n in ("data_", "spans_")]
-    own = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(*[F.col(k) for k in keep], own.alias(hidden[0]), F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(LAST)), own).alias("row__"))
-    joined = rows.join(found.select(F.col("row").alias("row__"), F.col("spans").alias(hidden[1])), "row__", "left").select(*keep, *hidden)
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in keep]
+    if not LONG_GRAM <= length < 255:
+        raise ValueError("strings are 44 to 254 bytes")
+    found = repeats(docs, length, key, text, **sizes)
+    kept = [f"kept{i}_" for i in range(len(keep))]
+    rows = _texts(docs, key, text, *(column(k).alias(v) for k, v in zip(keep, kept, strict=True)))
+    joined = rows.join(found, "tag", "left").select(*kept, "mark", "data", "spans")
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(own)]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*kept).schema]
     schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else [])])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data, spans in zip(batch.column(len(keep)), batch.column(len(keep) + 1).to_pylist(), strict=True):
+            marks, all_spans = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 2).to_pylist()
+            for mark, data, spans in zip(marks, batch.column(len(kept) + 1), all_spans, strict=True):
                 data = data.as_py()
                 pieces, at, removed, n, reach = [], 0, 0, 0, -1
-                for s in sorted((s["start"], s["end"] + length - 1) for s in spans or ()):
-                    if s[0] > reach:
+                for a, b in sorted((s["start"], s["end"] + length - 1) for s in spans or () if s["mark"] == mark):
+                    if a > reach:
                         n += 1
-                        pieces.append(data[at : s[0]])
-                        removed -= s[0]
-                        reach = s[1]
-                        removed += reach
-                        at = reach
-                    elif s[1] > reach:
-                        removed += s[1] - reach
-                        at = reach = s[1]
-                kept = b"".join([*pieces, data[at:]])
-                out.append((len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=[*keep, *names])
-
-    return map_arrow(joined, remove, schema)
+                        pieces.append(data[at:a])
+                        removed, at, reach = removed + b - a, b, b
+                    elif b > reach:
+                        removed, at, reach = removed + b - reach, b, b
+                left = b"".join([*pieces, data[at:]])
+                out.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), left))
+            yield _batch([*batch.columns[: len(kept)], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*kept, *own])
+
+    return map_arrow(joined, remove, schema).toDF(*keep, *own)

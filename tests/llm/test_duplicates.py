@@ -122,28 +122,49 @@ def test_count_of_collisions_loses_nothing():
     assert set(zip(q.tolist(), y.tolist(), strict=True)) == want and want
 
 
-@pytest.mark.parametrize("budget", [1 << 20, 64, 0])
-def test_induced_sorting(budget):
+def in_order(text, cap, scratch):
+    """Checks order and common prefixes of the suffixes against plain comparison."""
+    vectors = list(induced.suffixes(text, cap, scratch))
+    places, common = np.concatenate([p for p, _ in vectors]), np.concatenate([c for _, c in vectors])
+    assert sorted(places.tolist()) == list(range(len(text)))
+    for k in range(1, len(places)):
+        a, b = bytes(text[places[k - 1] : places[k - 1] + cap]), bytes(text[places[k] : places[k] + cap])
+        assert a >= b and common[k] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("budget", [1 << 20, 1000, 0])
+def test_induced_sorting(budget, monkeypatch):
     rng = random.Random(8)
-    for _ in range(250):
+    for _ in range(200):
+        monkeypatch.setattr(induced, "CHUNK", rng.choice([16, 64, 1024]))
         letters = rng.choice([b"ab", b"abc", b"abcdefgh", b"a"])
         s = bytes(rng.choice(letters) for _ in range(rng.randint(0, 80))) * rng.choice([1, 1, 3])
-        text = np.append(np.frombuffer(s, np.uint8) + 1, 0).astype(np.uint8)
-        blocks = list(induced.buckets(text, 50, induced.Scratch(budget)))
-        places, common = np.concatenate([p for p, _ in blocks]), np.concatenate([c for _, c in blocks])
-        assert places.tolist() == sorted(range(len(text)), key=lambda i: bytes(text[i:]), reverse=True)
-        for k in range(1, len(places)):
-            a, b = bytes(text[places[k - 1] :]), bytes(text[places[k] :])
-            assert common[k] == next((i for i in range(min(len(a), len(b), 50)) if a[i] != b[i]), min(len(a), len(b), 50))
-
-
-def test_repeats_equal_brute_force(spark, awkward, nothing):
+        in_order(np.append(np.frombuffer(s, np.uint8) + 1, 0).astype(np.uint8), rng.choice([1, 5, 50]), induced.Scratch(budget))
+
+
+def test_induced_sorting_beyond_its_budget(monkeypatch):
+    """A text of some times the budget: the queue's blocks and the arrays go to files, through several recursions."""
+    monkeypatch.setattr(induced, "CHUNK", 4096)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    s = " ".join(rng.choice(words) for _ in range(9000)) + "=" * 3000 + "ab" * 2000
+    levels, scratch = [], induced.Scratch(20_000)
+    whole = induced.Level.__post_init__
+    monkeypatch.setattr(induced.Level, "__post_init__", lambda self: (levels.append(self.depth), whole(self))[1])
+    in_order(np.append(np.frombuffer(s.encode(), np.uint8), 0).astype(np.uint8), 50, scratch)
+    assert scratch.spilled > 100 and max(levels) >= 2
+
+
+@pytest.mark.parametrize(("shard", "hot", "names"), [(2000, 100_000, 500_000), (1 << 20, 3, 300)])
+def test_repeats_equal_brute_force(spark, awkward, nothing, shard, hot, names, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_NAMES", names)
+    monkeypatch.setattr(suffix_dedup, "_BYTES", 100 * names)
     rng = random.Random(9)
     docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
     docs += [(100 + i, docs[i % 40][1] and docs[i % 40][1][:200] + passage[i * 7 : i * 7 + 150] + "é" * i) for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
-    got = suffix_dedup.drop_repeats(df, keep=("doc_id", "text"), shard=2000).collect()
+    got = suffix_dedup.drop_repeats(df, keep=("doc_id", "text"), shard=shard, budget=1000, hot=hot).collect()
     data = sorted(((k if k is not None else 1 << 63, (t or "").encode()) for k, t in docs), key=lambda x: x[0])
     first = {}
     for k, b in data:
