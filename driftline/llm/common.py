@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 _shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,16 +66,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with _without_leftovers(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path, out))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read any more."""
+    for spark, path, out in [w for w in _written if any(w[2] is t for t in tables)]:
+        _delete(spark, path)
+        _written[:] = [w for w in _written if w[1] != path]
 
 
 @atexit.register
-def _forget() -> None:
-    for spark, path in _written:
+def _forget_all() -> None:
+    for spark, path, _ in _written:
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; its folder goes with it
             return
 
@@ -104,6 +116,32 @@ def column(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def join_unequal(rows: DataFrame, table: DataFrame, name: str, how: str = "inner", floor: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each value of ``name`` once, however unequal the rows' are.
+
+    Values of more than ``floor`` rows and more than a hundred-thousandth of all (so 100,000 values at most) are
+    joined by broadcast, and the others as usual.
+    """
+    often = rows.where(column(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    often = checkpointed(often.where(F.col("n") > max(floor, rows.count() // 100_000)).select(name))
+    if often.isEmpty():
+        return rows.join(table, name, how)
+    side = F.broadcast(often)
+    some = rows.join(side, name, "left_semi").join(F.broadcast(table.join(side, name, "left_semi")), name, how)
+    return some.unionByName(rows.join(side, name, "left_anti").join(table.join(side, name, "left_anti"), name, how))
+
+
+def fields_of(df: DataFrame) -> list[str]:
+    """The columns of a schema in words, with names quoted."""
+    return [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema]
+
+
+def no_clash(keep: tuple[str, ...], own: list[str]) -> None:
+    """Columns to keep must not have the names of the operator's results."""
+    if clash := sorted({k.lower() for k in keep} & {n.lower() for n in own}):
+        raise ValueError(f"the result has columns of its own named {', '.join(clash)}; rename them in the input")
+
+
 def integer_key(df: DataFrame, key: str) -> Column:
     """The key as a long; keys of other types have no order or number that the operator could use."""
     kind = df.select(column(key)).schema[0].dataType
@@ -112,6 +150,30 @@ def integer_key(df: DataFrame, key: str) -> Column:
     return column(key).cast("long")
 
 
+def identity(*columns: Column) -> Column:
+    """128 bits that stand for the values of some columns: two hashes of different beginnings."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
+def row_identity(df: DataFrame) -> Column:
+    """Stands for a whole row; repeated rows have one identity. Columns that cannot be hashed are left out."""
+    names = [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return identity(*map(column, names))
+
+
+def only(rows: DataFrame, marks: DataFrame, name: str, salts: int = 16, small: int = 1_000_000) -> DataFrame:
+    """The rows whose value of ``name`` is among the distinct ones of ``marks``, however frequent it is.
+
+    Up to ``small`` marks (counted) go to every task; more are sent ``salts`` times, and rows dealt by salt as well.
+    """
+    if marks.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(marks), name, "left_semi")
+    salt = free_name(rows.columns, "salt_")
+    spread = marks.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*map(column, rows.columns)), F.lit(salts)).cast("int"))
+    return dealt.join(spread, [name, salt], "left_semi").drop(salt)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores before it until no column of the input has it."""
     low = {x.lower() for x in taken}

@@ -6,10 +6,11 @@ aside; the distinct segments of the others are collected by name, and every shar
 prefixes (``induced``). Suffixes that share ``length`` bytes are neighbours there; the least document among them
 decides for all. Names depend on the windows' bytes only, so nothing is lost between shards.
 
-What is frequent is put together before it moves: documents go in chunks, a chunk sends a name once and a segment once,
-with its least and greatest document, and gets one answer for it, which meets the chunk's own list of occurrences. So
-a passage in a third of all documents is as many rows in one task as there are chunks. Segments of a name that has very
-many distinct ones are named again by 44-byte strings, and dealt by those.
+What is alike is put together before it moves: documents are collected by the least hash of their 16-byte strings, so
+that copies come to lie side by side, and go in chunks. A chunk sends a name once and a segment once, with its least
+and greatest document, and gets one answer for it, which meets the chunk's own list of occurrences. So a passage in a
+third of all documents is as many rows in one task as there are chunks. Segments of a name that has very many distinct
+ones are named again by 44-byte strings, and dealt by those.
 """
 
 from __future__ import annotations
@@ -22,42 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, integer_key, map_arrow, stored
+from .common import column, fields_of, forget, integer_key, map_arrow, stored
 from .induced import CHUNK, Scratch, suffixes
 
 GRAM, LONG_GRAM = 16, 44
 LAST = (1 << 63) - 1
 _BLOCK = 1 << 21
-_NAMES, _BYTES = 500_000, 8 << 20
+_CHUNK = 4 << 20
 _FACTORS = np.random.default_rng(50).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def window_names(data: bytes, length: int, gram: int = GRAM) -> np.ndarray:
-    """For each window of ``length`` bytes, the least hash of the strings of ``gram`` bytes in it."""
-    if len(data) < length:
-        return np.empty(0, dtype=np.uint64)
-    parts = []
-    for at in range(0, len(data) - length + 1, _BLOCK):  # long texts in overlapping blocks
-        block = data[at : at + _BLOCK + length - 1]
-        a = np.frombuffer(block + b"\0" * 8, np.uint8)
-        words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(a, (len(block) + 1, 8), (1, 1))).view("<u8").ravel()
-        m = len(block) - gram + 1
-        h = np.zeros(m, dtype=np.uint64)
-        for k, j in enumerate([*range(0, gram - 8, 8), gram - 8]):
-            h ^= words[j : j + m] * _FACTORS[k]
-            h = (h << np.uint64(23)) | (h >> np.uint64(41))
-        h ^= h >> np.uint64(29)
-        h *= _FACTORS[-1]
-        h ^= h >> np.uint64(32)
-        width, span = 1, length - gram + 1
-        while 2 * width <= span:
-            h = np.minimum(h[:-width], h[width:])
-            width *= 2
-        rest = span - width
-        parts.append(np.minimum(h[: len(h) - rest], h[rest:]))
-    return np.concatenate(parts)
-
-
 def _heads(*columns: np.ndarray) -> np.ndarray:
     """Where one of the columns changes, the first place included."""
     if not len(columns[0]):
@@ -69,6 +44,48 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def gram_hashes(block: bytes, gram: int = GRAM) -> np.ndarray:
+    """A hash of each string of ``gram`` bytes (8 at least)."""
+    a = np.frombuffer(block + b"\0" * 8, np.uint8)
+    words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(a, (len(block) + 1, 8), (1, 1))).view("<u8").ravel()
+    m = len(block) - gram + 1
+    h = np.zeros(m, dtype=np.uint64)
+    for k, j in enumerate([*range(0, gram - 8, 8), gram - 8]):
+        h ^= words[j : j + m] * _FACTORS[k]
+        h = (h << np.uint64(23)) | (h >> np.uint64(41))
+    h ^= h >> np.uint64(29)
+    h *= _FACTORS[-1]
+    return h ^ (h >> np.uint64(32))
+
+
+def window_runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of one name: names, first windows, windows after the last.
+
+    A window of ``length`` bytes is named by the least hash of the strings of ``gram`` bytes in it.
+    """
+    names, heads = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    n = max(0, len(data) - length + 1)
+    for at in range(0, n, _BLOCK):  # long texts in overlapping blocks
+        h = gram_hashes(data[at : at + _BLOCK + length - 1], gram)
+        width, span = 1, length - gram + 1
+        while 2 * width <= span:
+            h = np.minimum(h[:-width], h[width:])
+            width *= 2
+        rest = span - width
+        h = np.minimum(h[: len(h) - rest], h[rest:])
+        own = _heads(h)
+        own = own[1:] if len(names[-1]) and names[-1][-1] == h[0] else own
+        names.append(h[own])
+        heads.append(own + at)
+    heads = np.concatenate(heads)
+    return np.concatenate(names).view(np.int64), heads, np.append(heads[1:], n) if n else heads
+
+
+def likeness(data: bytes) -> int:
+    """The least hash of the 16-byte strings of a text; copies share it, and near copies often do."""
+    return int(min(gram_hashes(data[a : a + _BLOCK + GRAM]).min() for a in range(0, max(1, len(data) - GRAM), _BLOCK)).view(np.int64))
+
+
 class Shard:
     """Distinct segments collected for one sort, and what is known of them; all in scratch, whatever their number."""
 
@@ -210,56 +227,76 @@ def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def _shared_names(slim: DataFrame, length: int) -> DataFrame:
-    """Per ``tag`` (document) the names of its windows that occur in two documents or more: ``tag, names``."""
+def _chunks(texts: DataFrame, length: int) -> DataFrame:
+    """Texts of ``length`` bytes or more in chunks of like ones: ``chunk, tag, id, mark, data``."""
+    fields = ["tag", "id", "mark", "data"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([*batch.columns, pa.array([likeness(x.as_py()) for x in batch.column(3)], pa.int64())], [*fields, "like"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = np.cumsum([size, *(len(x.as_py()) for x in batch.column(3))])
+            own = chunk + sizes[:-1] // _CHUNK
+            yield _batch([own, *batch.columns[:4]], ["chunk", *fields])
+            size = int(sizes[-1])
+
+    long = texts.where(F.length("data") >= length)
+    alike = map_arrow(long, hashed, "tag long, id long, mark int, data binary, like long").hint("rebalance", "like")
+    return map_arrow(alike.sortWithinPartitions("like", "id", "mark"), number, "chunk long, tag long, id long, mark int, data binary")
+
+
+def _names_of(names: list[np.ndarray], tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names of some documents (their distinct names, and tags), and whether each is in two of them or more."""
+    n = np.concatenate(names)
+    t = np.repeat(np.array(tags, dtype=np.int64), [len(x) for x in names])
+    order = np.lexsort((t, n))
+    n, t = n[order], t[order]
+    heads = _heads(n)
+    ends = np.append(heads[1:], len(n))
+    return n[heads], t[heads] != t[ends - 1] if len(n) else np.empty(0, dtype=bool)
+
+
+def _shared_names(chunks: DataFrame, length: int) -> DataFrame:
+    """Per chunk the names that one document of it has, and others elsewhere: ``chunk, name``."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[np.ndarray] = []
-        tags: list[np.ndarray] = []
+        tags: list[int] = []
+        last = None
 
-        def chunk() -> pa.RecordBatch:
-            """Names of one document here are sent (state 0); others once (1), their documents being sure (2)."""
-            n, t = np.concatenate(names).view(np.int64), np.concatenate(tags)
-            order = np.lexsort((t, n))
-            n, t = n[order], t[order]
-            heads = _heads(n)
-            counts = np.diff(np.append(heads, len(n)))
-            several = t[heads] != t[heads + counts - 1]
-            sure = np.repeat(several, counts)
-            state = np.concatenate([several, np.full(int(sure.sum()), 2)]).astype(np.int8)
+        def done() -> pa.RecordBatch:
+            own, several = _names_of(names, tags)
             names.clear()
             tags.clear()
-            return _batch([np.concatenate([n[heads], n[sure]]), np.concatenate([t[heads], t[sure]]), state], ["name", "tag", "state"])
+            return _batch([own, np.full(len(own), last), several], ["name", "chunk", "several"])
 
-        size = 0
         for batch in batches:
-            for tag, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.unique(window_names(data.as_py(), length))
-                names.append(own)
-                tags.append(np.full(len(own), tag))
-                size += len(own)
-                if size > _NAMES:
-                    yield chunk()
-                    size = 0
-        if size:
-            yield chunk()
+            for chunk, tag, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if chunk != last and names:
+                    yield done()
+                last = chunk
+                names.append(np.unique(window_runs(data.as_py(), length)[0]))
+                tags.append(tag)
+        if names:
+            yield done()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int8)]
+        held = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)]
 
         def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
-            n, t, s = columns
+            n, c, several = columns
             heads = _heads(n)
             counts = np.diff(np.append(heads, len(n)))
-            known = np.repeat((counts > 1) | (s[heads] == 1), counts) & (s == 0)
-            return _batch([t[known], n[known]], ["tag", "name"])
+            known = np.repeat((counts > 1) | several[heads], counts) & ~several
+            return _batch([c[known], n[known]], ["chunk", "name"])
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            sure = columns[2] == 2
-            if sure.any():
-                yield _batch([columns[1][sure], columns[0][sure]], ["tag", "name"])
-            held = [np.concatenate([a, b[~sure]]) for a, b in zip(held, columns, strict=True)]
+            held = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
             if len(held[0]):
                 cut = int(_heads(held[0])[-1])  # the last name may go on
                 yield settle([c[:cut] for c in held])
@@ -267,74 +304,80 @@ def _shared_names(slim: DataFrame, length: int) -> DataFrame:
         if len(held[0]):
             yield settle(held)
 
-    named = map_arrow(slim.select("tag", "data"), name, "name long, tag long, state byte")
-    deal = F.when(F.col("state") == 2, F.xxhash64("tag")).otherwise(F.col("name"))
-    met = named.withColumn("deal", deal).repartition("deal").sortWithinPartitions("name").select("name", "tag", "state")
-    return map_arrow(met, shared, "tag long, name long").groupBy("tag").agg(F.collect_set("name").alias("names"))
+    named = map_arrow(chunks.select("chunk", "tag", "data"), name, "name long, chunk long, several boolean")
+    return map_arrow(named.repartition("name").sortWithinPartitions("name"), shared, "chunk long, name long")
 
 
-def _segments(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """Distinct segments by chunk: ``chunk, at, name, hash, least, most, windows, segment, places`` (tag, mark, id, start).
+def _segments(chunks: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """Distinct segments by chunk, of names that two documents have: ``chunk, at, name, hash, least, most, segment``.
 
-    ``at`` numbers them within the chunk.
+    ``at`` numbers them within the chunk; ``places`` (tag, mark, id, start) is where they occur there.
     """
     place = pa.struct([("tag", pa.int64()), ("mark", pa.int32()), ("id", pa.int64()), ("start", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
         from xxhash import xxh64_intdigest
 
-        number = TaskContext.get().partitionId() << 32
-        known: dict[tuple[int, int], int] = {}
-        segments: list[bytes] = []
-        found: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def chunk() -> pa.RecordBatch:
-            nonlocal number
-            own = np.concatenate([f[0] for f in found])
-            order = np.argsort(own, kind="stable")
-            tag, mark, id_ = (np.repeat([f[i] for f in found], [len(f[0]) for f in found])[order] for i in (1, 2, 3))
-            start = np.concatenate([f[4] for f in found])[order]
-            offsets = np.searchsorted(own[order], np.arange(len(segments) + 1))
-            places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(tag), pa.array(mark, pa.int32()), pa.array(id_), pa.array(start)], fields=list(place)))
-            name, hash_ = (np.array([k[i] for k in known], dtype=np.int64) for i in (0, 1))
-            least, most = np.minimum.reduceat(id_, offsets[:-1]), np.maximum.reduceat(id_, offsets[:-1])
-            windows = np.array([len(s) - length + 1 for s in segments], dtype=np.int64)
-            out = [np.full(len(segments), number), np.arange(len(segments), dtype=np.int64), name, hash_, least, most, windows, pa.array(segments, pa.binary()), places]
-            number += 1
-            known.clear()
-            segments.clear()
-            found.clear()
-            return _batch(out, ["chunk", "at", "name", "hash", "least", "most", "windows", "segment", "places"])
+        last = None
+        told: list[int] = []  # shared names
+        rows: list[tuple] = []  # tag, id, mark, data, runs
 
-        for batch in batches:
-            for tag, id_, mark, data, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = window_names(data, length)
-                heads = _heads(names)
-                ends = np.append(heads[1:], len(names))
-                own = names[heads].view(np.int64)
-                which = np.flatnonzero(np.isin(own, np.array(mine, dtype=np.int64)))
+        def done() -> Iterator[pa.RecordBatch]:
+            if not rows:
+                told.clear()
+                return
+            own, several = _names_of([np.unique(r[4][0]) for r in rows], [r[0] for r in rows])
+            wanted = np.union1d(own[several], np.array(told, dtype=np.int64))
+            known: dict[tuple[int, int], int] = {}
+            segments: list[bytes] = []
+            found: list[tuple] = []
+            for tag, id_, mark, data, (mine, heads, ends) in rows:
+                which = np.flatnonzero(np.isin(mine, wanted))
                 numbers = []
-                for n, a, b in zip(own[which].tolist(), heads[which].tolist(), ends[which].tolist(), strict=True):
+                for n, a, b in zip(mine[which].tolist(), heads[which].tolist(), ends[which].tolist(), strict=True):
                     segment = data[a : b + length - 1]
                     key = (n, xxh64_intdigest(segment) - (1 << 63))
                     at = known.setdefault(key, len(segments))
                     if at == len(segments):
                         segments.append(segment)
-                        held += len(segment)
                     numbers.append(at)
-                if numbers:
-                    found.append((np.array(numbers, dtype=np.int64), tag, mark, id_, heads[which]))
-                    held += 24 * len(numbers)
-                if held > _BYTES:
-                    yield chunk()
-                    held = 0
-        if found:
-            yield chunk()
+                found.append((np.array(numbers, dtype=np.int64), tag, mark, id_, heads[which]))
+            told.clear()
+            rows.clear()
+            if not segments:
+                return
+            of = np.concatenate([f[0] for f in found])
+            order = np.argsort(of, kind="stable")
+            tag, mark, id_ = (np.repeat(np.array([f[i] for f in found], dtype=np.int64), [len(f[0]) for f in found])[order] for i in (1, 2, 3))
+            start = np.concatenate([f[4] for f in found])[order]
+            offsets = np.searchsorted(of[order], np.arange(len(segments) + 1))
+            least, most = np.minimum.reduceat(id_, offsets[:-1]), np.maximum.reduceat(id_, offsets[:-1])
+            name, hash_ = (np.array([k[i] for k in known], dtype=np.int64) for i in (0, 1))
+            for a in range(0, len(segments), 20_000):
+                b = min(len(segments), a + 20_000)
+                x, y = int(offsets[a]), int(offsets[b])
+                places = pa.StructArray.from_arrays([pa.array(tag[x:y]), pa.array(mark[x:y], pa.int32()), pa.array(id_[x:y]), pa.array(start[x:y])], fields=list(place))
+                places = pa.ListArray.from_arrays(pa.array(offsets[a : b + 1] - x, pa.int32()), places)
+                yield _batch([np.full(b - a, last), np.arange(a, b), name[a:b], hash_[a:b], least[a:b], most[a:b], pa.array(segments[a:b], pa.binary()), places], names_out)
+
+        names_out = ["chunk", "at", "name", "hash", "least", "most", "segment", "places"]
+        for batch in batches:
+            for chunk, name, tag, id_, mark, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != last:
+                    yield from done()
+                    last = chunk
+                if data is None:
+                    told.append(name)
+                else:
+                    rows.append((tag, id_, mark, data, window_runs(data, length)))
+        yield from done()
 
-    with_names = texts.join(shared, "tag").select("tag", "id", "mark", "data", "names")
-    return map_arrow(with_names, cut, "chunk long, at long, name long, hash long, least long, most long, windows long, segment binary, places array<struct<tag:bigint,mark:int,id:bigint,start:bigint>>")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = chunks.select("chunk", none("long").alias("name"), "tag", "id", "mark", "data").unionAll(
+        shared.select("chunk", "name", none("long"), none("long"), none("int"), none("binary"))
+    )
+    met = both.repartition("chunk").sortWithinPartitions("chunk", F.col("tag").asc_nulls_first(), "id")
+    return map_arrow(met, cut, "chunk long, at long, name long, hash long, least long, most long, segment binary, places array<struct<tag:bigint,mark:int,id:bigint,start:bigint>>")
 
 
 def _dealt(segments: DataFrame, length: int, hot: int) -> DataFrame:
@@ -362,11 +405,9 @@ def _dealt(segments: DataFrame, length: int, hot: int) -> DataFrame:
             yield _batch([c.filter(pa.array(~frequent)) for c in batch.columns[:8]], names)
             rows = []
             for _, _, chunk, at, _, least, most, segment, _ in zip(*(c.to_pylist() for c in batch.filter(batch.column(8)).columns), strict=True):
-                own = window_names(segment, length, min(LONG_GRAM, length))
-                heads = _heads(own)
-                for a, b in zip(heads.tolist(), np.append(heads[1:], len(own)).tolist(), strict=True):
+                for own, a, b in zip(*(x.tolist() for x in window_runs(segment, length, LONG_GRAM)), strict=True):
                     piece = segment[a : b + length - 1]
-                    rows.append((int(own[a].view(np.int64)), xxh64_intdigest(piece) - (1 << 63), chunk, at, a, least, most, piece))
+                    rows.append((own, xxh64_intdigest(piece) - (1 << 63), chunk, at, a, least, most, piece))
             yield _batch([pa.array([r[i] for r in rows], pa.binary() if i == 7 else pa.int64()) for i in range(8)], names)
 
     marked = slim.join(side, "name", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
@@ -419,9 +460,10 @@ def repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str =
     A window repeats if its bytes also start in a row of a smaller key. Null texts are empty, null keys come last.
     ``shard``: bytes that are sorted together, ``budget``: memory for that, beyond which it goes to scratch files.
     """
-    texts = _texts(docs, key, text)
-    shared = stored(_shared_names(texts, length), "names")
-    segments = stored(_segments(texts, shared, length), "segments")
+    chunks = stored(_chunks(_texts(docs, key, text), length), "chunks")
+    shared = stored(_shared_names(chunks, length), "names")
+    segments = stored(_segments(chunks, shared, length), "segments")
+    forget(chunks, shared)
     answers = stored(_answers(_dealt(segments, length, hot), length, shard, budget), "answers")
     met = segments.select("chunk", "at", "places").join(answers, ["chunk", "at"])
     later = F.filter("places", lambda p: p["id"] > F.col("first"))
@@ -447,7 +489,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: s
     joined = rows.join(found, "tag", "left").select(*kept, "mark", "data", "spans")
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(own)]
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*kept).schema]
+    fields = fields_of(joined.select(*kept))
     schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else [])])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

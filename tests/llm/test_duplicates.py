@@ -155,10 +155,10 @@ def test_induced_sorting_beyond_its_budget(monkeypatch):
     assert scratch.spilled > 100 and max(levels) >= 2
 
 
-@pytest.mark.parametrize(("shard", "hot", "names"), [(2000, 100_000, 500_000), (1 << 20, 3, 300)])
-def test_repeats_equal_brute_force(spark, awkward, nothing, shard, hot, names, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_NAMES", names)
-    monkeypatch.setattr(suffix_dedup, "_BYTES", 100 * names)
+@pytest.mark.parametrize(("shard", "hot", "chunk"), [(2000, 100_000, 4 << 20), (1 << 20, 3, 1000)])
+def test_repeats_equal_brute_force(spark, awkward, nothing, shard, hot, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 4000)
     rng = random.Random(9)
     docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
