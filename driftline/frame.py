@@ -21,7 +21,7 @@ from .functions.series import Series
 from .functions.truth import truthy
 from .operators import joins
 from .operators.aggregations import Record
-from .operators.state import State, each, replay, stepper
+from .operators.state import State, each, python_column, replay, stepper
 from .operators.windows import HEADERS, KEY, ORDER, TIME, Definition, to_ms
 from .plans.running import STRETCH
 
@@ -40,6 +40,16 @@ class Value:
         return self.frame[name].column
 
 
+class Made:
+    """A value as it was made by ``apply``, over the columns of the frame before."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+    def __getitem__(self, name: str) -> Column:
+        return self.column[name]
+
+
 class EventFrame:
     header_type = HEADER_TYPE
 
@@ -53,7 +63,13 @@ class EventFrame:
         self.ordered = ordered
         #: Offsets of a stretch of arrival order, the unit in which a hot key is spread over tasks.
         self.stretch = stretch
+        #: Topics or sinks that records go to on the way, with the records as they were there.
         self.outputs: list[tuple[Any, DataFrame]] = []
+        #: Told of an exception in a Python function, with the value; if it answers true, the record is left out.
+        self.on_error: Callable[[Exception, Any], bool] | None = None
+        # of a frame made by ``apply`` alone: the rows that it was made of, each with its value as a column of them
+        self._bases: list[tuple[DataFrame, Callable[[], Column]]] = []
+        self._made = df
 
     @classmethod
     def of(cls, df: DataFrame, key: str | Column | None, timestamp: str | Column, offset: str | Column | None = None, headers: str | Column | None = None, ordered: bool = False, stretch: int = STRETCH) -> EventFrame:
@@ -105,7 +121,16 @@ class EventFrame:
 
     def _derived(self, df: DataFrame, origins: frozenset[int] | None = None, ordered: bool | None = None, fresh: bool = False) -> EventFrame:
         origins = origins or self.origins
-        return EventFrame(df, next(_ids) if fresh or origins != self.origins else self.stream_id, origins, self.ordered if ordered is None else ordered, self.stretch)
+        out = EventFrame(df, next(_ids) if fresh or origins != self.origins else self.stream_id, origins, self.ordered if ordered is None else ordered, self.stretch)
+        out.on_error, out.outputs = self.on_error, list(self.outputs)
+        return out
+
+    def _column_of(self, other: EventFrame) -> Column:
+        """The value of a frame that ``apply`` made of this one, as a column of this one."""
+        found = [expression for df, expression in other._bases if df is self.df and other.df is other._made]
+        if not found or other.stream_id != self.stream_id:
+            raise InvalidOperation("only a frame made of this one by apply, as it is now, is a mask or a value")
+        return found[0]()
 
     def __bool__(self) -> bool:
         raise InvalidOperation("a frame has no truth value")
@@ -121,9 +146,7 @@ class EventFrame:
             if missing := [c for c in item if c not in self.value_columns]:
                 raise ColumnDoesNotExist(", ".join(missing))
             return self._derived(self.df.select(*item, *RESERVED))
-        if isinstance(item, EventFrame):
-            raise InvalidOperation("filter with a column or a function")
-        return self.filter(item)
+        return self.filter(self._column_of(item) if isinstance(item, EventFrame) else item)
 
     def __setitem__(self, name: str, item: Any) -> None:
         """In place."""
@@ -132,7 +155,7 @@ class EventFrame:
                 raise InvalidOperation("a column of another frame")
             item = item.column
         elif isinstance(item, EventFrame):
-            raise InvalidOperation("assign a column or a constant")
+            item = self._column_of(item)
         self.df = self.df.withColumn(name, item if isinstance(item, Column) else F.lit(item))
 
     def contains(self, keys: str | list[str]) -> Series:
@@ -162,12 +185,18 @@ class EventFrame:
 
     # records
 
-    def _columns_of(self, got: Any) -> list[Column]:
+    def _columns_of(self, got: Any) -> list[tuple[str, Column]]:
         if isinstance(got, dict):
-            return [(v.column if isinstance(v, Series) else v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in got.items()]
+            return [(k, v.column if isinstance(v, Series) else v if isinstance(v, Column) else F.lit(v)) for k, v in got.items()]
         got = got.column if isinstance(got, Series) else got
         kind = self.kind_of(got)
-        return [got[n].alias(n) for n in kind.names] if isinstance(kind, T.StructType) else [got.alias("value")]
+        return [(n, got[n]) for n in kind.names] if isinstance(kind, T.StructType) else [("value", got)]
+
+    @staticmethod
+    def _whole_of(got: Any) -> Column:
+        if isinstance(got, dict):
+            return F.struct(*[(v.column if isinstance(v, Series) else v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in got.items()])
+        return got.column if isinstance(got, Series) else got
 
     def _call(self, func: Callable, metadata: bool) -> Any:
         return func(Value(self), *([F.col(KEY), F.col(TIME), F.col(HEADERS)] if metadata else []))
@@ -183,7 +212,7 @@ class EventFrame:
         head = [self.df.schema[c] for c in (KEY, TIME, HEADERS, ORDER)]
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*head, *fields]])
         out_columns = [f.name for f in fields]
-        step = stepper(func, how, out_columns, metadata, stateful, expand)
+        step = stepper(func, how, out_columns, metadata, stateful, expand, self.on_error)
         columns = list(schema.names)
         if not stateful:
 
@@ -207,25 +236,34 @@ class EventFrame:
         function of the value, and with ``stateful`` of the key's state.
         """
         if returns is not None:
-            return self._python(func, "apply", returns, metadata, stateful, expand)
+            out = self._python(func, "apply", returns, metadata, stateful, expand)
+            if not stateful and not expand:
+                self._trace(out, lambda value: python_column(func, returns, value.column, metadata, self.on_error))
+            return out
         if stateful:
             raise InvalidOperation("a stateful function is a Python function and needs returns")
         got = self._call(func, metadata)
         if not expand:
-            return self._derived(self.df.select(*self._columns_of(got), *RESERVED))
+            out = self._derived(self.df.select(*[c.alias(n) for n, c in self._columns_of(got)], *RESERVED))
+            self._trace(out, lambda value: self._whole_of(func(value, *([F.col(KEY), F.col(TIME), F.col(HEADERS)] if metadata else []))))
+            return out
         got = got.column if isinstance(got, Series) else got
         opened = self.df.select(F.explode(got).alias("item__"), *RESERVED)
         kind = opened.schema["item__"].dataType
         items = [F.col("item__")[n].alias(n) for n in kind.names] if isinstance(kind, T.StructType) else [F.col("item__").alias("value")]
         return self._derived(opened.select(*items, *RESERVED))
 
+    def _trace(self, out: EventFrame, of: Callable[[Value | Made], Column]) -> None:
+        """``out`` was made of this frame by ``of``, and so of what this one was made of."""
+        before = self._bases if self.df is self._made else []
+        out._bases = [(self.df, lambda: of(Value(self))), *((df, lambda e=e: of(Made(e()))) for df, e in before)]
+
     def update(self, func: Callable, *, python: bool = False, stateful: bool = False, metadata: bool = False) -> EventFrame:
         """In place: columns that ``func`` gives are added or replaced; a Python function changes the record itself."""
         if python or stateful:
             self.df = self._python(func, "update", None, metadata, stateful, False).df
             return self
-        for c in self._columns_of(self._call(func, metadata) or {}):
-            self.df = self.df.withColumn(c._jc.toString().rsplit(" AS ", 1)[-1].strip("`"), c)
+        self.df = self.df.withColumns(dict(self._columns_of(self._call(func, metadata) or {})))
         return self
 
     def filter(self, func: Any, *, python: bool = False, stateful: bool = False, metadata: bool = False) -> EventFrame:
@@ -282,19 +320,20 @@ class EventFrame:
 
     # joins
 
-    def join_asof(self, right: EventFrame, how: str = "inner", on_merge: joins.Merge = "raise", grace_ms: int | timedelta = timedelta(days=7), name: str | None = None, split_ms: int | None = None) -> EventFrame:
+    def join_asof(self, right: EventFrame, how: str = "inner", on_merge: joins.Merge = "raise", grace_ms: int | timedelta = timedelta(days=7), name: str | None = None, split_ms: int | timedelta = timedelta(days=7), by_arrival: bool = False) -> EventFrame:
+        """With the last right record of the key; ``by_arrival``: of those that came before by ``_offset`` (see ``joins``)."""
         if self.df.isStreaming or right.df.isStreaming:
             from .streaming.joins import stream_asof
 
             return stream_asof(self, right, how, on_merge, to_ms(grace_ms, "grace_ms"))
-        return joins.asof(self, right, how, on_merge, grace_ms, split_ms)
+        return joins.asof(self, right, how, on_merge, grace_ms, split_ms, by_arrival)
 
-    def join_interval(self, right: EventFrame, how: str = "inner", on_merge: joins.Merge = "raise", grace_ms: int | timedelta = timedelta(days=7), name: str | None = None, backward_ms: int | timedelta = 0, forward_ms: int | timedelta = 0) -> EventFrame:
+    def join_interval(self, right: EventFrame, how: str = "inner", on_merge: joins.Merge = "raise", grace_ms: int | timedelta = timedelta(days=7), name: str | None = None, backward_ms: int | timedelta = 0, forward_ms: int | timedelta = 0, by_arrival: bool = False) -> EventFrame:
         if self.df.isStreaming or right.df.isStreaming:
             from .streaming.joins import stream_interval
 
             return stream_interval(self, right, how, on_merge, to_ms(grace_ms, "grace_ms"), to_ms(backward_ms, "backward_ms"), to_ms(forward_ms, "forward_ms"))
-        return joins.interval(self, right, how, on_merge, grace_ms, backward_ms, forward_ms)
+        return joins.interval(self, right, how, on_merge, grace_ms, backward_ms, forward_ms, by_arrival)
 
     def join_lookup(self, lookup: Any, fields: dict[str, Any], on: str | Callable | Column | None = None) -> EventFrame:
         """In place: fields of a reference table, as the columns named."""
@@ -313,18 +352,39 @@ class EventFrame:
         """The end: batch frames are written, streaming ones give a started query."""
         return sink.run(self, **options)
 
+    def run(self, count: int = 0, timeout: float = 0.0, collect: bool = True, metadata: bool = False, checkpoint: str | None = None) -> list[dict]:
+        """For tests: records until there are ``count`` of them or none came for ``timeout`` seconds (0: no limit).
+
+        A batch frame, or a stream without either limit, runs to its end. Gives the records, or with
+        ``collect=False`` nothing.
+        """
+        from .streaming.limits import run
+
+        return run(self, count, timeout, collect, metadata, checkpoint)
+
     def print(self, pretty: bool = True, metadata: bool = False, n: int = 20) -> EventFrame:
-        """In place; shows the first records of a batch frame."""
-        if not self.df.isStreaming:
-            (self.df if metadata else self.df.select(*self.value_columns)).show(n, truncate=not pretty, vertical=pretty)
-        return self
+        """In place; shows the first records of a batch frame, or those of each micro-batch once the frame has a sink."""
+        shown = self.df if metadata else self.df.select(*self.value_columns)
+        return self._show(lambda df: df.show(n, truncate=not pretty, vertical=pretty), shown)
 
     def print_table(self, size: int = 5, title: str | None = None, metadata: bool = True, columns: list[str] | None = None) -> EventFrame:
-        if not self.df.isStreaming:
+        """In place; the newest records as a table, of a stream those of each micro-batch."""
+        names = columns or [*(RESERVED[:2] if metadata else ()), *self.value_columns]
+
+        def table(df: DataFrame) -> None:
             if title:
                 print(title)
-            shown = columns or [*(RESERVED[:2] if metadata else ()), *self.value_columns]
-            self.df.orderBy(F.desc(ORDER)).select(*shown).show(size, truncate=False)
+            df.orderBy(F.desc(ORDER)).select(*names).show(size, truncate=False)
+
+        return self._show(table, self.df)
+
+    def _show(self, show: Callable[[DataFrame], None], df: DataFrame) -> EventFrame:
+        if self.df.isStreaming:
+            from .sinks.writers import ShowSink
+
+            self.outputs.append((ShowSink(show), df))
+        else:
+            show(df)
         return self
 
 

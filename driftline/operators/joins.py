@@ -1,10 +1,16 @@
-"""As-of, interval and lookup joins over batch frames, as in a replay by (time, right before left, arrival)."""
+"""As-of, interval and lookup joins over batch frames, as in a replay by (time, right before left, arrival).
+
+With ``by_arrival`` the replay is by ``_offset`` instead, one order of arrival for both sides (records of one log): a
+record meets only what arrived before it, and may come late.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING, Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,45 +60,94 @@ def _holds_something(struct: Column, frame: EventFrame) -> Column:
     return any_
 
 
-def asof(left: EventFrame, right: EventFrame, how: str = "inner", on_merge: Merge = "raise", grace_ms: Any = 7 * 86_400_000, split_ms: int | None = None) -> EventFrame:
-    """Each left record with the last right record of its key at or before its time.
+def carried(rows: DataFrame, steps: DataFrame, key: str, at: str, order: list[str], split: int, value: str) -> DataFrame:
+    """``rows`` with ``value`` of the last of ``steps`` of their key at or before their time; keys are not null.
 
-    One union and one window instead of a range join: rows of a key are sorted once. ``split_ms`` cuts long keys into
-    stretches of time, carried over by one row each, where a key is too large for a task. In a replay in time order
-    the grace period never hides the newest right record, so it is checked and not used.
+    ``steps`` has ``key, at, order..., value``. One union and one window instead of a range join. Keys are cut into
+    stretches of ``split`` of time, and a row for each stretch carries over what came before it, so a key with most
+    of the rows is spread over its stretches.
+    """
+    names = rows.columns
+    low = steps.select(key, at, *order, value, F.lit(0).alias("side__"))
+    both = rows.withColumn("side__", F.lit(1)).unionByName(low, allowMissingColumns=True).withColumn("stretch__", F.floor(F.col(at) / split))
+    line = W.partitionBy(key, "stretch__").orderBy(at, "side__", *order).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn(value, F.last(value, ignorenulls=True).over(line)).where("side__ = 1")
+    ends = low.groupBy(F.col(key).alias("key__"), F.floor(F.col(at) / split).alias("from__")).agg(F.max_by(value, F.struct(at, *order)).alias("end__"))
+    # the last end before each stretch that has rows: those stretches and the ends in one line, one row each
+    asked = rows.select(F.col(key).alias("key__"), F.floor(F.col(at) / split).alias("from__")).distinct().withColumn("asks__", F.lit(True))
+    over = W.partitionBy("key__").orderBy("from__").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.join(asked, ["key__", "from__"], "full").withColumn("before__", F.last("end__", ignorenulls=True).over(over)).where("asks__").select("key__", "from__", "before__")
+    joined = found.join(before, (F.col(key) == F.col("key__")) & (F.col("stretch__") == F.col("from__")), "left")
+    return joined.withColumn(value, F.coalesce(value, "before__")).select(*names, value)
+
+
+def asof(left: EventFrame, right: EventFrame, how: str = "inner", on_merge: Merge = "raise", grace_ms: Any = 7 * 86_400_000, split_ms: Any = 7 * 86_400_000, by_arrival: bool = False) -> EventFrame:
+    """Each left record with the last right record of its key at or before its time (``carried``).
+
+    In a replay in time order the grace period never hides the newest right record, so it is checked and not used.
+    By arrival, of the right records that came before, those more than ``grace_ms`` older than the newest are gone,
+    and a right record takes the place of an earlier one of its time. Left records without a key match nothing.
     """
     check(left, right, how, ("inner", "left"), on_merge)
-    to_ms(grace_ms, "grace_ms")
+    grace = to_ms(grace_ms, "grace_ms")
     columns = merged(left, right, on_merge)
-    a, b = _side(left, "l__"), _side(right, "r__")
-    kind = b.schema["r__"].dataType
-    both = a.select(KEY, TIME, ORDER, HEADERS, "l__", F.lit(None).cast(kind).alias("r__"), F.lit(1).alias("side__"))
-    both = both.unionByName(b.select(KEY, TIME, ORDER, F.lit(None).cast(left.header_type).alias(HEADERS), F.lit(None).cast(a.schema["l__"].dataType).alias("l__"), "r__", F.lit(0).alias("side__")))
-    both = both.where(F.col(KEY).isNotNull() | (F.col("side__") == 1))
-    if split_ms is None:
-        line = W.partitionBy(KEY).orderBy(TIME, "side__", ORDER).rowsBetween(W.unboundedPreceding, 0)
-        found = both.withColumn("r__", F.last("r__", ignorenulls=True).over(line))
+    a, b = _side(left, "l__"), _side(right, "r__").where(F.col(KEY).isNotNull())
+    if by_arrival:
+        found = _asof_by_arrival(a, b, grace)
     else:
-        both = both.withColumn("stretch__", F.floor(F.col(TIME) / split_ms))
-        line = W.partitionBy(KEY, "stretch__").orderBy(TIME, "side__", ORDER).rowsBetween(W.unboundedPreceding, 0)
-        ends = both.groupBy(F.col(KEY).alias("key__"), F.col("stretch__").alias("at__")).agg(F.max(F.when(F.col("side__") == 0, F.struct(TIME, ORDER, "r__")))["r__"].alias("end__"))
-        carry = W.partitionBy("key__").orderBy("at__").rowsBetween(W.unboundedPreceding, -1)
-        ends = ends.select("key__", "at__", F.last("end__", ignorenulls=True).over(carry).alias("before__"))
-        found = both.withColumn("r__", F.last("r__", ignorenulls=True).over(line))
-        found = found.join(ends, found[KEY].eqNullSafe(ends["key__"]) & (found["stretch__"] == ends["at__"])).withColumn("r__", F.coalesce("r__", "before__"))
-    found = found.where("side__ = 1").withColumn("r__", F.when(F.col(KEY).isNotNull() & _holds_something(F.col("r__"), right), F.col("r__")))
+        found = carried(a.where(F.col(KEY).isNotNull()), b, KEY, TIME, [ORDER], to_ms(split_ms, "split_ms"), "r__")
+    found = found.withColumn("r__", F.when(_holds_something(F.col("r__"), right), F.col("r__")))
     if how == "inner":
         found = found.where("r__ is not null")
+    else:
+        found = found.unionByName(a.where(F.col(KEY).isNull()).withColumn("r__", F.lit(None).cast(b.schema["r__"].dataType)))
     return left._derived(found.select(KEY, TIME, HEADERS, ORDER, *columns), origins=left.origins | right.origins)
 
 
-def interval(left: EventFrame, right: EventFrame, how: str = "inner", on_merge: Merge = "raise", grace_ms: Any = 7 * 86_400_000, backward_ms: Any = 0, forward_ms: Any = 0) -> EventFrame:
+def _asof_by_arrival(a: DataFrame, b: DataFrame, grace: int) -> DataFrame:
+    """A replay of each key's times alone finds the partner's place; the records are then joined by place."""
+    slim = a.where(F.col(KEY).isNotNull()).select(KEY, TIME, ORDER, F.lit(1).alias("side__"))
+    both = slim.unionByName(b.select(KEY, TIME, ORDER, F.lit(0).alias("side__")))
+
+    def find(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, times, places, newest = None, [], {}, 0
+        for pdf in pdfs:
+            out = []
+            for key, time, order, side in zip(*(pdf[c].tolist() for c in (KEY, TIME, ORDER, "side__")), strict=True):
+                if key != last:
+                    last, times, places, newest = key, [], {}, 0
+                if side == 0:
+                    if time not in places:
+                        insort(times, time)
+                    places[time] = order
+                    newest = max(newest, time)
+                    gone = bisect_left(times, newest - grace)
+                    if gone > 1024:  # what no record can meet any more
+                        for t in times[:gone]:
+                            del places[t]
+                        del times[:gone]
+                    continue
+                k = bisect_right(times, time)
+                if k and times[k - 1] >= newest - grace:
+                    out.append((key, time, order, times[k - 1], places[times[k - 1]]))
+            yield pd.DataFrame(out, columns=["key__", "at__", "order__", "time__", "place__"])
+
+    kind = a.schema[KEY].dataType.simpleString()
+    dealt = both.repartition(KEY).sortWithinPartitions(KEY, ORDER, "side__")
+    found = dealt.mapInPandas(find, f"key__ {kind}, at__ bigint, order__ bigint, time__ bigint, place__ bigint")
+    partner = b.select(F.col(KEY).alias("rk__"), F.col(TIME).alias("time__"), F.col(ORDER).alias("place__"), "r__")
+    met = found.join(partner, (F.col("key__") == F.col("rk__")) & (found["time__"] == partner["time__"]) & (found["place__"] == partner["place__"])).select("key__", "at__", "order__", "r__")
+    rows = a.where(F.col(KEY).isNotNull())
+    return rows.join(met, (F.col(KEY) == F.col("key__")) & (F.col(TIME) == F.col("at__")) & (F.col(ORDER) == F.col("order__")), "left").select(*a.columns, "r__")
+
+
+def interval(left: EventFrame, right: EventFrame, how: str = "inner", on_merge: Merge = "raise", grace_ms: Any = 7 * 86_400_000, backward_ms: Any = 0, forward_ms: Any = 0, by_arrival: bool = False) -> EventFrame:
     """Pairs with the right time from ``backward`` before to ``forward`` after the left one, as they meet.
 
     Unmatched records come out when they arrive, even if a match comes later: left records with no right one in the
     backward range, right records with no earlier left one in the forward range (of equal times the right comes
-    first). Time buckets as wide as the range are part of the join key, so a key's records spread over tasks and a
-    record meets only those near it.
+    first). By arrival, a pair is one whose later arrival is not older. Time buckets as wide as the range are part
+    of the join key, so a key's records spread over tasks and a record meets only those near it.
     """
     check(left, right, how, ("inner", "left", "right", "outer"), on_merge)
     grace, back, ahead = to_ms(grace_ms, "grace_ms"), to_ms(backward_ms, "backward_ms"), to_ms(forward_ms, "forward_ms")
@@ -105,28 +160,31 @@ def interval(left: EventFrame, right: EventFrame, how: str = "inner", on_merge:
     bucket = lambda c: F.floor(c / width)
     a = _side(left, "l__").withColumnsRenamed({KEY: "lk__", TIME: "lt__", ORDER: "lo__", HEADERS: "lh__"})
     b = _side(right, "r__").withColumnsRenamed({KEY: "rk__", TIME: "rt__", ORDER: "ro__", HEADERS: "rh__"})
-    spread = lambda low, high: F.explode(F.sequence(bucket(low), bucket(high)))
-    near = a.withColumn("at__", spread(F.col("lt__") - back, F.col("lt__") + ahead))
+    near = a.withColumn("at__", F.explode(F.sequence(bucket(F.col("lt__") - back), bucket(F.col("lt__") + ahead))))
     placed = b.withColumn("at__", bucket(F.col("rt__")))
     same = (F.col("lk__") == F.col("rk__")) & (near["at__"] == placed["at__"])
     pairs = near.join(placed, same & F.col("rt__").between(F.col("lt__") - back, F.col("lt__") + ahead))
+    right_first = F.col("rt__") <= F.col("lt__")
+    if by_arrival:
+        right_first = F.col("ro__") < F.col("lo__")
+        pairs = pairs.where(F.when(right_first, F.col("rt__") <= F.col("lt__")).otherwise(F.col("rt__") >= F.col("lt__")))
     key = lambda side: F.col(f"{side}k__").alias(KEY)
     no_headers = F.lit(None).cast(left.header_type).alias(HEADERS)
-    out = pairs.select(key("l"), F.greatest("lt__", "rt__").alias(TIME), no_headers, F.when(F.col("rt__") > F.col("lt__"), F.col("ro__")).otherwise(F.col("lo__")).alias(ORDER), *columns)
+    out = pairs.select(key("l"), F.greatest("lt__", "rt__").alias(TIME), no_headers, F.when(right_first, F.col("lo__")).otherwise(F.col("ro__")).alias(ORDER), *columns)
+
+    def alone(rows: DataFrame, side: str, first: Column) -> DataFrame:
+        """Records of a side that met nothing that came first; the pairs' exchanges serve again."""
+        mine = [f"{side}{x}__" for x in "kto"]
+        hits = pairs.where(first).select(*[F.col(c).alias(f"h{c}") for c in mine]).distinct()
+        k, t, o = mine
+        return rows.join(hits, F.col(k).eqNullSafe(F.col(f"h{k}")) & (F.col(t) == F.col(f"h{t}")) & F.col(o).eqNullSafe(F.col(f"h{o}")), "left_anti")
+
     if how in ("left", "outer"):
-        reach = a.withColumn("at__", spread(F.col("lt__") - back, F.col("lt__")))
-        hits = reach.join(placed, (F.col("lk__") == F.col("rk__")) & (reach["at__"] == placed["at__"]) & F.col("rt__").between(F.col("lt__") - back, F.col("lt__")), "left_semi")
-        alone = a.join(hits.select(F.col("lk__").alias("hk__"), F.col("lt__").alias("ht__"), F.col("lo__").alias("ho__")).distinct(), F.col("lk__").eqNullSafe(F.col("hk__")) & (F.col("lt__") == F.col("ht__")) & F.col("lo__").eqNullSafe(F.col("ho__")), "left_anti")
-        alone = alone.withColumn("r__", F.lit(None).cast(b.schema["r__"].dataType))
-        out = out.unionByName(alone.select(key("l"), F.col("lt__").alias(TIME), no_headers, F.col("lo__").alias(ORDER), *columns))
+        rest = alone(a, "l", right_first).withColumn("r__", F.lit(None).cast(b.schema["r__"].dataType))
+        out = out.unionByName(rest.select(key("l"), F.col("lt__").alias(TIME), no_headers, F.col("lo__").alias(ORDER), *columns))
     if how in ("right", "outer"):
-        reach = b.withColumn("at__", spread(F.col("rt__") - ahead, F.col("rt__")))
-        placed_left = a.withColumn("at__", bucket(F.col("lt__")))
-        before = (F.col("lt__") >= F.col("rt__") - ahead) & (F.col("lt__") < F.col("rt__"))
-        hits = reach.join(placed_left, (F.col("lk__") == F.col("rk__")) & (reach["at__"] == placed_left["at__"]) & before, "left_semi")
-        alone = b.join(hits.select(F.col("rk__").alias("hk__"), F.col("rt__").alias("ht__"), F.col("ro__").alias("ho__")).distinct(), F.col("rk__").eqNullSafe(F.col("hk__")) & (F.col("rt__") == F.col("ht__")) & F.col("ro__").eqNullSafe(F.col("ho__")), "left_anti")
-        alone = alone.withColumn("l__", F.lit(None).cast(a.schema["l__"].dataType))
-        out = out.unionByName(alone.select(key("r"), F.col("rt__").alias(TIME), no_headers, F.col("ro__").alias(ORDER), *columns))
+        rest = alone(b, "r", ~right_first).withColumn("l__", F.lit(None).cast(a.schema["l__"].dataType))
+        out = out.unionByName(rest.select(key("r"), F.col("rt__").alias(TIME), no_headers, F.col("ro__").alias(ORDER), *columns))
     return left._derived(out, origins=left.origins | right.origins, ordered=False)
 
 
@@ -227,19 +285,43 @@ class ConfigurationLookup:
             # versions of a key in order of validity, each with the highest version so far: a step function of time
             line = W.partitionBy("target_key").orderBy("valid_from", "version").rowsBetween(W.unboundedPreceding, 0)
             best = own.withColumn("best", F.max(F.struct("version", "content")).over(line))
-            steps = best.groupBy("target_key").agg(F.sort_array(F.collect_list(F.struct("valid_from", F.col("best.version").alias("version"), F.col("best.content").alias("content")))).alias("steps"))
-            pick = lambda c: F.element_at(F.filter(c, lambda s: s["valid_from"] <= F.col(TIME)), -1)["content"]
-            mine, any_ = steps.select(F.col("target_key").alias("k1__"), F.col("steps").alias("s1__")), steps.where("target_key = '*'").select(F.col("target_key").alias("k2__"), F.col("steps").alias("s2__"))
-            df = df.join(mine, F.col("on__") == F.col("k1__"), "left").join(any_, F.lit("*") == F.col("k2__"), "left")
-            safe = lambda c: F.when(F.size(F.filter(c, lambda s: s["valid_from"] <= F.col(TIME))) > 0, pick(c))  # noqa: B023, E731
-            df = df.withColumn("content__", F.coalesce(safe("s1__"), safe("s2__"))).drop("k1__", "s1__", "k2__", "s2__")
+            steps = best.select(F.col("target_key").alias("on__"), F.col("valid_from").alias(TIME), "version", F.struct(F.col("best.content").alias("content")).alias("found__"))
+            df = self._with_any(self._with_own(df, steps), steps)
             for name, f in fields.items():
                 if f.type == kind:
                     value = F.get_json_object(F.col("content__"), f.jsonpath) if isinstance(f, JSONField) else F.col("content__").cast("binary")
                     df = df.withColumn(name, F.coalesce(value, F.lit(f.default)) if f.default is not None else value)
-            df = df.drop("content__")
+            df = df.drop("content__", "found__")
         return df.drop("on__")
 
+    def _with_own(self, df: DataFrame, steps: DataFrame) -> DataFrame:
+        """``found__``: the step of the record's key; as-of in a batch, from the key's list of steps in a stream."""
+        if not df.isStreaming:
+            known = df.where(F.col("on__").isNotNull())
+            out = carried(known, steps, "on__", TIME, ["version"], 7 * 86_400_000, "found__")
+            return out.unionByName(df.where(F.col("on__").isNull()), allowMissingColumns=True)
+        listed = steps.groupBy(F.col("on__").alias("key__")).agg(_steps().alias("steps__"))
+        return df.join(listed, F.col("on__") == F.col("key__"), "left").withColumn("found__", _step_at("steps__")).drop("key__", "steps__")
+
+    def _with_any(self, df: DataFrame, steps: DataFrame) -> DataFrame:
+        """``content__``: of the step found, or of target ``*``, whose steps are one row that goes everywhere."""
+        any_ = steps.where("on__ = '*'")
+        if (n := any_.count()) > 100_000:
+            raise InvalidOperation(f"{n} versions for target * are too many to send everywhere")
+        if not n:
+            return df.withColumn("content__", F.col("found__.content"))
+        row = F.broadcast(any_.agg(_steps().alias("steps__")))
+        return df.join(row).withColumn("content__", F.when(F.col("found__").isNotNull(), F.col("found__.content")).otherwise(_step_at("steps__")["content"])).drop("steps__")
+
+
+def _steps() -> Column:
+    return F.sort_array(F.collect_list(F.struct(F.col(TIME).alias("t"), "version", "found__")))
+
+
+def _step_at(steps: str) -> Column:
+    past = F.filter(steps, lambda s: s["t"] <= F.col(TIME))
+    return F.when(F.size(past) > 0, F.element_at(past, -1)["found__"])
+
 
 def concat(left: EventFrame, right: EventFrame) -> EventFrame:
     if left.stream_id == right.stream_id:

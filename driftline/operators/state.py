@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
 from .windows import to_ms
 
@@ -85,16 +86,48 @@ def each(pdf: pd.DataFrame, columns: list[str], scalar: bool, order: tuple[str,
             yield dict(zip(columns, cells, strict=True)), head
 
 
+def python_column(func: Callable, returns: str, value: Column, metadata: bool, on_error: Callable[[Exception, Any], bool] | None = None) -> Column:
+    """A Python function of records as a column, in Arrow batches; null where ``on_error`` swallows an exception."""
+    kind = T._parse_datatype_string(returns)
+
+    def run(values, *rest):  # noqa: ANN001, ANN002, ANN202
+        if isinstance(values, pd.DataFrame):
+            records = [dict(zip(values.columns, map(plain, r), strict=True)) for r in values.itertuples(index=False, name=None)]
+        else:
+            records = [plain(x) for x in values.tolist()]
+        out = []
+        for record, *head in zip(records, *([plain(x) for x in c.tolist()] for c in rest), strict=True):
+            try:
+                out.append(func(record, *head))
+            except Exception as e:
+                if on_error is None or not on_error(e, record):
+                    raise
+                out.append(None)
+        if isinstance(kind, T.StructType):
+            return pd.DataFrame([[(r or {}).get(n) for n in kind.names] for r in out], columns=kind.names, dtype=object)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, kind, PandasUDFType.SCALAR)(value, *([F.col("_key"), F.col("_timestamp"), F.col("_headers")] if metadata else []))
+
+
 Step = Callable[[Any, tuple, Any], list[tuple]]
 
 
-def stepper(func: Callable, how: str, out_columns: list[str], metadata: bool, stateful: bool, expand: bool) -> Step:
-    """Runs a user function on a record: (value, reserved cells, state) to output rows, reserved cells first."""
+def stepper(func: Callable, how: str, out_columns: list[str], metadata: bool, stateful: bool, expand: bool, on_error: Callable[[Exception, Any], bool] | None = None) -> Step:
+    """Runs a user function on a record: (value, reserved cells, state) to output rows, reserved cells first.
+
+    An exception leaves the record out if ``on_error`` says so.
+    """
 
     def step(value: Any, head: tuple, state: State) -> list[tuple]:
         if stateful:
             state.advance(head[1])
-        got = func(value, *(head[:3] if metadata else ()), *((state,) if stateful else ()))
+        try:
+            got = func(value, *(head[:3] if metadata else ()), *((state,) if stateful else ()))
+        except Exception as e:
+            if on_error is None or not on_error(e, value):
+                raise
+            return []
         if how == "filter":
             results = [value] if got else []
         elif how == "update":

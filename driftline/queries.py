@@ -151,6 +151,52 @@ def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.df.select("event_id", "value")
 
 
+@query(f"WITH {E} SELECT k AS user_id, seq AS event_id, cents * 2 AS twice, cents % 7 AS rest FROM e WHERE cents % 7 > 0 AND cents % 2 = 1")
+def frame_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames made by functions, as masks and as assigned values."""
+    e = events(spark, sf_dir)
+    e = e[e.apply(lambda v: v["cents"] % 7)]
+    e["twice"] = e.apply(lambda v: {"c": v["cents"]}).apply(lambda v: v["c"] * 2)
+    e["rest"] = e.apply(lambda v: v["cents"] % 7, returns="bigint")
+    return rows(e[e.apply(lambda v: v["cents"] % 2 == 1, returns="boolean")], "event_id", "twice", "rest")
+
+
+@query(f"WITH {E} SELECT seq AS event_id, true AS has, false AS has_not, event_type AS header FROM e")
+def contains_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    e["has"], e["has_not"] = e.contains(["cents", "props"]), e.contains("absent")
+    e = e.set_headers(lambda v, k, t, h: F.array(F.struct(F.lit("type").alias("key"), F.encode(v["event_type"], "UTF-8").alias("value"))))
+    return e.df.select("event_id", "has", "has_not", F.decode(F.col("_headers")[0]["value"], "UTF-8").alias("header"))
+
+
+@query(f"WITH {E}, t AS (SELECT seq AS event_id, cents FROM e WHERE cents % 3 <> 0) SELECT event_id, 100000 // (cents % 3) AS value FROM t")
+def error_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callback swallows the exceptions of a function, and their records."""
+    e = events(spark, sf_dir)[["event_id", "cents"]]
+    e.on_error = lambda error, value: isinstance(error, ZeroDivisionError)
+    out = e.apply(lambda v: {"event_id": v["event_id"], "value": 100_000 // (v["cents"] % 3)}, returns="event_id bigint, value bigint")
+    return out.df.select("event_id", "value")
+
+
+def _shortcut(name: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = events(spark, sf_dir).apply(lambda v: v["cents"])
+        out = getattr(e.tumbling_window(DAY), name)().final()
+        value = F.array_join(F.col("value").cast("array<string>"), ",").alias("value") if name == "collect" else "value"
+        return rows(out, value, "start", "end")
+
+    run.__name__ = f"shortcut_{name}"
+    query(f'WITH {E}, w AS (SELECT k, ms // {DAY} * {DAY} AS s, {sql} AS value FROM e GROUP BY 1, 2), m AS (SELECT k, max(ms) AS mx FROM e GROUP BY 1) SELECT k AS user_id, value, s AS start, s + {DAY} AS "end" FROM w JOIN m USING (k) WHERE s + {DAY} <= mx')(run)
+
+
+_shortcut("sum", "sum(cents)::BIGINT")
+_shortcut("count", "count(*)")
+_shortcut("mean", "sum(cents)::DOUBLE / count(*)")
+_shortcut("min", "min(cents)")
+_shortcut("max", "max(cents)")
+_shortcut("collect", "string_agg(cents::VARCHAR, ',' ORDER BY ms, seq)")
+
+
 # time windows
 
 
@@ -367,7 +413,7 @@ SIDES = f"{E}, l AS (SELECT k, ms, seq AS l_id, cents FROM e WHERE event_type =
 def _asof(how: str, split: int | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         left, right = _sides(spark, sf_dir)
-        return rows(left.join_asof(right, how, split_ms=split), "l_id", "cents", "r_id", "r_cents")
+        return rows(left.join_asof(right, how, split_ms=split or 7 * DAY), "l_id", "cents", "r_id", "r_cents")
 
     run.__name__ = f"asof_{how}" + ("_split" if split else "")
     kind = "LEFT " if how == "left" else ""
@@ -399,6 +445,41 @@ for _how in ("inner", "left", "right", "outer"):
     _interval(_how)
 
 
+def _late_sides(spark: SparkSession, sf_dir: str) -> tuple[EventFrame, EventFrame]:
+    """The same in an order of arrival in which many come late."""
+    a, b = events(spark, sf_dir, late=True), events(spark, sf_dir, late=True)
+    left = a[a["event_type"] == "purchase"].apply(lambda v: {"l_id": v["event_id"], "cents": v["cents"]})
+    right = b[b["event_type"] == "view"].apply(lambda v: {"r_id": v["event_id"], "r_cents": v["cents"]})
+    return left, right
+
+
+LATE_SIDES = f"""{E}, a AS (SELECT *, (ms + (seq * 7919 % 97) * {HOUR}) * 1000000 + seq AS place FROM e), l AS (SELECT k, ms, place, seq AS l_id, cents FROM a WHERE event_type = 'purchase'),
+  r AS (SELECT k, ms, place, seq AS r_id, cents AS r_cents FROM a WHERE event_type = 'view')"""
+
+
+@query(
+    f"""WITH {LATE_SIDES}, m AS (SELECT l_id, max(r.ms) AS newest FROM l JOIN r ON l.k = r.k AND r.place < l.place GROUP BY 1),
+    x AS (SELECT l.l_id, arg_max(r_id, (r.ms, r.place)) AS r_id, arg_max(r_cents, (r.ms, r.place)) AS r_cents FROM l JOIN m USING (l_id) JOIN r ON l.k = r.k AND r.place < l.place AND r.ms <= l.ms AND r.ms >= newest - {2 * DAY} GROUP BY 1)
+    SELECT l.k AS user_id, l.l_id, cents, r_id, r_cents FROM l LEFT JOIN x USING (l_id)"""
+)
+def asof_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _late_sides(spark, sf_dir)
+    return rows(left.join_asof(right, "left", grace_ms=2 * DAY, by_arrival=True), "l_id", "cents", "r_id", "r_cents")
+
+
+@query(
+    f"""WITH {LATE_SIDES}, p AS (SELECT l.k, l_id, cents, r_id, r_cents, greatest(l.ms, r.ms) AS time, r.place < l.place AS right_first FROM l JOIN r ON l.k = r.k
+      AND (CASE WHEN r.place < l.place THEN r.ms BETWEEN l.ms - {BACK} AND l.ms ELSE l.ms BETWEEN r.ms - {AHEAD} AND r.ms END))
+    SELECT k AS user_id, l_id, cents, r_id, r_cents, time FROM p
+    UNION ALL SELECT k, l_id, cents, NULL, NULL, ms FROM l WHERE l_id NOT IN (SELECT l_id FROM p WHERE right_first)
+    UNION ALL SELECT k, NULL, NULL, r_id, r_cents, ms FROM r WHERE r_id NOT IN (SELECT r_id FROM p WHERE NOT right_first)"""
+)
+def interval_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _late_sides(spark, sf_dir)
+    out = left.join_interval(right, "outer", backward_ms=BACK, forward_ms=AHEAD, by_arrival=True)
+    return rows(out, "l_id", "cents", "r_id", "r_cents", F.col(TIME).alias("time"))
+
+
 @query(f"WITH {SIDES} SELECT l.k AS user_id, l_id, coalesce(r_cents, cents) AS cents FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.ms >= r.ms")
 def asof_keep_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _sides(spark, sf_dir)

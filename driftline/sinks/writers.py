@@ -42,12 +42,32 @@ class Sink:
                         raise
                     time.sleep(e.retry_after)
 
+        for side, df in frame.outputs:  # what goes elsewhere on the way has its own query, and its own checkpoint
+            if isinstance(side, Sink):
+                side.beside(df, trigger)
         if not frame.df.isStreaming:
             return batch(frame.df, 0)
         writer = frame.df.writeStream.outputMode(output or self.mode).foreachBatch(batch).trigger(**(trigger or {"availableNow": True}))
         return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+    def beside(self, df: DataFrame, trigger: dict[str, Any] | None) -> Any:
+        """Writes records that a frame passed on its way to another sink."""
+        if not df.isStreaming:
+            return self.write(df, 0)
+        return df.writeStream.outputMode(self.mode).foreachBatch(self.write).trigger(**(trigger or {"availableNow": True})).start()
+
+
+class ShowSink(Sink):
+    """Shows each batch, for debugging."""
+
+    def __init__(self, show: Callable[[DataFrame], None]):
+        self.show = show
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        self.show(df)
+
+
 def value_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (KEY, TIME, HEADERS, ORDER, "_topic", "_partition")]
 
