@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fields_of, forget, integer_key, map_arrow, stored
+from .common import column, fields_of, forget, integer_key, kept_as, map_arrow, stored
 from .induced import CHUNK, Scratch, suffixes
 
 GRAM, LONG_GRAM = 16, 44
@@ -332,7 +332,8 @@ def _segments(chunks: DataFrame, shared: DataFrame, length: int) -> DataFrame:
             segments: list[bytes] = []
             found: list[tuple] = []
             for tag, id_, mark, data, (mine, heads, ends) in rows:
-                which = np.flatnonzero(np.isin(mine, wanted))
+                at = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
+                which = np.flatnonzero(wanted[at] == mine) if len(wanted) else at[:0]
                 numbers = []
                 for n, a, b in zip(mine[which].tolist(), heads[which].tolist(), ends[which].tolist(), strict=True):
                     segment = data[a : b + length - 1]
@@ -510,4 +511,4 @@ def drop_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: s
                 out.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), left))
             yield _batch([*batch.columns[: len(kept)], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*kept, *own])
 
-    return map_arrow(joined, remove, schema).toDF(*keep, *own)
+    return map_arrow(joined, remove, schema).toDF(*kept_as(keep, own), *own)
