@@ -1,7 +1,7 @@
 """External induced sorting: suffix order and capped common prefixes of a byte string, in bounded memory.
 
 S* suffixes are named by their substrings (sorted runs in scratch, merged in blocks) and sorted by recursion on the
-string of names. From them L suffixes are induced in ascending and S suffixes in descending order, by a priority
+string of names, until they are so few that they are sorted in memory. From them L suffixes are induced in ascending and S suffixes in descending order, by a priority
 queue of suffix tuples (first character, order of insertion; place, common prefix with the tuple before). Tuples come
 out by character and then in the order in which they went in, so the queue is kept as first-in-first-out blocks by
 range of characters: a range holds about ``CHUNK`` tuples of several characters, or one frequent character. Only the
@@ -26,6 +26,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 CHUNK = 1 << 19
+#: So many times ``CHUNK`` S* suffixes at most are sorted in memory, the end of the recursion.
+_DIRECT = 2
 _FILE = 8 << 20
 
 
@@ -560,9 +562,42 @@ def _named(level: Level, stars: np.ndarray, run: np.ndarray) -> tuple[np.ndarray
     return names, example, width
 
 
+def _directly(level: Level, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """S* suffixes in ascending order, with common prefixes, by words of their characters; ties alone go on."""
+    text, n, m = level.text, len(level.text), len(stars)
+    per, bits = (8, 8) if text.dtype == np.uint8 else (4, 16) if text.dtype == np.uint16 else (2, 32)
+    rank = np.zeros(m, dtype=np.int64)  # the first place of the group
+    todo, first = np.arange(m), stars.astype(np.int64)
+    for w in range(((level.cap >> level.depth) + 1) // per + 1):  # a character stands for 2**depth of the text at least
+        key = np.zeros(len(todo), dtype=np.uint64)
+        at = first[todo] + w * per
+        for t in range(per):
+            inside = at + t < n
+            char = text[np.minimum(at + t, n - 1)].astype(np.uint64)
+            char[~inside] = 0
+            key = (key << np.uint64(bits)) | char
+        by = np.lexsort((key, rank[todo])) if w else np.argsort(key, kind="stable")
+        todo, key = todo[by], key[by]
+        own = rank[todo]
+        group = np.concatenate([[True], own[1:] != own[:-1]])
+        heads = group | np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.arange(len(todo))
+        rank[todo] = own + (place[heads][np.cumsum(heads) - 1] - place[group][np.cumsum(group) - 1])
+        todo = todo[~(heads & np.append(heads[1:], True))]
+        if not len(todo):
+            break
+    order, common = level.scratch.array(m, level.place), level.scratch.array(m, np.uint8)
+    order[:] = stars[np.argsort(rank, kind="stable")]
+    if m > 1:
+        common[1:] = level.shared(order[:-1], order[1:])
+    return order, common
+
+
 def _sorted_stars(level: Level, stars: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """S* suffixes in ascending order, with common prefixes: by their names, or by recursion on them."""
+    """S* suffixes in ascending order, with common prefixes: by their names, by recursion on these, or if few directly."""
     scratch, m = level.scratch, len(stars)
+    if m <= _DIRECT * CHUNK:
+        return _directly(level, stars)
     names, example, width = _named(level, stars, run)
     total = len(example)
     near = scratch.array(total, np.uint8)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,35 +93,26 @@ class Shard:
     def __init__(self, length: int, budget: int):
         self.length, self.scratch = length, Scratch(budget)
         self.text, self.lists, self.rows = [], [], []  # blocks
-        self.new: list[tuple[bytes, int, int]] = []
-        self.new_rows: list[tuple[int, ...]] = []
-        self.size = self.held = self.n = self.n_rows = 0
-
-    def add(self, segment: bytes, least: int, alone: bool) -> None:
-        """The next segment; one that is alone with its name needs no sorting, so its text is left out."""
-        self.new.append((b"" if alone else segment, least, len(segment) - self.length + 1))
-        size = 1 if alone else len(segment) + 1
-        self.size, self.held, self.n = self.size + size, self.held + size, self.n + 1
-        if self.held > 1 << 20:
-            self._gather()
-
-    def row(self, segment: int, *facts: int) -> None:
-        """A chunk that has the segment: chunk, at, base, most. Rows come by number of segment."""
-        self.new_rows.append((segment, *facts))
-        self.n_rows += 1
-        if len(self.new_rows) >= 1 << 15:
-            self._gather_rows()
-
-    def _gather(self) -> None:
-        if self.new:
-            self.text.append(self.scratch.put(np.frombuffer(b"\xff".join([s for s, _, _ in self.new]) + b"\xff", dtype=np.uint8)))
-            self.lists.append(self.scratch.put(np.array([(len(s), least, n) for s, least, n in self.new], dtype=np.int64).ravel()))
-            self.new, self.held = [], 0
-
-    def _gather_rows(self) -> None:
-        if self.new_rows:
-            self.rows.append(self.scratch.put(np.array(self.new_rows, dtype=np.int64).ravel()))
-            self.new_rows = []
+        self.size = self.n = self.n_rows = 0
+
+    def add(self, name: np.ndarray, hash_: np.ndarray, facts: list[np.ndarray], least: np.ndarray, segments: pa.Array) -> None:
+        """Rows of whole names, by name and hash: a chunk that has the segment (``facts``: chunk, at, base, most)."""
+        heads = _heads(name, hash_)
+        number = self.n + np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(name))))
+        names = name[heads]
+        starts = np.concatenate([[True], names[1:] != names[:-1]])
+        alone = starts & np.append(starts[1:], True)  # with its name: needs no sorting, so its text is left out
+        sizes = pc.binary_length(segments).to_numpy(zero_copy_only=False).astype(np.int64)[heads]
+        sorted_ = pa.array(heads[~alone])
+        kept = segments.take(sorted_)
+        own = np.where(alone, 0, sizes)
+        data = np.frombuffer(kept.buffers()[2], np.uint8)[: int(own.sum())] if len(kept) else np.empty(0, dtype=np.uint8)
+        text = np.full(len(data) + len(heads), 0xFF, dtype=np.uint8)  # a separator after each
+        text[np.arange(len(data)) + np.repeat(np.arange(len(heads)), own)] = data
+        self.text.append(self.scratch.put(text))
+        self.lists.append(self.scratch.put(np.stack([own, np.minimum.reduceat(least, heads), sizes - self.length + 1], axis=1).ravel()))
+        self.rows.append(self.scratch.put(np.stack([number, *facts], axis=1).ravel()))
+        self.size, self.n, self.n_rows = self.size + len(text), self.n + len(heads), self.n_rows + len(name)
 
     def _line(self, blocks: list, width: int, total: int) -> np.ndarray:
         out, at = self.scratch.array(width * total, np.int64), 0
@@ -134,8 +126,6 @@ class Shard:
 
     def answers(self) -> Iterator[list[np.ndarray]]:
         """Windows that a smaller document has, for each chunk with some: chunk, at, offset, windows, document."""
-        self._gather()
-        self._gather_rows()
         facts, rows = self._line(self.lists, 3, self.n), self._line(self.rows, 5, self.n_rows)
         for a in range(0, self.n_rows, CHUNK // 4):
             own = rows[a : a + CHUNK // 4]
@@ -168,31 +158,39 @@ class Shard:
             text[at : at + len(part)] = part + np.uint8(2)  # bytes FE and FF are not in UTF-8; separators become 1
             at += len(part)
             scratch.free(kept)
-        ends = np.cumsum(sizes + 1)
-        starts = ends - sizes - 1
-        first = scratch.array(self.size + 1, np.uint32)  # by place: the segment whose document decides, and 1
+        starts = np.cumsum(sizes + 1) - sizes - 1
         by_least = np.argsort(least, kind="stable")
-        rank = np.empty(self.n, dtype=np.int64)
+        rank = np.empty(self.n + 1, dtype=np.uint32)
         rank[by_least] = np.arange(self.n)
+        windows = np.maximum(sizes - length + 1, 0)
+        of = scratch.array(self.size + 1, np.uint32)  # by place: the segment whose window begins there, and 1
+        for a in range(0, self.n, CHUNK // 8):
+            k = np.arange(a, min(self.n, a + CHUNK // 8))
+            n = windows[k]
+            own = np.repeat(k, n)
+            of[np.repeat(starts[k], n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)] = own + 1
+        first = scratch.array(self.size + 1, np.uint32)  # by place: the segment whose document decides, and 1
         held: list = []
 
         def close() -> None:
             """The groups held: places that share ``length`` bytes, each from a head on."""
-            def of(kept, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                places, common = (scratch.get(x) for x in kept)
-                own = np.cumsum(common < length) + group
-                segment = np.minimum(np.searchsorted(ends, places, "right"), self.n - 1)
-                whole = places - starts[segment] + length <= sizes[segment]
-                return own[whole], segment[whole], places[whole], int(own[-1])
-
-            best, group = np.empty(0, dtype=np.int64), -1
+            best, group = np.empty(0, dtype=np.uint32), -1
             for kept in held:
-                own, segment, _, group = of(kept, group)
-                best = np.concatenate([best, np.full(group + 1 - len(best), self.n)])
-                np.minimum.at(best, own, rank[segment])
+                places, common = (scratch.get(x) for x in kept)
+                new = common < length
+                if not new[0] and group >= 0:  # the group of the block before goes on
+                    n = int(np.argmax(new)) if new.any() else len(new)
+                    best[group] = min(best[group], rank[of[places[:n]].astype(np.int64) - 1].min())
+                heads = np.flatnonzero(new)
+                if len(heads):
+                    best = np.append(best, np.minimum.reduceat(rank[of[places].astype(np.int64) - 1], heads))
+                    group += len(heads)
             group = -1
             for kept in held:
-                own, segment, places, group = of(kept, group)
+                places, common = (scratch.get(x) for x in kept)
+                own = np.cumsum(common < length) + group
+                group = int(own[-1])
+                segment = of[places].astype(np.int64) - 1
                 winner = by_least[best[own]]
                 later = least[winner] < least[segment]
                 first[places[later]] = winner[later] + 1
@@ -202,23 +200,27 @@ class Shard:
 
         waiting = 0
         for places, common in suffixes(text, length, scratch):
+            # what begins no window, or a window that no other is like, has a group of its own
+            new = common < length
+            keep = (of[places] > 0) & ~(new & np.append(new[1:], False))
+            places, common = places[keep], common[keep]
             new = np.flatnonzero(common < length)
-            if held and len(new):  # what came before the last group's head is complete
+            if len(new) and waiting + int(new[-1]) > CHUNK // 2:  # what came before the last group's head is complete
                 cut = int(new[-1])
-                if waiting + cut > CHUNK // 2:
-                    if cut:
-                        held.append((scratch.put(places[:cut]), scratch.put(common[:cut])))
+                if cut:
+                    held.append((scratch.put(places[:cut]), scratch.put(common[:cut])))
+                if held:
                     close()
-                    waiting, places, common = 0, places[cut:], common[cut:]
-            held.append((scratch.put(places), scratch.put(common)))
-            waiting += len(places)
+                waiting, places, common = 0, places[cut:], common[cut:]
+            if len(places):
+                held.append((scratch.put(places), scratch.put(common)))
+                waiting += len(places)
         if held:
             close()
         for a in range(0, self.size, CHUNK):
             place = np.flatnonzero(first[a : a + CHUNK]) + a
             if len(place):
-                won = first[place].astype(np.int64) - 1
-                segment = np.searchsorted(ends, place, "right")
+                won, segment = first[place].astype(np.int64) - 1, of[place].astype(np.int64) - 1
                 heads = _heads(segment, place - np.arange(len(place)), won)
                 yield segment[heads], place[heads] - starts[segment[heads]], np.diff(np.append(heads, len(place))), least[won[heads]]
 
@@ -417,34 +419,36 @@ def _dealt(segments: DataFrame, length: int, hot: int) -> DataFrame:
 
 def _answers(dealt: DataFrame, length: int, shard: int, budget: int) -> DataFrame:
     """Windows of a chunk's segments that a smaller document has: ``chunk, at, offset, windows, first``."""
-    names = ["chunk", "at", "offset", "windows", "first"]
+    own = ["chunk", "at", "offset", "windows", "first"]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Shard(length, budget)
-        name = key = text = None  # of the segment at hand, whose rows still come
-        least, alone = 0, True  # alone: the first of its name
+        now, held = Shard(length, budget), []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            for answer in now.answers():
-                yield _batch(answer, names)
+        def add(rows: pa.Table) -> None:
+            rows = rows.combine_chunks()
+            name, hash_, *facts, least = (rows.column(c).to_numpy() for c in ("name", "hash", "chunk", "at", "base", "most", "least"))
+            segments = rows.column("segment")
+            now.add(name, hash_, facts, least, segments.chunk(0) if segments.num_chunks == 1 else pa.concat_arrays(segments.chunks))
 
         for batch in batches:
-            for n, h, chunk, at, base, low, high, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n == name and h == key and segment == text:
-                    least = min(least, low)
-                else:
-                    if text is not None:
-                        now.add(text, least, alone and n != name)
-                        if n != name and (now.size >= shard or now.n_rows >= shard):
-                            yield from done()
-                            now = Shard(length, budget)
-                    alone, name, key, text, least = n != name, n, h, segment, low
-                now.row(now.n, chunk, at, base, high)
-        if text is not None:
-            now.add(text, least, alone)
-            yield from done()
-
-    met = dealt.repartition("name").sortWithinPartitions("name", "hash", "segment")
+            names = batch.column(0).to_numpy()
+            cut = int(_heads(names)[-1]) if len(names) else 0  # the last name may go on
+            if held and len(names) and (cut or held[-1].column(0)[-1].as_py() != names[0]):
+                add(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+                if now.size >= shard or now.n_rows >= shard:
+                    yield from (_batch(x, own) for x in now.answers())
+                    now = Shard(length, budget)
+            elif cut:
+                add(pa.Table.from_batches([batch.slice(0, cut)]))
+            if cut < len(names):
+                held.append(batch.slice(cut))
+        if held:
+            add(pa.Table.from_batches(held))
+        if now.n:
+            yield from (_batch(x, own) for x in now.answers())
+
+    met = dealt.repartition("name").sortWithinPartitions("name", "hash")
     return map_arrow(met, sort, "chunk long, at long, offset long, windows long, first long")
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -118,8 +119,36 @@ def test_count_of_collisions_loses_nothing():
     a /= np.linalg.norm(a, axis=1)[:, None]
     cosines = np.triu(a @ a.T, 1)
     want = set(map(tuple, np.argwhere(cosines >= 0.95).tolist()))
-    q, y = near_vectors.linked(a, a, 0.95, True)
-    assert set(zip(q.tolist(), y.tolist(), strict=True)) == want and want
+    got = [p for q, y in near_vectors.linked(a, a, 0.95, True) for p in zip(q.tolist(), y.tolist(), strict=True)]
+    assert set(got) == want and want and len(got) == len(want)
+
+
+def test_scaled_copies_of_one_vector(spark):
+    """Ties on the first projection, in blocks smaller than the group; vectors of length 1 are one or its opposite."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=8)
+    rows = [(x * f).tolist() for f in rng.uniform(0.1, 9, 700)] + [[float(f)] for f in range(1, 400)] + [[-2.0]] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
+    got = near_vectors.near_vectors(df, block=64).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 699), (700, 398), (1099, 2)}
+    assert sum(r["kept"] for r in got) == 3
+
+
+def test_memory_of_a_dense_block():
+    """All pairs of two blocks link; they are added up by tile, not listed."""
+    import tracemalloc
+
+    rng = np.random.default_rng(14)
+    a = np.ones((4096, 16)) + 0.01 * rng.normal(size=(4096, 16))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    tracemalloc.start()
+    n, trees = 0, near_vectors.Trees(2 * len(a))
+    for q, y in near_vectors.linked(a, a, 0.95, False):
+        n += len(q)
+        trees.join(q, y + len(a))
+    assert n == len(a) ** 2 and not trees.roots(np.arange(2 * len(a))).any()
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
 
 
 def in_order(text, cap, scratch):
@@ -137,6 +166,7 @@ def test_induced_sorting(budget, monkeypatch):
     rng = random.Random(8)
     for _ in range(200):
         monkeypatch.setattr(induced, "CHUNK", rng.choice([16, 64, 1024]))
+        monkeypatch.setattr(induced, "_DIRECT", rng.choice([0, 0.2, 2]))
         letters = rng.choice([b"ab", b"abc", b"abcdefgh", b"a"])
         s = bytes(rng.choice(letters) for _ in range(rng.randint(0, 80))) * rng.choice([1, 1, 3])
         in_order(np.append(np.frombuffer(s, np.uint8) + 1, 0).astype(np.uint8), rng.choice([1, 5, 50]), induced.Scratch(budget))
@@ -145,6 +175,7 @@ def test_induced_sorting(budget, monkeypatch):
 def test_induced_sorting_beyond_its_budget(monkeypatch):
     """A text of some times the budget: the queue's blocks and the arrays go to files, through several recursions."""
     monkeypatch.setattr(induced, "CHUNK", 4096)
+    monkeypatch.setattr(induced, "_DIRECT", 0.1)
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(400)]
     s = " ".join(rng.choice(words) for _ in range(9000)) + "=" * 3000 + "ab" * 2000
@@ -192,7 +223,7 @@ def test_lines(spark, awkward, nothing):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, id_ string")
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(df, min_sites=12).collect()}
     assert got[0]["text"] == "own line number 0 of it\nmore of 0, longer than the rest of it all\nshort" and (got[0]["n_lines"], got[0]["n_removed"]) == (4, 1)
-    assert got[30]["text"] == common and got[30]["n_removed"] == 0  # all of it would go
+    assert got[30]["text"] == "" and got[30]["n_removed"] == 1
     assert got[31]["text"] is None and got[31]["n_lines"] == 0 and got[32]["text"] == ""
     assert all(r["n_removed"] == 0 for r in line_dedup.drop_boilerplate(df, min_sites=13).collect())
     assert line_dedup.drop_boilerplate(awkward).count() == awkward.count() and line_dedup.drop_boilerplate(nothing).count() == 0
@@ -226,6 +257,44 @@ def test_piecewise_hashes(monkeypatch):
     assert ctph.fingerprint(text) == whole
 
 
+def plain_fingerprint(text):
+    """The definition, byte by byte."""
+    data = text.encode()
+    marks = []
+    for i in range(len(data)):
+        h = 0
+        for k in range(min(7, i + 1)):
+            h += data[i - k] * pow(0x01000193, k, 1 << 32)
+        h %= 1 << 32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % (1 << 32)
+        h ^= h >> 13
+        marks.append(h | 1 << 31)
+    level = max(2, (len(data) // 64).bit_length() - 3)
+    ends = lambda k: [i + 1 for i, h in enumerate(marks) if h % (1 << k) == 0]
+    while len(ends(level)) >= 64:
+        level += 1
+    out = [str(1 << level)]
+    for k in (level, level + 1):
+        cuts = sorted({0, *ends(k), len(data)})
+        out.append("".join(ctph.LETTERS[zlib.crc32(data[a:b]) % 64] for a, b in zip(cuts, cuts[1:], strict=False)))
+    return ":".join(out)
+
+
+def test_fingerprints_equal_their_definition():
+    rng = random.Random(15)
+    for n in (0, 1, 6, 7, 40, 300, 3000, 9000):
+        text = "".join(rng.choice("abcdé 🙂\n") for _ in range(n))
+        assert ctph.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_keys_that_are_no_integers(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (suffix_dedup.drop_repeats, ctph.edited):
+        with pytest.raises(TypeError):
+            f(df)
+
+
 def test_edited(spark, awkward, nothing):
     got = ctph.edited(awkward).collect()
     docs = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in awkward.collect()))
