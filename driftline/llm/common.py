@@ -106,9 +106,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` of functions of this package, for columns of any name."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(f, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
 
 
 def column(name: str) -> Column:
@@ -136,10 +144,16 @@ def fields_of(df: DataFrame) -> list[str]:
     return [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema]
 
 
-def no_clash(keep: tuple[str, ...], own: list[str]) -> None:
-    """Columns to keep must not have the names of the operator's results."""
-    if clash := sorted({k.lower() for k in keep} & {n.lower() for n in own}):
-        raise ValueError(f"the result has columns of its own named {', '.join(clash)}; rename them in the input")
+def kept_as(keep: tuple[str, ...], own: list[str]) -> tuple[str, ...]:
+    """Names of kept columns beside the operator's ``own``: one that clashes gets underscores before it."""
+    out: list[str] = []
+    for k in keep:
+        out.append(free_name([*own, *out], k))
+    return tuple(out)
+
+
+def chosen(keep: tuple[str, ...], names: tuple[str, ...]) -> list[Column]:
+    return [column(k).alias(n) for k, n in zip(keep, names, strict=True)]
 
 
 def integer_key(df: DataFrame, key: str) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow
+from .common import chosen, column, fields_of, free_name, integer_key, kept_as, map_arrow
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, MOST, LEAST_LEVEL = 7, 64, 2
@@ -112,14 +112,15 @@ def likeness(one: str, other: str) -> float:
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``fingerprint`` of every row; map-only."""
-    at = free_name(list(keep), "text_")
-    slim = docs.select(*[F.col(k) for k in keep], F.col(text).alias(at))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in slim.drop(at).schema]
+    names = kept_as(keep, ["fingerprint"])
+    at = free_name(list(names), "text_")
+    slim = docs.select(*chosen(keep, names), column(text).alias(at))
+    fields = fields_of(slim.drop(at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = pa.array([fingerprint(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*names, "fingerprint"])
 
     return map_arrow(slim, run, ", ".join([*fields, "fingerprint string"]))
 
@@ -129,25 +130,63 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", per_task
 
     Bounds are approximate quantiles; only they and the least key of each range reach the driver, a few for each
     shuffle partition. The rows themselves move once. Rows of one key follow each other by text; null keys come
-    last; after the last row comes the first.
+    last, in ranges of their texts' first seven bytes; after the last row comes the first.
     """
     spark = docs.sparkSession
-    ranges = per_task * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = sorted(set(slim.select("id").approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    place = F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
-    slim = slim.withColumn("to", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(place))
-    firsts = sorted((r["to"], r["id"]) for r in slim.select("id", "to").groupBy("to").agg(F.min("id").alias("id")).collect())
-    before = {to: firsts[i - 1][0] for i, (to, _) in enumerate(firsts)}
-    guest_of = F.lit(None).cast("int")
-    if firsts:
-        names = F.create_map(*[F.lit(x) for to, id_ in firsts for x in (int(to), int(before[to]))])
-        least = F.create_map(*[F.lit(x) for to, id_ in firsts if id_ is not None for x in (int(to), int(id_))]) if any(i is not None for _, i in firsts) else None
-        starts = F.col("id").isNull() if least is None else F.col("id").isNull() | (F.element_at(least, F.col("to")) == F.col("id"))
-        guest_of = F.when(starts, F.element_at(names, F.col("to")))
-    targets = F.array_compact(F.array(F.struct(F.col("to").cast("int").alias("to"), F.lit(False).alias("guest")), F.when(guest_of.isNotNull(), F.struct(guest_of.cast("int").alias("to"), F.lit(True).alias("guest")))))
-    sent = slim.withColumn("go", F.explode(targets)).select("go.to", "go.guest", "id", "text")
-    return sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "to").sortWithinPartitions("to", "guest", F.col("id").asc_nulls_last(), "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = per_task * tasks
+    own, data = integer_key(docs, key), F.coalesce(column(text), F.lit(""))
+    begin = F.conv(F.rpad(F.hex(F.substring(data.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    slim = docs.select(own.alias("id"), F.when(own.isNull(), begin).alias("begin"), data.alias("text"))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = lambda c: np.array(sorted(set(slim.select(c).approxQuantile(c, shares, 0.25 / ranges))), dtype=np.int64)
+    bounds = cuts("id")
+    null_bounds = np.empty(0, dtype=np.int64) if slim.select("id").where("id is null").isEmpty() else cuts("begin")
+
+    def place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and its order there."""
+        null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        id_, first = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1))
+        to = np.where(null, len(bounds) + 1 + np.searchsorted(null_bounds, first, "right"), np.searchsorted(bounds, id_, "right"))
+        return to.astype(np.int64), np.where(null, first, id_)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to, order = place(batch)
+            names, at = np.unique(to, return_inverse=True)
+            low = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(low, at, order)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(low)], names=["to", "least"])
+
+    heads = map_arrow(slim.select("id", "begin"), least, "to long, least long").groupBy("to").agg(F.min("least").alias("least")).collect()
+    heads = np.array(sorted((r["to"], r["least"]) for r in heads), dtype=np.int64).reshape(-1, 2)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guests: dict[int, tuple] = {}
+        held = 0
+
+        def call() -> pa.RecordBatch:
+            rows = [(to, True, *row) for to, row in guests.items()]
+            guests.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+        types, names = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()], ["to", "guest", "id", "begin", "text"]
+        for batch in batches:
+            to, order = place(batch)
+            at = np.searchsorted(heads[:, 0], to)
+            for i in np.flatnonzero(heads[at, 1] == order).tolist():  # it may be what follows the range before
+                before, row = int(heads[at[i] - 1, 0]), tuple(batch.column(k)[i].as_py() for k in range(3))
+                if before not in guests or row[2] < guests[before][2]:
+                    guests[before] = row
+                    held += len(row[2])
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.zeros(len(to), dtype=bool)), *batch.columns], names=names)
+            if held > 32 << 20:
+                yield call()
+                held = 0
+        yield call()
+
+    sent = map_arrow(slim, deal, "to long, guest boolean, id long, begin long, text string")
+    return sent.repartition(tasks, "to").sortWithinPartitions("to", "guest", F.col("id").asc_nulls_last(), "text").drop("begin")
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +194,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Edited: the last floor(n/2) of the n code points give way to the first as many of the next document's, by
     ascending key. Columns: ``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. Null texts count as empty; order of ties and nulls as in ``with_next``; a single row is its own
+    near_next. Keys are integers (others raise TypeError). Null texts count as empty; order of ties and nulls as in ``with_next``; a single row is its own
     next; an empty table gives no rows; other columns are not read.
     """
 
@@ -182,7 +221,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield _rows(out, key)
             out = []
 
-    return map_arrow(with_next(docs, key, text), run, f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(with_next(docs, key, text), run, f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _rows(rows: list[tuple], key: str) -> pa.RecordBatch:

@@ -5,8 +5,8 @@ when one lies in the window of half-width w centred on the other. As the squared
 sum to the squared distance, a pair within distance d misses at most floor(d^2 / w^2) windows. So the count that a
 candidate must reach is calibrated to full recall, and pairs that reach it are verified by cosine in double precision.
 
-Work is dealt in blocks of the first projection's order: a task holds two blocks, counts in sorted ranks, and
-returns link counts and a spanning forest, never the pairs. Pairs of blocks further apart than d on that projection
+Work is dealt in blocks of the first projection's order: a task holds two blocks, counts in sorted ranks, and adds up
+link counts and a spanning forest tile by tile, never holding the pairs of more than one tile. Pairs of blocks further apart than d on that projection
 are passed over. The number of block pairs grows with the square of the rows where the projection does not separate
 them: counting collisions for all pairs is quadratic work.
 """
@@ -14,15 +14,14 @@ them: counting collisions for all pairs is quadratic work.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, stored
+from .common import checkpointed, column, fields_of, join_unequal, map_arrow, stored
 from .components import components
 
 BLOCK, TILE = 8192, 64
@@ -43,7 +42,7 @@ def calibration(dim: int, threshold: float) -> tuple[float, int, int]:
 
 
 def candidates(one: np.ndarray, other: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs that reach the count, by tiles of ``one``; of one block with itself, each pair once."""
+    """Index pairs that reach the count, a part of a tile of ``one`` at a time; of one block with itself, each pair once."""
     half, misses, first = calibration(one.shape[1], threshold)
     m = one.shape[1]
     kind = np.uint16 if len(other) < 1 << 16 else np.uint32  # ties on the lead can make a block larger than asked
@@ -89,38 +88,46 @@ def candidates(one: np.ndarray, other: np.ndarray, threshold: float, same: bool)
             yield qq[part <= misses], yy[part <= misses]
 
 
-def linked(one: np.ndarray, other: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors with cosine of at least ``threshold``."""
+def linked(one: np.ndarray, other: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of unit vectors with cosine of at least ``threshold``, some at a time."""
     turn = rotation(one.shape[1])
     a = one @ turn
     b = a if same else other @ turn
-    qs, ys = [], []
     for q, y in candidates(a, b, threshold, same):
-        good = np.einsum("ij,ij->i", one[q], other[y]) >= threshold
-        qs.append(q[good])
-        ys.append(y[good])
-    none = np.empty(0, dtype=np.int64)
-    return np.concatenate([none, *qs]), np.concatenate([none, *ys])
-
-
-def _forest(q: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Least index reachable, by label propagation with shortcuts."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        least = np.minimum(label[q], label[y])
-        np.minimum.at(label, q, least)
-        np.minimum.at(label, y, least)
-        label = np.minimum(label, label[label])
-        if (label == before).all():
-            return label
+        for k in range(0, len(q), 1 << 15):
+            qq, yy = q[k : k + (1 << 15)], y[k : k + (1 << 15)]
+            good = np.einsum("ij,ij->i", one[qq], other[yy]) >= threshold
+            yield qq[good], yy[good]
+
+
+class Trees:
+    """Components of links that come in parts; least members name them."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        at = self.up[x]
+        while (above := self.up[at]).tolist() != at.tolist():
+            at = above
+        self.up[x] = at
+        return at
+
+    def join(self, q: np.ndarray, y: np.ndarray) -> None:
+        while True:
+            a, b = self.roots(q), self.roots(y)
+            open_ = a != b
+            if not open_.any():
+                return
+            q, y, a, b = q[open_], y[open_], a[open_], b[open_]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per row: ``key``, n_links (rows linked directly), component_id (smallest key reachable) and kept.
 
     Rows link where the cosine in double precision is at least ``threshold``. Null and zero vectors, vectors with
-    null or non-finite components and vectors of other lengths link with nothing. Rows of one vector are one
+    null or non-finite components and vectors of other lengths link with nothing. Rows of one unit vector are one
     node with a weight, so a group of copies of any size costs one. Rows with a null key count as links but never
     name a component, and are not kept unless alone with a null id (kept is false for null keys). An empty table
     gives no rows; other columns are not read.
@@ -129,23 +136,41 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
         raise ValueError("thresholds are 0.5 to 1, blocks up to 32768 rows")
     v = F.col("v")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    slim = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    rows = stored(slim.select("key", "v", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("v")).alias("node")), "vectors")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    slim = vectors.select(column(key).alias("key"), column(vector).cast("array<double>").alias("v"))
+    slim = slim.select("key", F.when(F.coalesce(fine, F.lit(False)), F.col("v")).alias("v"))
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lead, units, dims = [], [], []
-            for x in batch.column(1):
-                u = np.array(x.as_py(), dtype=float)
-                u /= np.abs(u).max()
-                u /= math.sqrt(float(u @ u))
-                lead.append(float(u @ rotation_lead(len(u))))
-                units.append(u.tobytes())
-                dims.append(len(u))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(dims, pa.int32()), pa.array(lead, pa.float64()), pa.array(units, pa.binary())], names=["node", "n", "dim", "lead", "unit"])
-
-    units = stored(map_arrow(nodes.select("node", "v", "n"), project, "node long, n long, dim int, lead double, unit binary"), "units")
+    def project(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from xxhash import xxh64_intdigest
+
+            for batch in batches:
+                node, check, lead, units, dims = [], [], [], [], []
+                for x in batch.column(1):
+                    u = x.as_py()
+                    if u is not None:
+                        u = np.array(u, dtype=float)
+                        u /= np.abs(u).max()
+                        u /= math.sqrt(float(u @ u))
+                        u += 0.0  # one zero only
+                    unit = None if u is None else u.tobytes()
+                    node.append(None if u is None else xxh64_intdigest(unit, seed) - (1 << 63))
+                    check.append(None if u is None else xxh64_intdigest(unit, seed + 1) - (1 << 63))
+                    lead.append(None if u is None else float(u @ rotation_lead(len(u))))
+                    units.append(unit)
+                    dims.append(None if u is None else len(u))
+                columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(dims, pa.int32()), pa.array(lead, pa.float64()), pa.array(units, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "check", "dim", "lead", "unit"])
+
+        return run
+
+    for seed in range(0, 64, 2):  # until no two unit vectors have one name, which is to be expected at once
+        fields = f"{fields_of(slim.select('key'))[0]}, node long, check long, dim int, lead double, unit binary"
+        rows = stored(map_arrow(slim, project(seed), fields), "vectors")
+        if rows.where("node is not null").groupBy("node").agg((F.min("check") != F.max("check")).alias("two")).where("two").isEmpty():
+            break
+    rows, every = rows.select("key", "node"), rows.where("node is not null")
+    units = stored(every.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("lead").alias("lead"), F.first("unit").alias("unit")), "units")
+    nodes = units.select("node", "n")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     found = None
     for r in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each vector length
@@ -158,8 +183,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
     parts = components(found.where("b is not null").select("a", "b"))
     named = nodes.select("node", "n").join(links, "node", "left").join(parts, "node", "left")
     named = checkpointed(named.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root")))
-    ids = rows.select("node", "key").where("node is not null").join(named, "node").groupBy("root").agg(F.min("key").alias("component_id"))
-    out = rows.select("key", "node").join(named.join(ids, "root"), "node", "left")
+    least = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least")).join(named.select("node", "root"), "node")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = checkpointed(join_unequal(named, ids, "root").select("node", "n_links", "component_id"))
+    out = join_unequal(rows, of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
@@ -174,37 +201,77 @@ def rotation_lead(dim: int) -> np.ndarray:
 
 
 def _found(units: DataFrame, n: int, threshold: float, block: int, reach: float) -> DataFrame:
-    """Link counts (``a, links``) and forest links (``a, b``) among unit vectors of one length."""
-    blocks = -(-n // block)
-    bounds = sorted(set(units.stat.approxQuantile("lead", [i / blocks for i in range(1, blocks)], 0.05 / blocks))) if blocks > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("lead"))) if bounds else F.lit(0)
-    edges = [-math.inf, *bounds, math.inf]
-    near = [[j for j in range(len(edges) - 1) if edges[max(i, j)] - edges[min(i, j) + 1] <= reach] for i in range(len(edges) - 1)]
-    to = F.element_at(F.array(*[F.array(*[F.lit(j) for j in js]) for js in near]), F.col("block") + 1)
-    dealt = units.withColumn("block", place).withColumn("mate", F.explode(to))
-    dealt = dealt.select(F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), "block", "node", "n", "unit")
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("node")
-        sides = [pdf[pdf["block"] == b] for b in ((i,) if i == j else (i, j))]
-        if any(len(s) == 0 for s in sides):
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("Int64")
-        mats = [np.frombuffer(b"".join(s["unit"]), dtype=float).reshape(len(s), -1) for s in sides]
-        q, y = linked(mats[0], mats[-1], threshold, i == j)
-        nodes = np.concatenate([s["node"].to_numpy() for s in sides])
-        weight = np.concatenate([s["n"].to_numpy() for s in sides])
-        if i != j:
-            y = y + len(mats[0])
-        links = np.zeros(len(nodes), dtype=np.int64)
-        np.add.at(links, q, weight[y])
-        np.add.at(links, y, weight[q])
-        label = _forest(q, y, len(nodes))
-        some, tree = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(nodes)))
-        a = pd.array(np.concatenate([nodes[some], nodes[tree]]), dtype="Int64")
-        b = pd.array([*[pd.NA] * len(some), *nodes[label[tree]].tolist()], dtype="Int64")
-        count = pd.array([*links[some].tolist(), *[pd.NA] * len(tree)], dtype="Int64")
-        return pd.DataFrame({"a": a, "b": b, "links": count})
-
-    tasks = max(1, sum(len(js) for js in near) // 2)
-    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(pair, "a long, b long, links long")
+    """Link counts (``a, links``) and forest links (``a, b``) among unit vectors of one length.
+
+    Blocks follow the first projection; rows of one value there (or of one range that the quantiles could not cut)
+    are cut further by their names, so no block is much larger than ``block``. Pairs of near blocks are numbered and
+    dealt by number, one to a task where there are that many.
+    """
+    spark = units.sparkSession
+    most = -(-n // block)
+    bounds = np.array(sorted(set(units.stat.approxQuantile("lead", [i / most for i in range(1, most)], 0.05 / most))) if most > 1 else [], dtype=float)
+
+    def range_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(bounds, batch.column(2).to_numpy(zero_copy_only=False), "right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["range", "node", "n", "lead", "unit"])
+
+    placed = stored(map_arrow(units.select("node", "n", "lead", "unit"), range_of, "range long, node long, n long, lead double, unit binary"), "placed")
+    sizes = {r["range"]: r["n"] for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a block
+    parts = np.array([-(-sizes.get(r, 0) // block) for r in range(len(bounds) + 1)], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    edges = np.concatenate([[-np.inf], bounds, [np.inf]])
+    low, high = np.repeat(edges[:-1], parts), np.repeat(edges[1:], parts)  # by block
+    last = np.searchsorted(low, high + reach, "right")  # blocks i to last[i] - 1 are near block i
+    count = last - np.arange(len(low))
+    pair = np.concatenate([[0], np.cumsum(count)])  # number of the pair (i, i)
+    least = np.searchsorted(last, np.arange(len(low)), "right")  # the first block that block j is near to
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = first[at] + (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % parts[at]
+            for b in np.unique(own).tolist():
+                rows = batch.filter(pa.array(own == b)).select(["node", "n", "unit"])
+                for i, j in [*((b, j) for j in range(b, int(last[b]))), *((i, b) for i in range(int(least[b]), b))]:
+                    number = pa.array(np.full(len(rows), pair[i] + j - i))
+                    yield pa.RecordBatch.from_arrays([number, pa.array(np.full(len(rows), b != i)), *rows.columns], names=["pair", "second", "node", "n", "unit"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if held and held[0].column(0)[0].as_py() != numbers[a]:
+                        yield met(held)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield met(held)
+
+    def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        second, nodes, weight = (whole.column(k).to_numpy() for k in (1, 2, 3))
+        size = len(whole.column(4)[0].as_py()) // 8
+        unit = np.frombuffer(b"".join(whole.column(4).to_pylist()), dtype=float).reshape(-1, size)
+        k, number = int((~second).sum()), int(whole.column(0)[0].as_py())
+        i = int(np.searchsorted(pair, number, "right")) - 1
+        same = number == pair[i]
+        links, trees = np.zeros(len(nodes), dtype=np.int64), Trees(len(nodes))
+        if same or 0 < k < len(nodes):
+            for q, y in linked(unit[:k], unit[:k] if same else unit[k:], threshold, same):
+                y = y if same else y + k
+                links += np.bincount(q, weight[y], len(nodes)).astype(np.int64) + np.bincount(y, weight[q], len(nodes)).astype(np.int64)
+                trees.join(q, y)
+        roots = trees.roots(np.arange(len(nodes)))
+        some, tree = np.flatnonzero(links), np.flatnonzero(roots != np.arange(len(nodes)))
+        a = pa.array(np.concatenate([nodes[some], nodes[tree]]))
+        b = pa.array([*[None] * len(some), *nodes[roots[tree]].tolist()], pa.int64())
+        return pa.RecordBatch.from_arrays([a, b, pa.array([*links[some].tolist(), *[None] * len(tree)], pa.int64())], names=["a", "b", "links"])
+
+    tasks = int(min(pair[-1], max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    dealt = map_arrow(placed.select("range", "node", "n", "unit"), deal, "pair long, second boolean, node long, n long, unit binary")
+    sent = dealt.withColumn("task", (F.col("pair") % tasks).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("pair", "second", "node")
+    return map_arrow(sent.drop("task"), link, "a long, b long, links long")

@@ -2,23 +2,22 @@
 
 Statistics of whole texts are standardised and mapped to cosines of random projections, whose inner products
 approximate a Gaussian kernel. Each partition sums its part of the normal equations, by fold of the training rows;
-the sums are added in a tree and solved on the driver (their size depends on the number of features alone).
+the parts are added up row by row, and solved on the driver (their size depends on the number of features alone).
 Out-of-fold scores, counted in fixed bins, are calibrated by pooling adjacent violators.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, map_arrow, stored
+from .common import checkpointed, chosen, column, fields_of, free_name, kept_as, map_arrow, stored
 
 STATISTICS = (
     "log_bytes", "log_words", "mean_word", "deviation_word", "upper", "digit", "space", "mark", "stop", "symbol", "bar", "bang",
@@ -60,14 +59,15 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``stats`` (array of float) of every row; map-only."""
-    at = free_name(list(keep), "text_")
-    slim = docs.select(*[F.col(k) for k in keep], F.col(text).alias(at))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in slim.drop(at).schema]
+    names = kept_as(keep, ["stats"])
+    at = free_name(list(names), "text_")
+    slim = docs.select(*chosen(keep, names), column(text).alias(at))
+    fields = fields_of(slim.drop(at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = pa.array([statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*names, "stats"])
 
     return map_arrow(slim, run, ", ".join([*fields, "stats array<float>"]))
 
@@ -111,18 +111,38 @@ def _matrix(batch: pa.RecordBatch, column: str = "stats") -> np.ndarray:
     return flat.reshape(batch.num_rows, len(STATISTICS)).astype(float)
 
 
-def _tree_sum(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of the vectors in ``v`` (bytes of doubles): by groups of parts first, so the driver adds 16 at most."""
+def _summed(train: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], rows: int, width: int) -> np.ndarray:
+    """Sum over the batches of ``f``, a matrix: by partition first, then row by row of the matrix.
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size)
-        for v in pdf["v"]:
-            total += np.frombuffer(v)
-        return pd.DataFrame({"v": [total.tobytes()]})
+    A row is added up by one task as its parts stream in, in order of partition; the driver gets the matrix once.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    out = np.zeros(size)
-    for r in parts.groupBy(F.pmod("part", F.lit(16)).alias("group")).applyInPandas(add, "v binary").collect():
-        out += np.frombuffer(r["v"])
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = f(batch)
+                total = own if total is None else total + own
+        if total is not None:
+            for a in range(0, rows, 256):
+                lines = [x.tobytes() for x in total[a : a + 256]]
+                number = np.arange(a, a + len(lines), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.full(len(lines), TaskContext.get().partitionId(), dtype=np.int32)), pa.array(lines, pa.binary())], names=["row", "part", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, v in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                own = np.frombuffer(v.as_py())
+                sums[row] = sums[row] + own if row in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["row", "v"])
+
+    parts = map_arrow(train, part, "row int, part int, v binary").repartition("row").sortWithinPartitions("row", "part")
+    out = np.zeros((rows, width))
+    for r in map_arrow(parts, add, "row int, v binary").collect():  # a matrix whose size depends on the features alone
+        out[r["row"]] = np.frombuffer(r["v"])
     return out
 
 
@@ -141,47 +161,28 @@ def fit(train: DataFrame, count: int = 256, ridge: float = 1e-2, width: float =
     m = count + d + 1
     if not moments or not 0 < rate < 1:
         return Model(features, np.zeros(m), np.array([0.0, 1.0]), np.array([rate, rate]))
-    size = FOLDS * (m * m + m)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def sums(batch: pa.RecordBatch) -> np.ndarray:
+        """By fold, the features' products with each other and, as the last column, with the label."""
+        x, y, folds = features(_matrix(batch)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        both = np.concatenate([x, y[:, None]], axis=1)
+        return np.concatenate([x[folds == k].T @ both[folds == k] for k in range(FOLDS)])
 
-        a, b, some = np.zeros((FOLDS, m, m)), np.zeros((FOLDS, m)), False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, some = features(_matrix(batch)), True
-            y, folds = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for k in range(FOLDS):
-                own = x[folds == k]
-                a[k] += own.T @ own
-                b[k] += own.T @ y[folds == k]
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate([a.ravel(), b.ravel()]).tobytes()], pa.binary())], names=["part", "v"])
-
-    total = _tree_sum(map_arrow(train, sums, "part int, v binary"), size)
-    a, b = total[: FOLDS * m * m].reshape(FOLDS, m, m), total[FOLDS * m * m :].reshape(FOLDS, m)
+    total = _summed(train, sums, FOLDS * m, m + 1).reshape(FOLDS, m, m + 1)
+    a, b = total[:, :, :m], total[:, :, m]
     n = moments[0]["n"]
     solve = lambda aa, bb: np.linalg.solve(aa + ridge * max(1.0, n / 1000) * np.eye(m), bb)
     weights = solve(a.sum(0), b.sum(0))
     held = np.stack([solve(a.sum(0) - a[k], b.sum(0) - b[k]) for k in range(FOLDS)])
     low, high = -0.5, 1.5
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def binned(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows and ones by bin of the score of the model that did not see the row."""
+        raw = (features(_matrix(batch)) * held[batch.column(2).to_numpy()]).sum(axis=1)
+        at = np.clip(((raw - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
+        return np.stack([np.bincount(at, minlength=BINS), np.bincount(at, batch.column(1).to_numpy(), BINS)]).reshape(32, -1)
 
-        out, some = np.zeros((BINS, 2)), False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, folds, some = features(_matrix(batch)), batch.column(2).to_numpy(), True
-            raw = (x * held[folds]).sum(axis=1)
-            at = np.clip(((raw - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
-            np.add.at(out, at, np.stack([np.ones(len(at)), batch.column(1).to_numpy()], axis=1))
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "v"])
-
-    bins = _tree_sum(map_arrow(train, binned, "part int, v binary"), 2 * BINS).reshape(BINS, 2)
+    bins = _summed(train, binned, 32, BINS // 16).reshape(2, BINS).T
     knots, levels = calibrate(low + (np.arange(BINS) + 0.5) * (high - low) / BINS, bins[:, 0], bins[:, 1])
     return Model(features, weights, knots, levels)
 
@@ -207,7 +208,7 @@ def calibrate(centres: np.ndarray, counts: np.ndarray, ones: np.ndarray) -> tupl
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:
     """``stats`` with its array replaced by ``score``; map-only."""
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in stats.schema if f.name != "stats"]
+    fields = fields_of(stats.drop("stats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +226,7 @@ def held_out(key: str = "doc_id"):
 
 
 def _trained(rows: DataFrame, labels: DataFrame, key: str, label: str, count: int) -> Model:
-    named = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label is not null")
+    named = labels.select(column(key).alias("key"), column(label).alias("label")).where("key is not null and label is not null")
     train = rows.join(named, "key").where(~held_out("key"))
     fold = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FOLDS)).cast("int")
     return fit(train.select("stats", "label", fold.alias("fold")), count)
@@ -239,14 +240,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, count:
     score alike. An empty table gives no rows; with no labels of one kind all scores are the share of ones (0.5
     without any). Other columns are not read.
     """
-    rows = stored(with_statistics(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ("key",)), "stats")
+    rows = stored(with_statistics(docs.select(column(key).alias("key"), column(text).alias("text")), ("key",)), "stats")
     out = scored(rows, _trained(rows, labels, key, label, count))
     return out.select(F.col("key").alias(key), held_out("key").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, count: int = 256, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` that ``classify`` would predict 1, with all their columns; the filter moves no text."""
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    slim = docs.select(column(key).alias("key"), column(text).alias("text"))
     model = _trained(with_statistics(slim, ("key",)), labels, key, label, count)
     at = docs.columns.index(text)
 

@@ -41,10 +41,13 @@ n AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
 bad AS (SELECT k FROM n WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT coalesce('s' || source, '-')) >= 10),
 m AS (SELECT n.*, bad.k IS NOT NULL AS gone FROM n LEFT JOIN bad USING (k)),
 d AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, coalesce(sum(length(line)) FILTER (gone), 0) AS lost,
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, count(*) FILTER (NOT gone AND k <> '') AS n_left,
     string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept
   FROM m GROUP BY doc_id),
-t AS (SELECT x.doc_id, x.text, d.*, n_gone > 0 AND lost <= 0.5 * length(x.text) AS acts FROM documents x LEFT JOIN d USING (doc_id))
+c AS (SELECT text, count(*) AS copies FROM documents GROUP BY text),
+t AS (
+  SELECT x.doc_id, x.text, n_lines, n_gone, coalesce(kept, '') AS kept, n_gone > 0 AND (n_left > 0 OR copies = 1) AS acts
+  FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN c ON x.text = c.text)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN acts THEN n_gone ELSE 0 END)::BIGINT AS n_removed,
   length(CASE WHEN acts THEN kept ELSE text END)::BIGINT AS kept_chars, sha256(CASE WHEN acts THEN kept ELSE text END) AS kept_sha256
 FROM t

@@ -12,12 +12,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow
+from .common import chosen, column, fields_of, free_name, kept_as, map_arrow
 
 #: The patterns of the base kinds, in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,7 +31,7 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAMED = re.compile(r"""(?:user(?:name)?|login|client_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.ASCII | re.IGNORECASE)
 _NAMES = ("user", "login", "clientid", "client_id", "accountid", "account_id", "accesskey", "access_key")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|\b(?:[a-z0-9-]+\.)+[a-z]{2,6}:[0-9]{2,5}\b", re.ASCII)
+_ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|\b(?:[a-z0-9-]{1,63}\.){1,10}[a-z]{2,6}:[0-9]{2,5}\b", re.ASCII)
 
 
 @dataclass(frozen=True, order=True)
@@ -56,7 +57,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_parts(text: str, base: list[Span]) -> list[Span]:
-    """Candidates that say little alone: short assignments, named identifiers, long mixed strings, endpoints."""
+    """Candidates that say little alone: short assignments, named identifiers, long mixed strings, endpoints.
+
+    A host has up to ten labels. Candidates that overlap a base span are left out.
+    """
     out = []
     low = text.lower()
     if any(w in low for w in _WORDS):
@@ -70,10 +74,11 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     if "://" in text or ":" in text and re.search(r"\.[a-z]{2,6}:[0-9]", text):
         out += [Span(m.start(), 5, m.end(), "endpoint", "endpoint") for m in _ENDPOINT.finditer(text)]
     taken = sorted((s.start, s.end) for s in base)
+    reach = list(accumulate((end for _, end in taken), max))  # the furthest end so far
 
     def free(s: Span) -> bool:
         i = bisect_left(taken, (s.end, 0))
-        return not any(b > s.start for _, b in taken[max(0, i - 8) : i])
+        return not i or reach[i - 1] <= s.start
 
     return sorted(s for s in out if free(s))
 
@@ -108,9 +113,10 @@ def scan(docs: DataFrame, scope: int = 300, keep: tuple[str, ...] = ("doc_id",),
     Offsets are code points, ends exclusive. Map-only; whole texts. Null texts count as empty and have no spans;
     repeated rows and null keys stay; an empty table gives no rows; other columns are not read.
     """
-    at = free_name(list(keep), "text_")
-    slim = docs.select(*[F.col(k) for k in keep], F.coalesce(F.col(text), F.lit("")).alias(at))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in slim.drop(at).schema]
+    names = kept_as(keep, ["found"])
+    at = free_name(list(names), "text_")
+    slim = docs.select(*chosen(keep, names), F.coalesce(column(text), F.lit("")).alias(at))
+    fields = fields_of(slim.drop(at))
     entry = pa.struct([("kind", pa.string()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,7 @@ def scan(docs: DataFrame, scope: int = 300, keep: tuple[str, ...] = ("doc_id",),
                 base, more = scan_text(t.as_py(), scope)
                 strong = set(base)
                 out.append([{"kind": s.kind, "role": s.role, "start": s.start, "end": s.end, "base": s in strong} for s in sorted([*base, *more])])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(entry))], names=[*keep, "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(entry))], names=[*names, "found"])
 
     return map_arrow(slim, run, ", ".join([*fields, "found array<struct<kind:string,role:string,start:bigint,end:bigint,base:boolean>>"]))
 

@@ -10,6 +10,7 @@ expands them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, map_arrow, stored
+from .common import checkpointed, chosen, column, fields_of, free_name, join_unequal, kept_as, map_arrow, row_identity, stored
 from .components import components
 
 SEED = 42
@@ -48,14 +49,15 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``simhash`` (the 64 bits as a long) of every row; map-only."""
-    at = free_name(list(keep), "text_")
-    slim = docs.select(*[F.col(k) for k in keep], F.col(text).alias(at))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in slim.drop(at).schema]
+    names = kept_as(keep, ["simhash"])
+    at = free_name(list(names), "text_")
+    slim = docs.select(*chosen(keep, names), column(text).alias(at))
+    fields = fields_of(slim.drop(at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words) for t in batch.column(batch.num_columns - 1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*keep, "simhash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*names, "simhash"])
 
     return map_arrow(slim, run, ", ".join([*fields, "simhash long"]))
 
@@ -78,32 +80,45 @@ def masks(half: int, fold: int) -> dict[int, np.ndarray]:
     return {int(bins[part[0]]): flat[part] for part in np.split(order, cuts)}
 
 
+_PARITIES = np.random.default_rng(SEED).integers(0, 1 << 64, 24, dtype=np.uint64)
+
+
+def _parity(values: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the value under some fixed masks: linear, like the fold, and independent of it."""
+    out = np.zeros(len(values), dtype=np.int64)
+    for k in range(bits):
+        out |= (np.bitwise_count(values & _PARITIES[k]).astype(np.int64) & 1) << k
+    return out
+
+
 def meet(own: np.ndarray, at: int, half: int, fold: int) -> np.ndarray:
     """Links (rows of two) among the fingerprints whose balls reach bin ``at``: those that share a variant there.
 
     Fingerprints with a common variant are all within 2 x half bits of each other, so links to the least of them
-    keep the components. Larger bins go in rounds over the variants' upper bits.
+    keep the components. Larger bins are split by parities of the variants: as these are linear too, which variants
+    of a fingerprint lie in a part follows from its own parities, and each is made once.
     """
     by_fold, groups = masks(half, fold), fold_of(own, fold)
-    order = np.argsort(groups, kind="stable")
-    parts = [(int(groups[p[0]]), p) for p in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1)]
-    total = sum(len(p) * len(by_fold.get(g ^ at, ())) for g, p in parts)
-    rounds = -(-total // _ROUND)
+    total = sum(int(n) * len(by_fold.get(int(g) ^ at, ())) for g, n in zip(*np.unique(groups, return_counts=True), strict=True))
+    bits = min(len(_PARITIES), max(0, (total - 1) // _ROUND).bit_length())
+    order = np.lexsort((_parity(own, bits), groups))
+    groups, parities = groups[order], _parity(own[order], bits)
+    cuts = np.flatnonzero((np.diff(groups) != 0) | (np.diff(parities) != 0)) + 1
+    parts = [(int(groups[p[0]]), int(parities[p[0]]), order[p]) for p in np.split(np.arange(len(own)), cuts)]
+    split: dict[int, dict[int, np.ndarray]] = {}
+    for g in {g for g, _, _ in parts}:
+        if (m := by_fold.get(g ^ at)) is not None:
+            of = _parity(m, bits)
+            split[g] = {int(v): m[of == v] for v in np.unique(of)}
     links = []
-    for now in range(rounds):
+    for now in range(1 << bits):
         values, owners = [], []
-        for g, p in parts:
-            if (m := by_fold.get(g ^ at)) is not None:
-                step = max(1, _ROUND // len(m))
-                for a in range(0, len(p), step):
-                    some = (own[p[a : a + step], None] ^ m[None, :]).ravel()
-                    who = np.repeat(p[a : a + step], len(m))
-                    if rounds > 1:
-                        mix = (some * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                        here = mix % np.uint64(rounds) == np.uint64(now)
-                        some, who = some[here], who[here]
-                    values.append(some)
-                    owners.append(who)
+        for g, u, p in parts:
+            if (m := split.get(g, {}).get(u ^ now)) is not None:
+                values.append((own[p, None] ^ m[None, :]).ravel())
+                owners.append(np.repeat(p, len(m)))
+        if not values:
+            continue
         variants, who = np.concatenate(values), np.concatenate(owners)
         ranked = np.sort(variants)
         twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
@@ -117,7 +132,7 @@ def meet(own: np.ndarray, at: int, half: int, fold: int) -> np.ndarray:
         first = np.concatenate([[True], run[1:] != run[:-1]])
         least = who[first][np.cumsum(first) - 1]
         pairs = np.stack([least, who], axis=1)[~first]
-        links.append(pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 2 * half])
+        links.append(np.unique(pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 2 * half], axis=0))
     return np.unique(np.concatenate(links), axis=0) if links else np.empty((0, 2), dtype=np.uint64)
 
 
@@ -146,11 +161,17 @@ class Forest:
         return True
 
 
-def ball_links(distinct: DataFrame, radius: int = 4, fold: int = 12) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (column ``simhash``) that keep the components at ``radius`` bits."""
+def ball_links(distinct: DataFrame, radius: int = 4, fold: int | None = None) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints (column ``simhash``) that keep the components at ``radius`` bits.
+
+    There are 2**``fold`` bins; without it, so many that a bin holds about a million variants.
+    """
     if radius % 2 or not 0 < radius <= 6:
         raise ValueError("the radius is 2, 4 or 6 bits")
     half = radius // 2
+    if fold is None:
+        variants = distinct.count() * sum(math.comb(64, k) for k in range(half + 1))
+        fold = min(30, max(12, (variants // 1_000_000).bit_length()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = np.array(sorted(masks(half, fold)), dtype=np.int64)
@@ -188,16 +209,16 @@ def ball_links(distinct: DataFrame, radius: int = 4, fold: int = 12) -> DataFram
     return map_arrow(sent.repartition("bin").sortWithinPartitions("bin"), link, "a long, b long")
 
 
-def grouped(docs: DataFrame, words: int, radius: int, fold: int, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns ``keep``, ``simhash`` and ``root`` (the group's name, a fingerprint) of every row."""
+def grouped(docs: DataFrame, words: int, radius: int, fold: int | None, keep: tuple[str, ...], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The columns ``keep`` and ``simhash`` of every row, and of every fingerprint its ``root``, the group's name."""
     found = stored(fingerprints(docs, words, keep, text), "simhash")
     distinct = checkpointed(found.select("simhash").distinct())
     parts = components(ball_links(distinct, radius, fold))
     named = distinct.join(parts.withColumnRenamed("node", "simhash"), "simhash", "left").select("simhash", F.coalesce("component", "simhash").alias("root"))
-    return found.join(checkpointed(named), "simhash")
+    return found, checkpointed(named)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, fold: int = 12, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, fold: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, ``simhash`` (long) and ``component_id``, the smallest key in its component.
 
     Documents are linked where their fingerprints differ in at most ``radius`` bits; components are those of all
@@ -206,18 +227,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, fold: int
     (a component of null keys alone has a null id); repeated rows stay; an empty table gives no rows; other
     columns are not read.
     """
-    rows = grouped(docs, words, radius, fold, (key,), text)
-    ids = rows.groupBy("root").agg(F.min(key).alias("component_id"))
-    return rows.join(ids, "root").select(key, "simhash", "component_id")
+    rows, named = grouped(docs, words, radius, fold, (key,), text)
+    least = rows.groupBy("simhash").agg(F.min(column(key)).alias("least")).join(named, "simhash")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = checkpointed(join_unequal(named, ids, "root").select("simhash", "component_id"))
+    return join_unequal(rows, of, "simhash").select(column(key), "simhash", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, fold: int = 12, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, fold: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest key (null keys last, ties by row hash).
 
     Of repeated rows one stays. Columns are those of the input, whatever their names; nulls as above.
     """
     own = free_name(docs.columns, "row_")
-    named = docs.withColumn(own, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = grouped(named, words, radius, fold, (key, own), text)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(own).alias("r"))).alias("first"))
-    return named.join(first.select(F.col("first.r").alias(own)), own).dropDuplicates([own]).select(*docs.columns)
+    named = docs.withColumn(own, row_identity(docs))
+    rows, roots = grouped(named, words, radius, fold, (key, own), text)
+    first = F.min(F.struct(column(key).isNull().alias("n"), column(key).alias("k"), F.col(own).alias("r"))).alias("first")
+    heads = rows.groupBy("simhash").agg(first).join(roots, "simhash").groupBy("root").agg(F.min("first").alias("first"))
+    return named.join(heads.select(F.col("first.r").alias(own)), own).dropDuplicates([own]).select(*map(column, docs.columns))

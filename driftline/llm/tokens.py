@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow
+from .common import chosen, column, fields_of, free_name, kept_as, map_arrow
 
 DEFAULT = "byte_bpe_50k.json"
 #: For the tokenizer's splitter, these are one run of letters and one of marks, whatever prefix is taken.
 _WORD = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
 _ODD_SPACE = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: White space and contractions of three characters, as the tokenizer's splitter has them.
+_SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+_PARTED = frozenset(("'re", "'ve", "'ll"))
 _KEEP, _LONG, _HEADS = 600_000, 256, (9, 7, 5)
 
 
@@ -165,8 +168,8 @@ class PrefixCounter:
     def table(self, chunk: str) -> list[int]:
         """Token counts of the code point prefixes of a chunk without special strings.
 
-        The pieces come from the tokenizer's own splitter. Where the end of a prefix changes the pieces (space
-        runs before a word, contractions), the prefix's last two pieces are split again.
+        The pieces come from the tokenizer's own splitter. Where the end of a prefix changes them (a run of space
+        leaves its last character to what follows; contractions), the table is that of the prefix's own pieces.
         """
         if m := _WORD.match(chunk):
             line, word, marks = m.groups()
@@ -178,33 +181,24 @@ class PrefixCounter:
                     base = out[-1]
                     out += [base + x for x in (self.tables[part] if part is word else self.chars(part))[1:]]
             return out
-        ends = [e for _, (_, e) in self.split(chunk)]
-        starts = [0, *ends[:-1]]
-        out, base = [0], [0]
-        for k, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        out, s, run, counts, before = [0], 0, (0, 0), [0], 0
+        base = 0  # tokens of the pieces before
+        for _, (_, e) in self.split(chunk):
             piece = chunk[s:e]
             own = self.chars(piece)
-            back = starts[k - 1] if k and (chunk[s - 1].isspace() or piece[0] == "'") else s
-            if piece[0] != "'" and not piece[-1:].isspace() and back == s:
-                out += [base[-1] + x for x in own[1:]]
-            else:
-                while back and chunk[back - 1].isspace():
-                    back = starts[bisect_right(starts, back - 1) - 1]
-                before = base[bisect_right(starts, back) - 1]
-                for end in range(s + 1, e + 1):
-                    if end - back > 4 * _LONG:  # a long run of one kind
-                        out.append(base[-1] + own[end - s])
-                    else:
-                        out.append(before + sum(self.chars(p)[-1] for p in self._pieces(chunk[back:end])))
-            base.append(base[-1] + own[-1])
+            if s >= run[1] and piece[0] in _SPACES:  # a run of space that a prefix ends in is one piece
+                stop = s + 1
+                while stop < len(chunk) and chunk[stop] in _SPACES:
+                    stop += 1
+                run, before, counts = (s, stop), base, self.chars(chunk[s:stop])
+            inside = max(0, min(e, run[1]) - s)
+            out += [before + counts[s - run[0] + i] for i in range(1, inside + 1)]
+            out += [base + x for x in own[inside + 1 :]]
+            if piece in _PARTED:  # its first two characters are two pieces
+                out[-2] = base + 2
+            s, base = e, base + own[-1]
         return out
 
-    def _pieces(self, part: str) -> Iterator[str]:
-        at = 0
-        for _, (_, e) in self.split(part):
-            yield part[at:e]
-            at = e
-
     @staticmethod
     def chunks(text: str) -> list[str]:
         """The text, cut before every space and line feed that follows something else than white space."""
@@ -346,10 +340,11 @@ def token_counts(docs: DataFrame, tokenizer: str = DEFAULT, budgets: tuple[int,
     columns of the input, whatever their names, are not read. Special strings inside texts count as the
     tokenizer's one token, its default.
     """
-    at = free_name(list(keep), "text_")
-    slim = docs.select(*[F.col(k) for k in keep], F.coalesce(F.col(text), F.lit("")).alias(at))
-    kept = slim.drop(at).schema
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in kept]
+    own_names = ["n_bytes", "n_tokens", *(f"chars_within_{b}" for b in budgets)]
+    names = kept_as(keep, own_names)
+    at = free_name(list(names), "text_")
+    slim = docs.select(*chosen(keep, names), F.coalesce(column(text), F.lit("")).alias(at))
+    fields = fields_of(slim.drop(at))
     schema = ", ".join([*fields, "n_bytes long", "n_tokens long", *(f"chars_within_{b} long" for b in budgets)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +355,6 @@ def token_counts(docs: DataFrame, tokenizer: str = DEFAULT, budgets: tuple[int,
             rows = [(len(t.encode()), own.count(t), own.fitting(t, budgets)) for t in (x.as_py() for x in texts)]
             arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
             arrays += [pa.array([r[2][i] for r in rows], pa.int64()) for i in range(len(budgets))]
-            names = [*batch.schema.names[:-1], "n_bytes", "n_tokens", *(f"chars_within_{b}" for b in budgets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*names, *own_names])
 
     return map_arrow(slim, count, schema)

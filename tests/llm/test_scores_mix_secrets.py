@@ -57,10 +57,45 @@ def test_mix(spark, awkward, nothing):
     mixed = mixing.mixed(df)
     assert mixed.columns == df.columns and mixed.count() == got["copies"].sum()
     odd = mixing.mix(awkward, keep=("doc_id", "size", "row__")).columns
-    assert odd[:3] == ["doc_id", "size", "row__"]
+    assert odd[:3] == ["doc_id", "_size", "row__"]
     assert mixing.mix(awkward).count() == awkward.count() and mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+def plain_rates(sizes, target, most):
+    """The dual's root by bisection, in plain numbers."""
+    mean, low, high = sizes.sum() / len(sizes), -500.0, 500.0
+    rates = lambda u: np.minimum(most, np.exp(np.minimum(500, u * sizes / mean)))
+    for _ in range(200):
+        u = (low + high) / 2
+        low, high = (low, u) if (sizes * rates(u)).sum() > target else (u, high)
+    return rates(low)
+
+
+def test_rates_and_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join(["w"] * int(n)), "abcd"[i % 4]) for i, n in enumerate(rng.geometric(0.05, 400))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), keep=("doc_id", "source")).toPandas()
+    sizes = {s: int(own["size"].sum()) for s, own in got.groupby("source")}
+    targets = shared(sizes, dict(zip("abcd", (5, 2, 1, 5), strict=True)), 3)
+    for s, own in got.groupby("source"):
+        assert abs(own["target"].iloc[0] - targets[s]) < 1e-6 and (own["source_size"] == sizes[s]).all()
+        if targets[s] < 3 * sizes[s]:
+            assert np.allclose(own["rate"], plain_rates(own["size"].to_numpy(float), targets[s], 3), rtol=1e-5)
+        else:
+            assert np.allclose(own["rate"], 3)
+        assert (np.abs(own["copies"] - own["rate"]) <= 2).all() and own["copies"].between(0, 3).all()
+        assert abs((own["copies"] * own["size"]).sum() - targets[s]) <= 0.5 * own["size"].max() + 1
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(22)
+    rows = [(f"s{i:04d}" if i else None, int(n), 1) for i, n in enumerate(rng.pareto(0.6, 500) * 10)]
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, source_size bigint, n bigint").repartition(5)).collect()}
+    names = sorted((s for s, _, _ in rows if s), key=str) + [None]
+    want = shared({r[0]: r[1] for r in rows}, {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}, 3)
+    assert len(got) == 500 and all(abs(got[s] - want[s]) <= 1e-6 * (1 + want[s]) for s in want)
+
+
 def plain_base(text):
     out = []
     for order, (kind, pattern, fits) in enumerate(
@@ -94,6 +129,20 @@ def test_weak_parts_need_their_complement():
     assert kinds("token=abcdefghijklmnop for user=bob") == ["identifier"]
 
 
+def test_weak_parts_that_overlap_base_spans():
+    for n in (3, 12, 40):
+        value = "/".join(["0123456789abcdef0"] * n)
+        text = f"user=bob token={value}.example.com:8080 x"
+        base = secret_scan.base_spans(text)
+        for s in secret_scan.weak_parts(text, base):
+            assert all(s.end <= b.start or b.end <= s.start for b in base)
+
+
+def test_long_odd_texts_end():
+    for part in ("a.", "a-", "a.b:", "token ", "user=", "x://"):
+        secret_scan.scan_text(part * 60_000)
+
+
 def test_linking_equals_brute_force():
     rng = np.random.default_rng(2)
     role = ["identifier", "secret", "endpoint"]
@@ -121,6 +170,31 @@ def test_calibration_pools_violators():
     assert (np.diff(y) >= 0).all() and abs(np.interp(0.25, x, y) - 0.4) < 0.01
 
 
+def test_model_equals_a_dense_solve(spark):
+    """Features, normal equations, out-of-fold scores and calibration in plain numpy."""
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(600, len(quality.STATISTICS))).astype(np.float32)
+    y, fold = (x[:, 0] + 0.3 * rng.normal(size=600) > 0).astype(float), rng.integers(0, quality.FOLDS, 600)
+    df = spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, fold, strict=True)], "stats array<float>, label int, fold int").repartition(7)
+    model = quality.fit(df, count=32)
+    wide = x.astype(float)
+    features = quality.Features(wide.mean(0), wide.std(0), 32, 4.0)
+    assert np.allclose(model.features.mean, features.mean) and np.allclose(model.features.scale, features.scale)
+    phi = features(wide)
+    solve = lambda k: np.linalg.solve(phi[k].T @ phi[k] + 1e-2 * np.eye(phi.shape[1]), phi[k].T @ y[k])
+    assert np.allclose(model.weights, solve(np.ones(600, dtype=bool)), atol=1e-6)
+    raw = np.array([phi[i] @ solve(fold != fold[i]) for i in range(600)])
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    centres = -0.5 + (np.arange(quality.BINS) + 0.5) * 2 / quality.BINS
+    knots, levels = quality.calibrate(centres, np.bincount(at, minlength=quality.BINS), np.bincount(at, y, quality.BINS))
+    assert np.allclose(model.knots, knots, atol=1e-3) and np.allclose(model.levels, levels, atol=1e-2)
+    cosines = phi[:, :32]  # whose inner products are near the kernel's
+    many = quality.Features(wide.mean(0), wide.std(0), 4096, 4.0)(wide[:50])[:, :4096]
+    z = np.clip((wide[:50] - wide.mean(0)) / wide.std(0), -8, 8)
+    kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(-1) / 32)
+    assert np.abs(many @ many.T - kernel).max() < 0.1 and cosines.shape == (600, 32)
+
+
 def test_statistics_are_finite():
     for t in (None, "", " ", "a", "!!!", "🙂" * 10, "a\n" * 1000):
         got = quality.statistics(t)

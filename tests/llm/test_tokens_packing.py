@@ -32,6 +32,25 @@ def test_every_prefix_is_exact():
         assert own.fitting(t, (3, 7)) == [max(i for i, n in enumerate(want) if n <= b) for b in (3, 7)]
 
 
+def test_prefixes_of_long_runs_are_exact():
+    inner, own = library(tokens.DEFAULT), tokens.counter(tokens.DEFAULT)
+    for t in ("a" + "\n" * 1500 + "b", " " * 1300 + "x" * 1300, "y" * 1200 + "'re", "\n " * 700 + "z", "-" * 1300 + "\n\n", "\t" * 1100 + " 'll"):
+        got = own.prefixes(t)
+        for k in [*range(0, len(t), 211), *range(len(t) - 4, len(t) + 1)]:
+            assert got[k] == len(inner.encode(t[:k], add_special_tokens=False).ids), (t[:5], k)
+
+
+def test_kept_columns_with_names_of_results(spark):
+    df = spark.createDataFrame([(5, "one two", 1)], "start bigint, text string, `a.b` int")
+    assert packing.pack(df, keep=("start", "a.b")).columns[:3] == ["_start", "a.b", "start"]
+    assert tokens.token_counts(df, keep=("a.b",)).first()["a.b"] == 1
+
+
+def test_tokenizers_that_look_at_spaces_are_refused():
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(public.path(tokens.DEFAULT))
+
+
 def test_token_counts_of_awkward_rows(awkward, nothing):
     inner = library(tokens.DEFAULT)
     got = tokens.token_counts(awkward).collect()
@@ -92,7 +111,9 @@ def test_pack_awkward_rows(awkward, nothing):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 256
-    one = next(r for r in rows if r["doc_id"] == 7)
-    ids = np.array([*inner.encode("one", add_special_tokens=False).ids, 2], "<u4")
-    assert one["length"] < len(ids) or one["ids_crc32"] == zlib.crc32(ids.tobytes())
+    texts_of = {}
+    for r in awkward.collect():
+        texts_of.setdefault(r["doc_id"], []).append(np.array([*inner.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4"))
+    for r in rows:  # every piece's ids are those of a document of its key
+        assert any(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for ids in texts_of[r["doc_id"]] if len(ids) == r["doc_tokens"])
     assert packing.pack(nothing).count() == 0
