@@ -11,3 +11,7 @@ class InvalidOperation(TypeError):
 
 class ColumnOverlap(ValueError):
     """Both sides of a join have a column, and the merge policy forbids it."""
+
+
+class IgnoreMessage(Exception):
+    """Raised by a deserializer for a message that is to be left out."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import struct
+from collections.abc import Callable
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
-from .errors import InvalidOperation
+from .errors import IgnoreMessage, InvalidOperation
 
 #: Fields of the time series envelope.
 TIMESTAMPS, NUMBERS, STRINGS, BINARIES, TAGS = "Timestamps", "NumericValues", "StringValues", "BinaryValues", "TagValues"
@@ -40,9 +44,84 @@ def from_bytes(c: Column, form: str, schema: str | None = None, charset: str = "
     raise InvalidOperation(f"no format {form}")
 
 
+BROKEN = "_broken"
+
+
 def lenient(c: Column, schema: str) -> Column:
-    """JSON where malformed input gives null: an error callback that swallows the record filters these out."""
-    return F.from_json(F.decode(c, "UTF-8"), schema, {"mode": "PERMISSIVE"})
+    """JSON where malformed input gives a struct of nulls, and its text in the field ``_broken`` (else null)."""
+    text = schema[schema.index("<") + 1 : schema.rindex(">")] if schema.strip().lower().startswith("struct<") else schema
+    return F.from_json(F.decode(c, "UTF-8"), f"{text}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+
+
+def well_formed(value: Column) -> Column:
+    return value[BROKEN].isNull()
+
+
+def from_python(c: Column, f: Callable[[bytes], Any], schema: str, on_error: str | Callable[[Exception, bytes], bool] = "raise") -> Column:
+    """A Python deserializer in Arrow batches: a struct of ``kept`` and ``value``; see ``sources.readers.Topic``."""
+    kind = T._parse_datatype_string(schema)
+    out_type = T.StructType([T.StructField("kept", T.BooleanType()), T.StructField("value", kind)])
+
+    def run(data):  # noqa: ANN001, ANN202
+        rows = []
+        for raw in data.tolist():
+            try:
+                rows.append((True, f(raw)))
+            except IgnoreMessage:
+                rows.append((False, None))
+            except Exception as e:
+                if not (on_error == "skip" or callable(on_error) and on_error(e, raw)):
+                    raise
+                rows.append((False, None))
+        return pd.DataFrame(rows, columns=["kept", "value"])
+
+    return F.pandas_udf(run, out_type, PandasUDFType.SCALAR)(c)
+
+
+class SchemaRegistry:
+    """A schema registry's envelope: a zero byte, the schema's number in four bytes, and the data.
+
+    Schemas are looked up by subject when the plan is made, through ``ask`` (method, path, body) -> answer, which by
+    default speaks HTTP to ``url``. Forms are JSON and Avro (which needs Spark's package).
+    """
+
+    def __init__(self, url: str, user: str | None = None, password: str | None = None, ask: Callable[[str, str, Any], Any] | None = None):
+        self.url, self.user, self.password = url.rstrip("/"), user, password
+        self.ask = ask or self._http
+
+    def _http(self, method: str, path: str, body: Any) -> Any:
+        import base64
+        import urllib.request
+
+        headers = {"Content-Type": "application/vnd.schemaregistry.v1+json"}
+        if self.user:
+            headers["Authorization"] = "Basic " + base64.b64encode(f"{self.user}:{self.password or ''}".encode()).decode()
+        request = urllib.request.Request(self.url + path, None if body is None else json.dumps(body).encode(), headers, method=method)
+        with urllib.request.urlopen(request, timeout=30) as answer:
+            return json.loads(answer.read())
+
+    def latest(self, subject: str) -> tuple[int, str]:
+        """Number and text of a subject's newest schema."""
+        got = self.ask("GET", f"/subjects/{subject}/versions/latest", None)
+        return int(got["id"]), got["schema"]
+
+    def register(self, subject: str, schema: str, form: str) -> int:
+        return int(self.ask("POST", f"/subjects/{subject}/versions", {"schema": schema, "schemaType": form.upper()})["id"])
+
+    def decode(self, c: Column, subject: str, form: str, schema: str | None = None) -> Column:
+        """``schema`` is the columns' type for JSON (none: a variant). Bytes without the envelope raise."""
+        marked = F.when(F.hex(F.substring(c, 1, 1)) == "00", F.substring(c, 6, 1 << 30)).otherwise(F.raise_error(F.lit("no schema envelope")).cast("binary"))
+        data = F.when(c.isNotNull(), marked)
+        if form == "json":
+            return from_bytes(data, "json", schema)
+        if form == "avro":
+            return from_bytes(data, "avro", self.latest(subject)[1])
+        raise InvalidOperation(f"no registry format {form}")
+
+    def encode(self, c: Column, subject: str, form: str, schema: str) -> Column:
+        number = self.register(subject, schema, form)
+        head = F.unhex(F.lit(f"00{number:08x}"))
+        return F.concat(head, to_bytes(c, form, **({"schema": schema} if form == "avro" else {})))
 
 
 def to_bytes(c: Column, form: str, charset: str = "UTF-8", **options: str) -> Column:

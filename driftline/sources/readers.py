@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..formats import from_bytes
+from ..formats import BROKEN, SchemaRegistry, from_bytes, from_python, lenient, well_formed
 from ..frame import HEADER_TYPE, EventFrame
 from ..operators.windows import HEADERS, KEY, ORDER, TIME
 
@@ -91,26 +91,45 @@ def pandas(spark: SparkSession, pdf: pd.DataFrame, key_column: str, timestamp_co
 
 @dataclass
 class Topic:
-    """A topic's formats: how bytes become value and key, and where event time is."""
+    """A topic's formats: how bytes become value and key, and where event time is.
+
+    ``value_format`` may be a Python function of bytes, with ``schema`` as its type; records for which it raises
+    ``IgnoreMessage`` are left out. ``on_error`` says what becomes of records that cannot be read: "raise", or "skip"
+    (JSON with a schema and Python functions), or a function of exception and bytes that answers true to skip
+    (Python functions). With ``registry``, values have its envelope.
+    """
 
     name: str
-    value_format: str = "json"
+    value_format: str | Callable[[bytes], Any] = "json"
     key_format: str = "bytes"
     schema: str | None = None
     timestamp: Callable[[Column], Column] | None = None
     options: dict[str, str] = field(default_factory=dict)
+    on_error: str | Callable[[Exception, bytes], bool] = "raise"
+    registry: SchemaRegistry | None = None
 
     def decode(self, df: DataFrame) -> EventFrame:
         """A frame of rows with the columns of a Kafka read: key, value, topic, partition, offset, timestamp, headers."""
-        value = from_bytes(F.col("value"), self.value_format, self.schema, **self.options)
+        if callable(self.value_format):
+            value = from_python(F.col("value"), self.value_format, self.schema, self.on_error)
+        elif self.registry is not None:
+            value = self.registry.decode(F.col("value"), f"{self.name}-value", self.value_format, self.schema)
+        elif self.on_error == "skip" and self.value_format == "json" and self.schema:
+            value = lenient(F.col("value"), self.schema)
+        else:
+            value = from_bytes(F.col("value"), self.value_format, self.schema, **self.options)
         key = from_bytes(F.col("key"), self.key_format)
         headers = F.col("headers").cast(HEADER_TYPE) if "headers" in df.columns else F.lit(None).cast(HEADER_TYPE)
         out = df.select(value.alias("value"), key.alias(KEY), F.unix_millis("timestamp").alias(TIME), headers.alias(HEADERS), F.col("offset").cast("long").alias(ORDER))
+        if callable(self.value_format):
+            out = out.where(F.col("value.kept")).withColumn("value", F.col("value.value"))
+        elif self.on_error == "skip" and self.value_format == "json" and self.schema:
+            out = out.where(well_formed(F.col("value")))
         if self.timestamp is not None:
             out = out.withColumn(TIME, self.timestamp(F.col("value")).cast("long"))
         kind = out.schema["value"].dataType
         if isinstance(kind, T.StructType):
-            out = out.select("value.*", KEY, TIME, HEADERS, ORDER)
+            out = out.select("value.*", KEY, TIME, HEADERS, ORDER).drop(BROKEN)
         return EventFrame(out)
 
 
@@ -123,10 +142,12 @@ def kafka(spark: SparkSession, servers: str, topic: Topic, streaming: bool = Tru
 class PolledSource(DataSource):
     """A Python data source over a client: ``slices`` says what there is to read, ``rows`` reads one slice.
 
-    Options: ``client`` is "module:function", a factory of an object with ``schema() -> str``,
-    ``slices(since: dict | None) -> (list[dict], dict)`` and ``rows(slice: dict) -> iterator of tuples``. A batch
-    read makes a task of each slice (a time range of a measurement, a shard, a subscription's batch); a stream
-    takes the slices since the last offset, which Spark's checkpoint keeps.
+    Options: ``client`` is "module:function", a factory of an object with ``schema() -> str``, ``slices(None) ->
+    (list[dict], at)`` and ``rows(slice: dict) -> iterator of tuples``. A batch read makes a task of each slice (a time
+    range of a measurement, a shard, a subscription's batch). For a stream the object also has ``latest() -> at``, a
+    plain value up to which there is something to read, and ``between(start, end) -> list[dict]``, the slices after
+    ``start`` (None: from the beginning) up to ``end``, the same ones whenever it is asked again; ``commit(at)``, if
+    there, is called when Spark's checkpoint has a batch. Slices are read by tasks.
     """
 
     @classmethod
@@ -145,7 +166,7 @@ class PolledSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Slices(self._client)
 
-    def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
         return _Stream(self._client)
 
 
@@ -165,21 +186,26 @@ class _Slices(DataSourceReader):
         yield from self.client().rows(partition.what)
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
     def __init__(self, client: Callable[[], Any]):
         self.client = client
 
     def initialOffset(self) -> dict:
         return {"at": None}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        client = self.client()
-        slices, at = client.slices(start["at"])
-        return iter([r for s in slices for r in client.rows(s)]), {"at": at}
+    def latestOffset(self) -> dict:
+        return {"at": self.client().latest()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Slice(s) for s in self.client().between(start["at"], end["at"])] if end["at"] is not None else []
+
+    def read(self, partition: _Slice) -> Iterator[tuple]:
+        yield from self.client().rows(partition.what)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def commit(self, end: dict) -> None:
         client = self.client()
-        return iter([r for s in client.slices(start["at"])[0] for r in client.rows(s)])
+        if hasattr(client, "commit"):
+            client.commit(end["at"])
 
 
 def polled(spark: SparkSession, client: str, key: Pick = None, timestamp: Pick = None, streaming: bool = False, **options: str) -> EventFrame:
