@@ -49,8 +49,8 @@ BROKEN = "_broken"
 
 def lenient(c: Column, schema: str) -> Column:
     """JSON where malformed input gives a struct of nulls, and its text in the field ``_broken`` (else null)."""
-    text = schema[schema.index("<") + 1 : schema.rindex(">")] if schema.strip().lower().startswith("struct<") else schema
-    return F.from_json(F.decode(c, "UTF-8"), f"{text}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    kind = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField(BROKEN, T.StringType())])
+    return F.from_json(F.decode(c, "UTF-8"), kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
 
 
 def well_formed(value: Column) -> Column:

@@ -130,3 +130,62 @@ def test_stateful_ttl_and_none_key(spark):
 def test_try_pipeline(spark):
     out = try_pipeline(spark, lambda f: f.apply(lambda v: v["a"] * 2), {"a": 4}, "a bigint", timestamp=7)
     assert out == [{"_key": "key", "_timestamp": 7, "_headers": None, "_offset": 0, "value": 8}]
+
+
+def test_frames_as_masks_and_values(spark):
+    f = EventFrame.records(spark, [({"a": i, "b": "x" * (i % 3)}, "k", i) for i in range(6)], "a bigint, b string")
+    assert sorted(r["a"] for r in f[f.apply(lambda v: v["b"])].df.collect()) == [1, 2, 4, 5]
+    g = f.apply(lambda v: {"a": v["a"], "c": v["a"] % 2})
+    assert sorted(r["a"] for r in g[g.apply(lambda v: v["c"])].df.collect()) == [1, 3, 5]
+    f["n"] = f.apply(lambda v: {"y": v["a"] + 1}).apply(lambda v: v["y"] * 10)
+    f["m"] = f.apply(lambda v: v["n"] + 1, returns="bigint")
+    f["s"] = f.apply(lambda v: {"p": v["n"], "q": v["b"]}, returns="p bigint, q string")
+    assert sorted((r["n"], r["m"], r["s"]["p"]) for r in f.df.collect())[:2] == [(10, 11, 10), (20, 21, 20)]
+    stale = f.apply(lambda v: v["a"])
+    f["z"] = 1
+    for bad in (stale, f.filter(lambda v: v["a"]), f.apply(lambda v: F.array(v["a"]), expand=True), EventFrame.records(spark, [({"a": 1}, "k", 1)], "a bigint")):
+        with pytest.raises(InvalidOperation):
+            f[bad]
+        with pytest.raises(InvalidOperation):
+            f["w"] = bad
+
+
+def test_update_names_with_odd_text(spark):
+    f = EventFrame.records(spark, [({"a": 1}, "k", 1)], "a bigint")
+    f.update(lambda v: {"b AS c": v["a"] + 1, "d": 5})
+    assert f.value_columns == ["a", "b AS c", "d"] and f.df.first()["b AS c"] == 2
+
+
+def test_error_callbacks(spark):
+    f = EventFrame.records(spark, [({"a": i}, "k", i) for i in range(4)], "a bigint")
+    broken = lambda v: 12 // v["a"]
+    with pytest.raises(Exception):  # noqa: B017
+        f.apply(broken, returns="bigint").df.collect()
+    f.on_error = lambda e, v: isinstance(e, ZeroDivisionError) and v == {"a": 0}
+    assert sorted(r["value"] for r in f.apply(broken, returns="bigint").df.collect()) == [4, 6, 12]
+    assert f.filter(broken, python=True).df.count() == 3
+
+    def total(v, state):
+        state.set("t", state.get("t", 0) + broken(v))
+        return state.get("t")
+
+    assert sorted(r["value"] for r in f.apply(total, returns="bigint", stateful=True).df.collect()) == [12, 18, 22]
+
+
+def test_bounded_runs(spark, tmp_path, capfd):
+    f = EventFrame.records(spark, [({"a": i}, "k", i) for i in range(5)], "a bigint")
+    assert len(f.run(count=2)) == 2 and len(f.run()) == 5 and f.run(collect=False) == []
+    f.df.write.parquet(str(tmp_path / "in"))
+    live = lambda: EventFrame(spark.readStream.schema(f.df.schema).parquet(str(tmp_path / "in")))
+    assert len(live().run(count=3)) == 3
+    assert sorted(r["_timestamp"] for r in live().run(timeout=3, metadata=True)) == [0, 1, 2, 3, 4]
+    assert len(live().run()) == 5
+    shown = live().print_table(title="newest")
+    from driftline.sinks.writers import ListSink
+
+    shown.sink(ListSink()).awaitTermination(60)
+    for q in spark.streams.active:
+        q.awaitTermination(60)
+    assert "newest" in capfd.readouterr().out
+    with pytest.raises(ValueError):
+        f.run(count=-1)

@@ -75,3 +75,47 @@ def test_configuration_versions(spark):
     f = EventFrame.records(spark, [({"a": t}, k, t) for k, t in [("k", 1), ("k", 5), ("k", 20), ("other", 3)]], "a bigint")
     got = f.join_lookup(ConfigurationLookup(log), {"x": JSONField("c", "$.x"), "raw": BytesField("c"), "no": JSONField("d", "$.q", default="-")})
     assert sorted((r["a"], r["x"], r["no"]) for r in got.df.collect()) == [(1, "1", "-"), (3, "9", "-"), (5, "3", "-"), (20, "3", "-")]
+
+
+def by_hand(left, right, how, grace, back=0, ahead=0):
+    """The sequential rules, record by record in order of arrival; (key, time, place, value) rows."""
+    log = sorted([(r[2], 1, r) for r in left] + [(r[2], 0, r) for r in right])
+    asof, pairs, seen = [], [], {0: [], 1: []}
+    for _, side, (k, t, o, v) in log:
+        others = [x for x in seen[1 - side] if x[0] == k]
+        if side == 1:
+            newest = max((x[1] for x in others), default=0)
+            fits = [x for x in others if newest - grace <= x[1] <= t]
+            best = max(fits, key=lambda x: (x[1], x[2]), default=None)
+            if best or how == "left":
+                asof.append((t, v, best and best[3]))
+            met = [x for x in others if t - back <= x[1] <= t]
+            pairs += [(t, v, x[3]) for x in met] + ([(t, v, None)] if not met and how in ("left", "outer") else [])
+        else:
+            met = [x for x in others if t - ahead <= x[1] <= t]
+            pairs += [(t, x[3], v) for x in met] + ([(t, None, v)] if not met and how in ("right", "outer") else [])
+        seen[side].append((k, t, o, v))
+    return sorted(asof, key=str), sorted(pairs, key=str)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "outer"])
+def test_joins_by_arrival(spark, how):
+    import random
+
+    rng = random.Random(5)
+    make = lambda n, first: [(rng.choice("ab"), rng.randint(0, 60), first + 2 * i, i) for i in range(n)]
+    left, right = make(40, 1), make(40, 0)
+    frame = lambda rows, name: EventFrame.of(spark.createDataFrame(rows, f"k string, t bigint, o bigint, {name} bigint"), "k", "t", "o")[[name]]
+    asof, pairs = by_hand(left, right, how, 15, 15, 5)
+    if how != "outer":
+        assert out(frame(left, "l").join_asof(frame(right, "r"), how, grace_ms=15, by_arrival=True), "l", "r") == asof
+    got = frame(left, "l").join_interval(frame(right, "r"), how, grace_ms=15, backward_ms=15, forward_ms=5, by_arrival=True)
+    assert out(got, "l", "r") == pairs
+
+
+def test_asof_of_null_keys_and_stretches(spark):
+    left, right = frames(spark, [({"l": i}, None if i % 5 == 0 else "k", 7 * i) for i in range(40)], [({"r": i}, "k", 50 * i) for i in range(4)])
+    whole = out(left.join_asof(right, "left"), "l", "r")
+    for split in (1, 10, 1000):
+        assert out(left.join_asof(right, "left", split_ms=split), "l", "r") == whole
+    assert len(whole) == 40 and sum(r is None for _, _, r in whole) == 8

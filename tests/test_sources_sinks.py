@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline import formats
+from driftline.errors import IgnoreMessage
 from driftline.frame import EventFrame
 from driftline.sinks import services as S
 from driftline.sinks import writers as W
 from driftline.sources import readers as R
+from driftline.sources.clients import Buffered, TimeSlices
 
 
 def make(spark):
@@ -75,6 +77,115 @@ class Client:
         yield (f"k{part['n']}", part["n"])
 
 
+class LogClient(Client):
+    """A stream of numbers up to what a file says; commits are written to another."""
+
+    def latest(self):
+        with open(f"{self.options['path']}/upto") as f:
+            return int(f.read())
+
+    def between(self, start, end):
+        return [{"n": n} for n in range(start or 0, end)]
+
+    def commit(self, at):
+        with open(f"{self.options['path']}/committed", "a") as f:
+            f.write(f"{at}\n")
+
+
+def test_polled_stream_is_bounded_and_committed(spark, tmp_path):
+    seen = []
+    for upto in (3, 5):
+        (tmp_path / "upto").write_text(str(upto))
+        live = R.polled(spark, "tests.test_sources_sinks:LogClient", key="k", timestamp="t", streaming=True, path=str(tmp_path))
+        sink = W.ListSink()
+        live.sink(sink, checkpoint=str(tmp_path / "cp")).awaitTermination(120)
+        seen.append(sorted(r["t"] for r in sink))
+    assert seen == [[0, 1, 2], [3, 4]]
+
+
+class Queue(Buffered):
+    """Messages in memory; ``acked`` holds those acknowledged."""
+
+    waiting, acked = [], []
+
+    def pull(self, most, timeout, keep):
+        got = self.waiting[:most]
+        keep([("k", d, 1) for d in got])
+        del self.waiting[:most]
+        self.acked.extend(got)
+
+
+def test_queues_are_spooled_before_they_are_acknowledged(tmp_path):
+    q = Queue({"spool": str(tmp_path / "spool"), "max_messages": "2"})
+    Queue.waiting[:] = [b"a", b"b", b"c"]
+    first = q.latest()
+    assert Queue.acked == [b"a", b"b"]
+    again = Queue({"spool": str(tmp_path / "spool")})  # after a restart the batch is there still, as often as asked for
+    for _ in range(2):
+        assert [r for s in again.between(None, first) for r in again.rows(s)] == [("k", b"a", 1), ("k", b"b", 1)]
+    second = again.latest()
+    again.commit(first)
+    assert again.between(None, first) == [] and [d for s in again.between(first, second) for _, d, _ in again.rows(s)] == [b"c"]
+    assert again.latest() == second
+    again.commit(second)
+    assert q.latest() == second
+    with pytest.raises(ValueError):
+        Queue({})
+
+    class Failing(Queue):
+        def _write(self, name, text):
+            raise OSError
+
+    Queue.waiting[:] = [b"d"]
+    with pytest.raises(OSError):
+        Failing({"spool": str(tmp_path / "spool")}).latest()
+    assert Queue.waiting == [b"d"]
+
+
+def test_time_slices_do_not_change():
+    c = TimeSlices({"measurements": "a,b", "start_ms": "0", "end_ms": "25", "step_ms": "10"})
+    assert c.latest() == 25 and c.between(10, 25) == c.between(10, 25)
+    assert [(s["measurement"], s["start"], s["end"]) for s in c.slices(20)[0]] == [("a", 20, 25), ("b", 20, 25)]
+
+
+def test_python_deserializers(spark):
+    df = spark.createDataFrame([(b"k", b"1"), (b"k", b"x"), (b"k", b"skip")], "key binary, value binary").selectExpr("*", "'t' AS topic", "0 AS partition", "0L AS offset", "timestamp_millis(5) AS timestamp")
+
+    def read(raw):
+        if raw == b"skip":
+            raise IgnoreMessage
+        return {"a": int(raw)}
+
+    topic = lambda **o: R.Topic("t", read, key_format="string", schema="struct<a:bigint>", **o)
+    assert values(topic(on_error="skip").decode(df), "a") == [(1,)]
+    assert values(topic(on_error=lambda e, raw: isinstance(e, ValueError)).decode(df), "a") == [(1,)]
+    with pytest.raises(Exception):  # noqa: B017
+        topic().decode(df).df.collect()
+    bad = df.withColumn("value", F.when(F.col("value") == F.lit(b"1"), F.lit(b'{"a": 1}')).otherwise(F.col("value")))
+    got = R.Topic("t", schema="struct<a:bigint>", key_format="string", on_error="skip").decode(bad)
+    assert values(got, "a") == [(1,)] and "_broken" not in got.df.columns
+
+
+def test_schema_registry(spark):
+    asked = []
+
+    def ask(method, path, body):
+        asked.append((method, path))
+        return {"id": 7, "schema": "{}"}
+
+    registry = formats.SchemaRegistry("http://registry", ask=ask)
+    df = spark.createDataFrame([(3,)], "a bigint").select(registry.encode(F.struct("a"), "t-value", "json", "{}").alias("value"))
+    raw = bytes(df.first()["value"])
+    assert raw[:5] == b"\x00\x00\x00\x00\x07" and json.loads(raw[5:]) == {"a": 3}
+    assert asked == [("POST", "/subjects/t-value/versions")] and registry.latest("t-value") == (7, "{}")
+    assert df.select(registry.decode(F.col("value"), "t-value", "json", "a bigint").alias("v")).first()["v"]["a"] == 3
+    topic = R.Topic("t", schema="a bigint", key_format="string", registry=registry)
+    rows = df.selectExpr("CAST('k' AS binary) AS key", "value", "'t' AS topic", "0 AS partition", "0L AS offset", "timestamp_millis(5) AS timestamp")
+    assert values(topic.decode(rows), "_key", "a") == [("k", 3)]
+    with pytest.raises(Exception):  # noqa: B017
+        spark.range(1).select(registry.decode(F.lit(b"no"), "s", "json", "a bigint")).collect()
+
+
 def test_polled_source(spark):
     got = R.polled(spark, "tests.test_sources_sinks:Client", key="k", timestamp="t")
     assert values(got, "_key", "_timestamp") == [("k0", 0), ("k1", 1)]
@@ -88,6 +199,7 @@ def test_wire_formats(spark):
     assert bytes(df.select(formats.to_bytes(F.col("i"), "integer")).first()[0]) == (-5).to_bytes(4, "big", signed=True)
     bad = spark.createDataFrame([(b"{",)], "b binary")
     assert bad.select(formats.lenient(F.col("b"), "a bigint").alias("x")).first()["x"]["a"] is None
+    assert bad.select(formats.lenient(F.col("b"), "struct<a:bigint>").alias("x")).first()["x"][formats.BROKEN] == "{"
     with pytest.raises(Exception):  # noqa: B017
         bad.select(formats.from_bytes(F.col("b"), "json", "a bigint")).collect()
 
