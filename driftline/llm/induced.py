@@ -27,7 +27,7 @@ import numpy as np
 
 CHUNK = 1 << 19
 #: So many times ``CHUNK`` S* suffixes at most are sorted in memory, the end of the recursion.
-_DIRECT = 2
+_DIRECT = 5
 _FILE = 8 << 20
 
 
@@ -53,7 +53,7 @@ class Scratch:
         self.spilled += 1
         with tempfile.TemporaryFile() as f:
             f.truncate(size)
-            return np.memmap(f, dtype=kind, mode="r+", shape=(n,))
+            return np.asarray(np.memmap(f, dtype=kind, mode="r+", shape=(n,)))
 
     def drop(self, *arrays: np.ndarray) -> None:
         for a in arrays:
@@ -378,19 +378,32 @@ class Pass:
             held = [held[0][order].astype(np.int64), held[1][order].astype(np.int64), held[2][order]]
         else:
             held = none
-        extra, want, ia, ie = none, 1024, 0, 0
+        # sorted runs, oldest first: what the queue held, and what has been pushed to this range since
+        runs: list[list] = [[*held, 0]] if len(held[0]) else []
+        want = 1024
 
         def after(to, at, shared) -> None:  # pushes of this range wait in memory, others go to their queues
-            nonlocal extra, ie
+            nonlocal runs
             k = int(np.searchsorted(to, high))
             self.push(to[k:], at[k:], shared[k:])
-            if k:
-                both = [np.concatenate([x[ie:], y[:k]]) for x, y in zip(extra, (to, at, shared), strict=True)]
+            if not k:
+                return
+            runs.append([to[:k], at[:k], shared[:k], 0])
+            if len(runs) > 16:  # all but the queue's own become one
+                kept = runs[:1] if len(held[0]) and runs[0][0] is held[0] else []
+                more = [[x[r[3] :] for x in r[:3]] for r in runs[len(kept) :]]
+                both = [np.concatenate(x) for x in zip(*more, strict=True)]
                 order = np.argsort(both[0], kind="stable")
-                extra, ie = [x[order] for x in both], 0
+                runs = [*kept, [*(x[order] for x in both), 0]]
+
+        def advance(upto: int) -> None:
+            nonlocal runs
+            for r in runs:
+                r[3] = int(np.searchsorted(r[0], upto))
+            runs = [r for r in runs if r[3] < len(r[0])]
 
         while True:
-            nexts = [int(x[0][i]) for x, i in ((held, ia), (extra, ie)) if i < len(x[0])]
+            nexts = [int(r[0][r[3]]) for r in runs]
             f = int(starts[low])
             if f < int(starts[high]):
                 nexts.append(int(np.searchsorted(starts, f, "right")) - 1)
@@ -398,17 +411,17 @@ class Pass:
                 return
             low = min(nexts)
             f = int(starts[low])
-            stop = [int(x[0][i + want]) for x, i in ((held, ia), (extra, ie)) if i + want < len(x[0])]
+            stop = [int(r[0][r[3] + want]) for r in runs if r[3] + want < len(r[0])]
             if f + want < int(starts[high]):
                 stop.append(int(np.searchsorted(starts, f + want, "right")) - 1)
             upto = max(low + 1, min([high, *stop]))
-            ja, je = int(np.searchsorted(held[0], upto)), int(np.searchsorted(extra[0], upto))
+            parts = [[x[r[3] : int(np.searchsorted(r[0], upto))] for x in r[:3]] for r in runs]
             fp, fc = self.fixed.take(f, int(starts[upto]))
-            chars = np.concatenate([held[0][ia:ja], extra[0][ie:je], np.repeat(np.arange(low, upto), np.diff(starts[low : upto + 1]))])
+            chars = np.concatenate([*(x[0] for x in parts), np.repeat(np.arange(low, upto), np.diff(starts[low : upto + 1]))])
             mover = np.arange(len(chars)) < len(chars) - len(fp)
             order = np.argsort(chars * 2 + ~mover, kind="stable")
-            places = np.concatenate([held[1][ia:ja], extra[1][ie:je], fp.astype(np.int64)])[order]
-            common = np.concatenate([held[2][ia:ja], extra[2][ie:je], fc])[order]
+            places = np.concatenate([*(x[1] for x in parts), fp.astype(np.int64)])[order]
+            common = np.concatenate([*(x[2] for x in parts), fc])[order]
             chars, mover = chars[order], mover[order]
             before, pushes = self.causes(chars, places, mover)
             back = before[pushes & (before < upto)]
@@ -417,7 +430,7 @@ class Pass:
                 n = int(np.searchsorted(chars, least))
                 chars, places, common, mover = chars[:n], places[:n], common[:n], mover[:n]
                 pushed = self.emit(chars, places, common, mover, before[:n], pushes[:n])
-                ia, ie = int(np.searchsorted(held[0], least)), int(np.searchsorted(extra[0], least))
+                advance(least)
                 want = 2 * want if least == upto else max(256, 2 * n)
                 low = least
                 after(*pushed)
@@ -426,7 +439,7 @@ class Pass:
             n = int(np.searchsorted(chars, low, "right"))  # the first character pushes to itself
             k = int(mover[:n].sum())
             fixed = places[k:n], common[k:n].copy()
-            ia, ie = int(np.searchsorted(held[0], low, "right")), int(np.searchsorted(extra[0], low, "right"))
+            advance(low + 1)
             places, common = places[:k], common[:k].copy()
             yield from self._generations(low, places, common, after)
             if len(fixed[0]):

@@ -333,7 +333,11 @@ def _segments(chunks: DataFrame, shared: DataFrame, length: int) -> DataFrame:
             known: dict[tuple[int, int], int] = {}
             segments: list[bytes] = []
             found: list[tuple] = []
+            copies: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
             for tag, id_, mark, data, (mine, heads, ends) in rows:
+                if data in copies:
+                    found.append((copies[data][0], tag, mark, id_, copies[data][1]))
+                    continue
                 at = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
                 which = np.flatnonzero(wanted[at] == mine) if len(wanted) else at[:0]
                 numbers = []
@@ -344,7 +348,8 @@ def _segments(chunks: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     if at == len(segments):
                         segments.append(segment)
                     numbers.append(at)
-                found.append((np.array(numbers, dtype=np.int64), tag, mark, id_, heads[which]))
+                copies[data] = np.array(numbers, dtype=np.int64), heads[which]
+                found.append((copies[data][0], tag, mark, id_, copies[data][1]))
             told.clear()
             rows.clear()
             if not segments:
@@ -372,7 +377,8 @@ def _segments(chunks: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 if data is None:
                     told.append(name)
                 else:
-                    rows.append((tag, id_, mark, data, window_runs(data, length)))
+                    before = rows[-1] if rows else None  # a copy often follows what it is a copy of
+                    rows.append((tag, id_, mark, data, before[4] if before and before[3] == data else window_runs(data, length)))
         yield from done()
 
     none = lambda kind: F.lit(None).cast(kind)
@@ -500,19 +506,23 @@ def drop_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: s
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            marks, all_spans = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 2).to_pylist()
-            for mark, data, spans in zip(marks, batch.column(len(kept) + 1), all_spans, strict=True):
+            spans = batch.column(len(kept) + 2)
+            offsets, flat = spans.offsets.to_numpy(), spans.values
+            found_marks, starts, ends = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            marks = batch.column(len(kept)).to_pylist()
+            for i, data in enumerate(batch.column(len(kept) + 1)):
                 data = data.as_py()
-                pieces, at, removed, n, reach = [], 0, 0, 0, -1
-                for a, b in sorted((s["start"], s["end"] + length - 1) for s in spans or () if s["mark"] == mark):
-                    if a > reach:
-                        n += 1
-                        pieces.append(data[at:a])
-                        removed, at, reach = removed + b - a, b, b
-                    elif b > reach:
-                        removed, at, reach = removed + b - reach, b, b
-                left = b"".join([*pieces, data[at:]])
-                out.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), left))
+                a, b = int(offsets[i]), int(offsets[i + 1])
+                mine = np.flatnonzero(found_marks[a:b] == marks[i]) + a if spans[i].is_valid else np.empty(0, dtype=np.int64)
+                if not len(mine):
+                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data))
+                    continue
+                mine = mine[np.argsort(starts[mine], kind="stable")]
+                begin, reach = starts[mine], np.maximum.accumulate(ends[mine] + length - 1)
+                heads = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+                runs = list(zip(begin[heads].tolist(), reach[np.append(heads[1:], len(mine)) - 1].tolist(), strict=True))
+                left = b"".join(data[x:y] for (_, x), (y, _) in zip([(0, 0), *runs], [*runs, (len(data), 0)], strict=True))
+                out.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left))
             yield _batch([*batch.columns[: len(kept)], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*kept, *own])
 
     return map_arrow(joined, remove, schema).toDF(*kept_as(keep, own), *own)
