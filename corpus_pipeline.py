@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import line_dedup, mixing, packing, quality, shingles
+from driftline.llm import line_dedup, mixing, packing, quality, wide_simhash
 from driftline.llm.common import stored, table
 
 #: No SQL states the classifier, the fingerprints or the mix; tests hold the stages against brute force.
@@ -24,8 +24,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles of Jaccard similarity 0.8 or more."""
-    return shingles.drop_similar(docs)
+    """Operator 4's ball hashing on a wider SimHash: of five-word Jaccard 0.8 or more, checked exactly, one stays."""
+    return wide_simhash.drop_similar(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles (the pipeline's near-dedup stage).
+"""Near-duplicates by the Jaccard similarity of word shingles, by minimum hashes.
 
 A 64-bit SimHash within 4 bits is far stricter than Jaccard 0.8, whose pairs differ in about 10 bits. So each
 distinct set of shingles gets 24 sub-fingerprints of five minimum hashes; a pair of similarity 0.8 shares one of
@@ -57,18 +57,18 @@ def enough(similarity: float) -> int:
     return int(n * similarity - 4.3 * (n * similarity * (1 - similarity)) ** 0.5)
 
 
-def hub_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
+def hub_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, like_one: Callable) -> np.ndarray:
     """Links of each node not yet taken to the first of those left that it may be like."""
     links, rest = [], np.arange(len(node))
     while len(rest) > 1:
-        like = (marks[rest[1:]] == marks[rest[0]]).sum(axis=1) >= least
+        like = like_one(marks[rest[1:]], marks[rest[0]])
         taken = rest[1:][like]
         links.append(np.stack([np.full(len(taken), node[rest[0]]), node[taken]], axis=1))
         rest = rest[1:][~like]
     return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
 
 
-def cross_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
+def cross_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, like_one: Callable) -> np.ndarray:
     """All pairs that may be alike and have different labels; pairs within the commonest label are not looked at."""
     names, place, count = np.unique(label, return_inverse=True, return_counts=True)
     if len(names) < 2:
@@ -78,7 +78,7 @@ def cross_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, least: i
     node, marks, place = node[order], marks[order], place[order]
     links = []
     for i in range(int((~most).sum())):
-        like = i + 1 + np.flatnonzero((marks[i + 1 :] == marks[i]).sum(axis=1) >= least)
+        like = i + 1 + np.flatnonzero(like_one(marks[i + 1 :], marks[i]))
         like = like[place[like] != place[i]]
         links.append(np.stack([np.full(len(like), node[i]), node[like]], axis=1))
     return np.concatenate(links)
@@ -106,7 +106,7 @@ def _signed(rows: DataFrame, words: int, key: str, own: str, text: str) -> DataF
     return map_arrow(slim, run, ", ".join([*fields, "node long", "marks binary", "bands binary"]))
 
 
-def _by_bucket(rows: DataFrame, f: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str]) -> DataFrame:
+def by_bucket(rows: DataFrame, f: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str]) -> DataFrame:
     """``f`` of the rows of each value of the column ``bucket`` (the first), which come in order of the columns."""
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
 
@@ -133,19 +133,21 @@ def _by_bucket(rows: DataFrame, f: Callable[[pa.RecordBatch], list[np.ndarray]],
     return map_arrow(dealt, run, ", ".join(f"{n} long" for n in names))
 
 
-def _candidates(members: DataFrame, links: Callable, similarity: float) -> DataFrame:
-    """Distinct pairs ``a < b`` that ``links`` finds in the buckets of ``members`` (bucket, node, marks, label)."""
-    least = enough(similarity)
+def candidates(members: DataFrame, links: Callable, like_one: Callable) -> DataFrame:
+    """Distinct pairs ``a < b`` that ``links`` finds in the buckets of ``members`` (bucket, node, marks, label).
+
+    ``like_one(marks, mark)`` tells which rows of bytes may belong to nodes that are like the one of ``mark``.
+    """
 
     def run(rows: pa.RecordBatch) -> list[np.ndarray]:
         marks = np.frombuffer(b"".join(rows.column(2).to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
-        found = links(rows.column(1).to_numpy(), marks, rows.column(3).to_numpy(), least)
+        found = links(rows.column(1).to_numpy(), marks, rows.column(3).to_numpy(), like_one)
         return [found.min(axis=1), found.max(axis=1)] if len(found) else [np.empty(0, dtype=np.int64)] * 2
 
-    return _by_bucket(members.select("bucket", "node", "marks", "label"), run, ["a", "b"]).distinct()
+    return by_bucket(members.select("bucket", "node", "marks", "label"), run, ["a", "b"]).distinct()
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets reach the similarity."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
@@ -183,19 +185,21 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, key:
             flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["bucket", "node"])
 
-    met = _by_bucket(map_arrow(bands, emit, "bucket long, node long"), lambda r: [r.column(0).to_numpy(), r.column(1).to_numpy()], ["bucket", "node"])
+    met = by_bucket(map_arrow(bands, emit, "bucket long, node long"), lambda r: [r.column(0).to_numpy(), r.column(1).to_numpy()], ["bucket", "node"])
     met = checkpointed(met)
     chosen = checkpointed(met.select("node").distinct().join(nodes, "node"))
     texts = chosen.select("node", own).join(named.select(own, column(text).alias("text")).dropDuplicates([own]), own).select("node", "text")
     texts = stored(texts, "shingle-texts")
     members = met.join(chosen.select("node", "marks"), "node")
 
-    tried = checkpointed(_candidates(members.withColumn("label", F.lit(0).cast("long")), hub_links, similarity))
-    links = checkpointed(_alike(tried, texts, words, similarity))
+    least = enough(similarity)
+    agree = lambda marks, mark: (marks == mark).sum(axis=1) >= least
+    tried = checkpointed(candidates(members.withColumn("label", F.lit(0).cast("long")), hub_links, agree))
+    links = checkpointed(alike(tried, texts, words, similarity))
     labels = components(links).select("node", F.col("component").alias("label"))
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    others = checkpointed(_candidates(labelled, cross_links, similarity).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionAll(checkpointed(_alike(others, texts, words, similarity)))
+    others = checkpointed(candidates(labelled, cross_links, agree).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionAll(checkpointed(alike(others, texts, words, similarity)))
     parts = components(links)
 
     first = F.min(F.struct(column(key).isNull().alias("n"), column(key).alias("k"), F.col(own).alias("r"))).alias("first")
