@@ -8,7 +8,8 @@ candidate must reach is calibrated to full recall, and pairs that reach it are v
 Work is dealt in blocks of the first projection's order: a task holds two blocks, counts in sorted ranks, and adds up
 link counts and a spanning forest tile by tile, never holding the pairs of more than one tile. Pairs of blocks further apart than d on that projection
 are passed over. The number of block pairs grows with the square of the rows where the projection does not separate
-them: counting collisions for all pairs is quadratic work.
+them: counting collisions for all pairs is quadratic work. They are dealt in rounds, so that no round moves a row to
+more than a few pairs and disk stays in proportion to the rows; vectors move as they were given (floats as floats).
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, fields_of, join_unequal, map_arrow, stored
+from .common import checkpointed, column, fields_of, forget, join_unequal, map_arrow, stored
 from .components import components
 
 BLOCK, TILE = 8192, 64
+#: Copies of a row that a round moves, and bytes that a round may move whatever the copies.
+COPIES, ROUND_BYTES = 4, 128 << 20
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -100,6 +103,14 @@ def linked(one: np.ndarray, other: np.ndarray, threshold: float, same: bool) ->
             yield qq[good], yy[good]
 
 
+def units_of(raw: list[bytes], kind: str) -> np.ndarray:
+    """The unit vectors of some vectors of one length, as ``project`` makes them."""
+    u = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(float)
+    u /= np.abs(u).max(axis=1, keepdims=True)
+    u /= np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+    return u
+
+
 class Trees:
     """Components of links that come in parts; least members name them."""
 
@@ -136,7 +147,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
         raise ValueError("thresholds are 0.5 to 1, blocks up to 32768 rows")
     v = F.col("v")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    slim = vectors.select(column(key).alias("key"), column(vector).cast("array<double>").alias("v"))
+    slim = vectors.select(column(key).alias("key"), column(vector).alias("v"))
+    kind = "<f4" if slim.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    slim = slim.select("key", v.cast("array<double>").alias("v"))
     slim = slim.select("key", F.when(F.coalesce(fine, F.lit(False)), F.col("v")).alias("v"))
 
     def project(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -144,11 +157,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
             from xxhash import xxh64_intdigest
 
             for batch in batches:
-                node, check, lead, units, dims = [], [], [], [], []
+                node, check, lead, raws, dims = [], [], [], [], []
                 for x in batch.column(1):
-                    u = x.as_py()
+                    u, raw = x.as_py(), None
                     if u is not None:
                         u = np.array(u, dtype=float)
+                        raw = u.astype(kind).tobytes()
                         u /= np.abs(u).max()
                         u /= math.sqrt(float(u @ u))
                         u += 0.0  # one zero only
@@ -156,29 +170,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK
                     node.append(None if u is None else xxh64_intdigest(unit, seed) - (1 << 63))
                     check.append(None if u is None else xxh64_intdigest(unit, seed + 1) - (1 << 63))
                     lead.append(None if u is None else float(u @ rotation_lead(len(u))))
-                    units.append(unit)
+                    raws.append(raw)
                     dims.append(None if u is None else len(u))
-                columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(dims, pa.int32()), pa.array(lead, pa.float64()), pa.array(units, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "check", "dim", "lead", "unit"])
+                columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(dims, pa.int32()), pa.array(lead, pa.float64()), pa.array(raws, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "check", "dim", "lead", "raw"])
 
         return run
 
     for seed in range(0, 64, 2):  # until no two unit vectors have one name, which is to be expected at once
-        fields = f"{fields_of(slim.select('key'))[0]}, node long, check long, dim int, lead double, unit binary"
+        fields = f"{fields_of(slim.select('key'))[0]}, node long, check long, dim int, lead double, raw binary"
         rows = stored(map_arrow(slim, project(seed), fields), "vectors")
         if rows.where("node is not null").groupBy("node").agg((F.min("check") != F.max("check")).alias("two")).where("two").isEmpty():
             break
-    rows, every = rows.select("key", "node"), rows.where("node is not null")
-    units = stored(every.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("lead").alias("lead"), F.first("unit").alias("unit")), "units")
-    nodes = units.select("node", "n")
+        forget(rows)
+    every, rows = rows, checkpointed(rows.select("key", "node"))
+    each = every.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("lead").alias("lead"), F.first("raw").alias("raw"))
+    units = stored(each, "units")
+    forget(every)
+    nodes = checkpointed(units.select("node", "n"))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     found = None
     for r in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each vector length
-        own = _found(units.where(F.col("dim") == r["dim"]), r["n"], threshold, block, reach)
-        found = own if found is None else found.unionAll(own)
+        for own in _found(units.where(F.col("dim") == r["dim"]), r["n"], r["dim"], kind, threshold, block, reach):
+            found = own if found is None else found.unionAll(own)
+    forget(units)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "a long, b long, links long")
-    found = checkpointed(found)
     links = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     parts = components(found.where("b is not null").select("a", "b"))
     named = nodes.select("node", "n").join(links, "node", "left").join(parts, "node", "left")
@@ -200,12 +217,29 @@ def rotation_lead(dim: int) -> np.ndarray:
     return _leads[dim]
 
 
-def _found(units: DataFrame, n: int, threshold: float, block: int, reach: float) -> DataFrame:
-    """Link counts (``a, links``) and forest links (``a, b``) among unit vectors of one length.
+def rounds_of(count: np.ndarray, copies: int) -> list[np.ndarray]:
+    """Pairs of blocks (rows of two) in rounds that have each block at most ``copies`` times (3 at least).
+
+    Block i is near blocks i to i + count[i] - 1. Pairs of one distance have a block twice, those of distance 0 once.
+    """
+    rounds, part, load = [], [], 0
+    for away in range(int(count.max(initial=0))):
+        cost = 2 if away else 1
+        if part and load + cost > max(3, copies):
+            rounds.append(np.concatenate(part))
+            part, load = [], 0
+        i = np.flatnonzero(count > away)
+        part.append(np.stack([i, i + away], axis=1))
+        load += cost
+    return [*rounds, np.concatenate(part)] if part else rounds
+
+
+def _found(units: DataFrame, n: int, dim: int, kind: str, threshold: float, block: int, reach: float) -> Iterator[DataFrame]:
+    """Link counts (``a, links``) and forest links (``a, b``) among unit vectors of one length, checkpointed by round.
 
     Blocks follow the first projection; rows of one value there (or of one range that the quantiles could not cut)
-    are cut further by their names, so no block is much larger than ``block``. Pairs of near blocks are numbered and
-    dealt by number, one to a task where there are that many.
+    are cut further by their names, so no block is much larger than ``block``. A round's pairs of near blocks are
+    numbered and dealt by number, one to a task where there are that many.
     """
     spark = units.sparkSession
     most = -(-n // block)
@@ -213,29 +247,48 @@ def _found(units: DataFrame, n: int, threshold: float, block: int, reach: float)
 
     def range_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(bounds, batch.column(2).to_numpy(zero_copy_only=False), "right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["range", "node", "n", "lead", "unit"])
+            at = np.searchsorted(bounds, batch.column(0).to_numpy(zero_copy_only=False), "right").astype(np.int64)
+            ranges, n = np.unique(at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(n)], names=["range", "n"])
 
-    placed = stored(map_arrow(units.select("node", "n", "lead", "unit"), range_of, "range long, node long, n long, lead double, unit binary"), "placed")
-    sizes = {r["range"]: r["n"] for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a block
+    ranges = map_arrow(units.select("lead"), range_of, "range long, n long")
+    sizes = {r["range"]: r["n"] for r in ranges.groupBy("range").agg(F.sum("n").alias("n")).collect()}  # one row a block
     parts = np.array([-(-sizes.get(r, 0) // block) for r in range(len(bounds) + 1)], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(parts)])
     edges = np.concatenate([[-np.inf], bounds, [np.inf]])
     low, high = np.repeat(edges[:-1], parts), np.repeat(edges[1:], parts)  # by block
-    last = np.searchsorted(low, high + reach, "right")  # blocks i to last[i] - 1 are near block i
-    count = last - np.arange(len(low))
-    pair = np.concatenate([[0], np.cumsum(count)])  # number of the pair (i, i)
-    least = np.searchsorted(last, np.arange(len(low)), "right")  # the first block that block j is near to
+    count = np.searchsorted(low, high + reach, "right") - np.arange(len(low))  # blocks i to i + count[i] - 1 are near block i
+    row_bytes = dim * np.dtype(kind).itemsize + 40
+    for pairs in rounds_of(count, max(COPIES, ROUND_BYTES // (n * row_bytes))):
+        tasks = int(min(len(pairs), max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+        dealt = map_arrow(units.select("lead", "node", "n", "raw"), _dealer(pairs, bounds, first, parts), "pair long, second boolean, node long, n long, raw binary")
+        sent = dealt.withColumn("task", (F.col("pair") % tasks).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("pair", "second", "node")
+        yield checkpointed(map_arrow(sent.drop("task"), _linker(pairs, kind, threshold), "a long, b long, links long"))
+
+
+def _dealer(pairs: np.ndarray, bounds: np.ndarray, first: np.ndarray, parts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sends each row to the pairs that its block is in."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list[tuple[int, bool]]] = {}
+        for number, (i, j) in enumerate(pairs.tolist()):
+            of.setdefault(i, []).append((number, False))
+            if i != j:
+                of.setdefault(j, []).append((number, True))
         for batch in batches:
-            at, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.searchsorted(bounds, batch.column(0).to_numpy(zero_copy_only=False), "right").astype(np.int64)
+            node = batch.column(1).to_numpy()
             own = first[at] + (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % parts[at]
             for b in np.unique(own).tolist():
-                rows = batch.filter(pa.array(own == b)).select(["node", "n", "unit"])
-                for i, j in [*((b, j) for j in range(b, int(last[b]))), *((i, b) for i in range(int(least[b]), b))]:
-                    number = pa.array(np.full(len(rows), pair[i] + j - i))
-                    yield pa.RecordBatch.from_arrays([number, pa.array(np.full(len(rows), b != i)), *rows.columns], names=["pair", "second", "node", "n", "unit"])
+                rows = batch.filter(pa.array(own == b)).select(["node", "n", "raw"])
+                for number, second in of.get(b, ()):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), pa.array(np.full(len(rows), second)), *rows.columns], names=["pair", "second", "node", "n", "raw"])
+
+    return deal
+
+
+def _linker(pairs: np.ndarray, kind: str, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of each pair of blocks, whose rows come together."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -254,11 +307,9 @@ def _found(units: DataFrame, n: int, threshold: float, block: int, reach: float)
     def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held)
         second, nodes, weight = (whole.column(k).to_numpy() for k in (1, 2, 3))
-        size = len(whole.column(4)[0].as_py()) // 8
-        unit = np.frombuffer(b"".join(whole.column(4).to_pylist()), dtype=float).reshape(-1, size)
-        k, number = int((~second).sum()), int(whole.column(0)[0].as_py())
-        i = int(np.searchsorted(pair, number, "right")) - 1
-        same = number == pair[i]
+        unit = units_of(whole.column(4).to_pylist(), kind)
+        k, (i, j) = int((~second).sum()), pairs[int(whole.column(0)[0].as_py())]
+        same = i == j
         links, trees = np.zeros(len(nodes), dtype=np.int64), Trees(len(nodes))
         if same or 0 < k < len(nodes):
             for q, y in linked(unit[:k], unit[:k] if same else unit[k:], threshold, same):
@@ -271,7 +322,4 @@ def _found(units: DataFrame, n: int, threshold: float, block: int, reach: float)
         b = pa.array([*[None] * len(some), *nodes[roots[tree]].tolist()], pa.int64())
         return pa.RecordBatch.from_arrays([a, b, pa.array([*links[some].tolist(), *[None] * len(tree)], pa.int64())], names=["a", "b", "links"])
 
-    tasks = int(min(pair[-1], max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
-    dealt = map_arrow(placed.select("range", "node", "n", "unit"), deal, "pair long, second boolean, node long, n long, unit binary")
-    sent = dealt.withColumn("task", (F.col("pair") % tasks).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("pair", "second", "node")
-    return map_arrow(sent.drop("task"), link, "a long, b long, links long")
+    return link
