@@ -5,7 +5,8 @@ apart, so of 64 bits 9.7 differ on average, too many for one ball. So the SimHas
 wide, and a pair is met where one of them differs in at most 2 bits, which is where their balls of radius 1 share a
 variant: a pair at 0.8 meets somewhere with probability 0.9999. As in ``simhash``, variants are binned by a linear
 fold, so a message stands for all variants of a sub-fingerprint in a bin. What meets is compared by all bits, and
-what may reach the threshold by them is compared exactly, from the texts.
+what may reach the threshold by them is compared exactly, from the texts. Equal sub-fingerprints come first, each node
+against one of its bucket, so that the balls need only tell of nodes which that has left in different components.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ TABLES, BITS = 80, 32
 FEATURES, CHECKED = 1024, 64
 #: Differing bits that a pair at 0.8 exceeds but once in some 100,000 times (4.3 deviations): of the last 64, of all.
 _MOST_CHECKED, _MOST = 22, 512
-_ROUNDS, _FIRST, _IN_BIN = 4, 8, 4_000_000
-_MESSAGE = np.dtype([("own", "<u4"), ("node", "<i8"), ("check", "<u8")])
+_ROUNDS, _FIRST, _IN_BIN = 8, 32, 4_000_000
+_MESSAGE = np.dtype([("own", "<u4"), ("node", "<i8"), ("check", "<u8"), ("label", "<i8")])
 _planes: list[np.ndarray] = []
 
 
@@ -55,8 +56,8 @@ def differing(marks: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return np.bitwise_count(marks.view(np.uint64) ^ mark.view(np.uint64)).sum(axis=1, dtype=np.int64) <= _MOST
 
 
-def meet(own: np.ndarray, node: np.ndarray, check: np.ndarray, at: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Variants in bin ``at`` that sub-fingerprints of several nodes have, and the nodes; every pair within 2 bits has one.
+def meet(own: np.ndarray, node: np.ndarray, check: np.ndarray, label: np.ndarray, at: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Variants in bin ``at`` that sub-fingerprints of several labels have, and the nodes; every pair within 2 bits has one.
 
     Left out is what says nothing new: a variant of one sub-fingerprint alone, as all its nodes meet at the value
     itself, and the greater of the two between two sub-fingerprints. So are two nodes that the other bits tell apart.
@@ -79,7 +80,8 @@ def meet(own: np.ndarray, node: np.ndarray, check: np.ndarray, at: int, fold: in
     least, most = np.minimum.reduceat(found, heads), np.maximum.reduceat(found, heads)
     middle = np.minimum.reduceat(np.where(found == variants, 0, 1), heads) == 1  # nobody has the value itself
     value = variants[heads]
-    keep = sizes > 1
+    labels = label[who]
+    keep = np.minimum.reduceat(labels, heads) != np.maximum.reduceat(labels, heads)
     keep &= ~(middle & (least == most))
     two = np.flatnonzero(keep & (sizes == 2))
     x, y = who[heads[two]], who[heads[two] + 1]
@@ -96,7 +98,7 @@ def _met(nodes: DataFrame, first: int, last: int, fold: int) -> DataFrame:
         for batch in batches:
             marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
             message = np.empty(len(batch), dtype=_MESSAGE)
-            message["node"] = batch.column(0).to_numpy()
+            message["node"], message["label"] = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             message["check"] = np.ascontiguousarray(marks[:, -8:]).view("<u8").ravel()
             for table in range(first, last):
                 message["own"] = np.ascontiguousarray(marks[:, 4 * table : 4 * table + 4]).view("<u4").ravel()
@@ -112,7 +114,7 @@ def _met(nodes: DataFrame, first: int, last: int, fold: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             rows = np.frombuffer(b"".join(held), dtype=_MESSAGE)
-            variants, node = meet(*(np.ascontiguousarray(rows[n]) for n in ("own", "node", "check")), at & ((1 << fold) - 1), fold)
+            variants, node = meet(*(np.ascontiguousarray(rows[n]) for n in ("own", "node", "check", "label")), at & ((1 << fold) - 1), fold)
             return pa.RecordBatch.from_arrays([pa.array(variants.astype(np.int64) + ((at >> fold) << BITS)), pa.array(node)], names=["bucket", "node"])
 
         for batch in batches:
@@ -125,10 +127,23 @@ def _met(nodes: DataFrame, first: int, last: int, fold: int) -> DataFrame:
         if held:
             yield done()
 
-    sent = map_arrow(nodes.select("node", "marks"), emit, "bin long, own binary")
+    sent = map_arrow(nodes.select("node", "marks", "label"), emit, "bin long, own binary")
     return map_arrow(sent.repartition("bin").sortWithinPartitions("bin"), link, "bucket long, node long")
 
 
+def _equal(nodes: DataFrame, tables: int) -> DataFrame:
+    """``bucket`` and ``node`` of nodes that have a sub-fingerprint in common, of the first tables."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
+            own = np.ascontiguousarray(marks[:, : 4 * tables]).view("<u4").astype(np.int64) + (np.arange(tables) << BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), tables))], names=["bucket", "node"])
+
+    sent = map_arrow(nodes.select("node", "marks"), emit, "bucket long, node long")
+    return by_bucket(sent, lambda r: [r.column(0).to_numpy(), r.column(1).to_numpy()], ["bucket", "node"])
+
+
 def _signed(rows: DataFrame, words: int, key: str, own: str, text: str) -> DataFrame:
     """``key``, ``own``, ``node`` (hash of the shingle set) and ``marks`` (the sketch; no words: empty); map-only."""
     slim = rows.select(column(key), own, column(text).alias(free_name([key, own], "text_")))
@@ -165,27 +180,30 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, key:
     firsts = checkpointed(rows.groupBy("node").agg(first))
     forget(rows)
 
-    fold = min(BITS, max(3, (nodes.count() * (BITS + 1) // _IN_BIN).bit_length()))
+    def texts_of(met: DataFrame) -> DataFrame:
+        some = met.select("node").distinct().join(nodes.select("node", own), "node")
+        found = some.join(named.select(own, column(text).alias("text")).dropDuplicates([own]), own).select("node", "text")
+        return stored(found, "sketch-texts")
+
+    marks = nodes.select("node", "marks")
+    equal = checkpointed(_equal(nodes, _FIRST))
+    tried = checkpointed(candidates(equal.join(marks, "node").withColumn("label", F.lit(0).cast("long")), hub_links, differing))
+    texts = texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")))
+    early = checkpointed(alike(tried, texts, words, similarity))
+    forget(texts)
+    labels = components(early).select("node", F.col("component").alias("label"))
+    labelled = stored(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "sketch-labels")
+
+    fold = min(BITS, max(3, (labelled.count() * (BITS + 1) // _IN_BIN).bit_length()))
     cuts = [TABLES * k // _ROUNDS for k in range(_ROUNDS + 1)]
-    parts = [checkpointed(_met(nodes, a, b, fold)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    met = parts[0]
-    for part in parts[1:]:
-        met = met.unionAll(part)
-    chosen = stored(met.select("node").distinct().join(nodes, "node"), "sketch-chosen")
-    forget(nodes)
-    texts = chosen.select("node", own).join(named.select(own, column(text).alias("text")).dropDuplicates([own]), own).select("node", "text")
-    texts = stored(texts, "sketch-texts")
-    marks = chosen.select("node", "marks")
-
-    # a few tables first, by hubs; then, of all, the pairs that these have left apart
-    early = met.where(F.col("bucket") < F.lit(_FIRST << BITS)).join(marks, "node").withColumn("label", F.lit(0).cast("long"))
-    tried = checkpointed(candidates(early, hub_links, differing))
-    links = checkpointed(alike(tried, texts, words, similarity))
-    labels = components(links).select("node", F.col("component").alias("label"))
-    labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-    later = labelled.join(apart, "bucket", "left_semi").join(marks, "node")
-    others = checkpointed(candidates(later, cross_links, differing).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionAll(checkpointed(alike(others, texts, words, similarity)))
+    found = None
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        met = checkpointed(_met(labelled, a, b, fold))
+        part = checkpointed(candidates(met.join(labelled.select("node", "marks", "label"), "node"), cross_links, differing))
+        found = part if found is None else found.unionAll(part)
+    others = checkpointed(found.distinct().join(tried, ["a", "b"], "left_anti"))
+    texts = texts_of(others.select(F.explode(F.array("a", "b")).alias("node")))
+    links = early.unionAll(checkpointed(alike(others, texts, words, similarity)))
+    forget(texts, nodes, labelled)
     heads = firsts.join(components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     return named.join(heads.select(F.col("first.r").alias(own)), own).dropDuplicates([own]).select(*map(column, docs.columns))

@@ -37,7 +37,7 @@ def test_meet_equals_all_pairs():
     for fold in (3, 8, 32):
         met = {}
         for at in range(1 << fold) if fold < 32 else sorted({int(f) ^ m for f in own for m in [0, *(1 << j for j in range(32))]}):
-            for v, n in zip(*wide_simhash.meet(own, node, check, at, fold), strict=True):
+            for v, n in zip(*wide_simhash.meet(own, node, check, node, at, fold), strict=True):
                 met.setdefault(int(v), set()).add(int(n))
         pairs = {(a, b) for group in met.values() for a in group for b in group if a < b}
         assert pairs == {(a, b) for a in node.tolist() for b in node.tolist() if a < b and int(own[a] ^ own[b]).bit_count() <= 2}
