@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from .tokens import byte_letters
 DEFAULT, END = "word_bpe_49k.json", 2
 #: One run of letters whose lower case is one code point each, and marks that are one piece after it.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
-_KEEP = 700_000
+_KEEP, _LONG = 500_000, 256
 
 
 #: Words that a tokenizer must encode alike alone and in a text.
@@ -50,8 +51,7 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.model = self.inner.model.tokenize
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.direct, self.known = False, _Words(self)
         tried = ["The", "Straße", "déjà", "ÜBERÿ", "x"]
         self.direct = all(self._run(w.lower()) == e for w, e in zip(tried, self._encode(tried), strict=True))
         alone = b"".join(self._encode(_TRIED.split()))
@@ -66,29 +66,39 @@ class WordTokenizer:
     def _run(self, run: str) -> bytes:
         """Ids of a lower-case run of letters."""
         shown = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-        return np.array([t.id for t in self.model(shown)], dtype="<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [(w, m) for w, m in zip(new, map(_WORD.match, new), strict=True) if m] if self.direct else []
-        if len(self.runs) > _KEEP:
-            self.runs.clear()
-        self.runs.update((r, self._run(r)) for r in {m[1].lower() for _, m in plain}.difference(self.runs))
-        marks = list({m[2] for _, m in plain})
-        tails = dict(zip(marks, self._encode(marks), strict=True))
-        self.known.update((w, self.runs[m[1].lower()] + tails[m[2]]) for w, m in plain)
-        other = list(set(new).difference(self.known))
-        self.known.update(zip(other, self._encode(other), strict=True))
+        return array("I", [t.id for t in self.model(shown)]).tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > _KEEP:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(list(new))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in split]
+        return [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), dtype="<u4") for t in texts]
+
+
+class _Words(dict):
+    """Ids by word, learnt where they are first asked for; emptied when full."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        super().__init__()
+        self.tokenizer, self.runs = tokenizer, {}
+
+    def __missing__(self, word: str) -> bytes:
+        own, runs = self.tokenizer, self.runs
+        run, marks = (word, "") if word.isascii() and word.isalpha() else m.groups() if (m := _WORD.match(word)) else ("", "")
+        if run and own.direct:
+            run = run.lower()
+            found = runs.get(run)
+            if found is None:
+                if len(runs) >= _KEEP:
+                    runs.clear()
+                found = runs[run] = own._run(run)
+            if marks:
+                found += self[marks]
+        else:
+            found = next(own._encode([word]))
+        if len(word) <= _LONG:
+            if len(self) >= _KEEP:
+                self.clear()
+            self[word] = found
+        return found
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
