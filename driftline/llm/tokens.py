@@ -261,22 +261,27 @@ class PrefixCounter:
 
     def fitting(self, text: str, budgets: Iterable[int]) -> list[int]:
         """For each budget, the code points of the longest prefix of the text that has no more tokens."""
+        return self.measured(text, budgets)[1]
+
+    def measured(self, text: str, budgets: Iterable[int]) -> tuple[int, list[int]]:
+        """``count`` and ``fitting`` of a text, which is cut once."""
         if self.special and self.special.search(text):  # an unfinished special string has tokens of its own
             counts = self.prefixes(text)
-            return [max(i for i, x in enumerate(counts) if x <= b) for b in budgets]
-        chunks = [(p, True) if s else (c, False) for p, s in self.parts(text) for c in ([p] if s else self.chunks(p))]
-        sums = [0, *accumulate(1 if s else self.totals[c] for c, s in chunks)]
-        if sums[-1] <= min(budgets, default=0):
-            return [len(text) for _ in budgets]
-        lengths = [0, *accumulate(len(c) for c, _ in chunks)]
+            return counts[-1], [max(i for i, x in enumerate(counts) if x <= b) for b in budgets]
+        chunks = self.chunks(text) if text else []
+        totals = list(map(self.totals.__getitem__, chunks))
+        total = sum(totals)
+        if total <= min(budgets, default=total):
+            return total, [len(text) for _ in budgets]
+        sums = [0, *accumulate(totals)]
         out = []
         for budget in budgets:
             k = bisect_right(sums, budget) - 1
-            best = lengths[k]
-            if k < len(chunks) and not chunks[k][1]:
-                best += max(i for i, x in enumerate(self.tables[chunks[k][0]]) if sums[k] + x <= budget)
+            best = sum(map(len, chunks[:k]))
+            if k < len(chunks):
+                best += max(i for i, x in enumerate(self.tables[chunks[k]]) if sums[k] + x <= budget)
             out.append(best)
-        return out
+        return total, out
 
 
 class _Tables(dict):
@@ -304,11 +309,14 @@ class _Totals(dict):
         self.counter = counter
 
     def __missing__(self, chunk: str) -> int:
-        tables = self.counter.tables
-        if (m := _WORD.match(chunk)) and (m[1] or m[3]):
-            total = (1 if m[1] else 0) + tables[m[2]][-1] + (self[m[3]] if m[3] else 0)
+        if m := _WORD.match(chunk):
+            line, word, marks = m.groups()
+            if marks or line:
+                total = (1 if line else 0) + self[word] + (self[marks] if marks else 0)
+            else:
+                total = self.counter.piece(chunk.encode())[-1]
         else:
-            total = tables[chunk][-1]
+            total = self.counter.table(chunk)[-1]
         if len(chunk) <= _LONG:
             if len(self) >= _KEEP:
                 self.clear()
@@ -352,7 +360,7 @@ def token_counts(docs: DataFrame, tokenizer: str = DEFAULT, budgets: tuple[int,
         gc.set_threshold(500_000, 50, 1000)  # the tables are large and hold no cycles
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            rows = [(len(t.encode()), own.count(t), own.fitting(t, budgets)) for t in (x.as_py() for x in texts)]
+            rows = [(len(t.encode()), *own.measured(t, budgets)) for t in (x.as_py() for x in texts)]
             arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
             arrays += [pa.array([r[2][i] for r in rows], pa.int64()) for i in range(len(budgets))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*names, *own_names])
