@@ -28,7 +28,7 @@ TABLES, BITS = 80, 32
 FEATURES, CHECKED = 1024, 64
 #: Differing bits that a pair at 0.8 exceeds but once in some 100,000 times (4.3 deviations): of the last 64, of all.
 _MOST_CHECKED, _MOST = 22, 512
-_ROUNDS, _FIRST, _IN_BIN = 8, 32, 4_000_000
+_ROUNDS, _FIRST, _IN_BIN = 16, 32, 4_000_000
 _MESSAGE = np.dtype([("own", "<u4"), ("node", "<i8"), ("check", "<u8"), ("label", "<i8")])
 _planes: list[np.ndarray] = []
 
