@@ -5,22 +5,25 @@ apart, so of 64 bits 9.7 differ on average, too many for one ball. So the SimHas
 wide, and a pair is met where one of them differs in at most 2 bits, which is where their balls of radius 1 share a
 variant: a pair at 0.8 meets somewhere with probability 0.9999. As in ``simhash``, variants are binned by a linear
 fold, so a message stands for all variants of a sub-fingerprint in a bin. What meets is compared by all bits, and
-what may reach the threshold by them is compared exactly, from the texts. Equal sub-fingerprints come first, each node
-against one of its bucket, so that the balls need only tell of nodes which that has left in different components.
+what may reach the threshold by them is of one family. Equal sub-fingerprints come first, each node against one of its
+bucket, so that the balls need only tell of nodes which that has left in different families; of these a bucket tells
+no more than joins them. The pairs of a family are compared exactly, from the shingle sets, where its blocks meet, and
+only links that join two trees leave the task. So a group of like texts costs rows in proportion to its size (times
+its blocks), whether or not its texts reach the threshold, and its pairs are never rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, fields_of, forget, free_name, map_arrow, row_identity, stored
+from .common import checkpointed, column, fields_of, forget, free_name, join_unequal, map_arrow, row_identity, stored
 from .components import components
-from .shingles import alike, by_bucket, candidates, cross_links, hub_links, shingle_set
+from .shingles import by_bucket, candidates, hub_links, shingle_set
 from .simhash import SEED, fold_of
 
 TABLES, BITS = 80, 32
@@ -29,6 +32,8 @@ FEATURES, CHECKED = 1024, 64
 #: Differing bits that a pair at 0.8 exceeds but once in some 100,000 times (4.3 deviations): of the last 64, of all.
 _MOST_CHECKED, _MOST = 22, 512
 _ROUNDS, _FIRST, _IN_BIN = 16, 32, 4_000_000
+#: Rounds after which families are joined by what was found. A family's blocks: so many, or of the most nodes and bytes.
+_JOINED, _BLOCKS, _LEAST_NODES, _MOST_NODES, _MOST_BYTES = (0, 1, 3, 7), 8, 256, 2048, 16 << 20
 _MESSAGE = np.dtype([("own", "<u4"), ("node", "<i8"), ("check", "<u8"), ("label", "<i8")])
 _planes: list[np.ndarray] = []
 
@@ -144,6 +149,88 @@ def _equal(nodes: DataFrame, tables: int) -> DataFrame:
     return by_bucket(sent, lambda r: [r.column(0).to_numpy(), r.column(1).to_numpy()], ["bucket", "node"])
 
 
+def joining(node: np.ndarray, label: np.ndarray, like: Callable[[int, np.ndarray], np.ndarray], part: np.ndarray | None = None) -> np.ndarray:
+    """Links of all pairs that are alike, as far as they join trees; at the start the nodes of a label are one.
+
+    ``like(i, rest)`` tells which of the nodes ``rest`` are like node i. With ``part``, pairs within a part are not looked at.
+    """
+    links, root = [], label.copy()
+    for i in range(len(node) - 1):
+        wanted = root[i + 1 :] != root[i]
+        if part is not None:
+            wanted &= part[i + 1 :] != part[i]
+        rest = i + 1 + np.flatnonzero(wanted)
+        if not len(rest):
+            continue
+        found = rest[like(i, rest)]
+        if len(found):
+            roots, at = np.unique(root[found], return_index=True)
+            links.append(np.stack([np.full(len(at), node[i]), node[found[at]]], axis=1))
+            root[np.isin(root, roots)] = root[i]
+    return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
+
+
+def tree_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, like_one: Callable) -> np.ndarray:
+    """Links that join the labels of a bucket as all pairs of it that may be alike would."""
+    return joining(node, label, lambda i, rest: like_one(marks[rest], marks[i]))
+
+
+def _families(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with ``label``, the family that the pairs found so far make."""
+    labels = components(found).select("node", F.col("component").alias("label"))
+    return stored(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "sketch-labels")
+
+
+def _with_sets(members: DataFrame, words: int) -> DataFrame:
+    """``family``, ``node``, ``marks`` and ``shingles`` (the set, as bytes) of rows that have ``text`` in place of the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                sets = pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(3)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], sets], names=["family", "node", "marks", "shingles"])
+
+    return map_arrow(members.select("family", "node", "marks", "text"), run, "family long, node long, marks binary, shingles binary")
+
+
+def _links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` that make the components of all pairs of a family (``_with_sets``) which reach the similarity.
+
+    A family is dealt in blocks, by the nodes' hashes; each pair of blocks is one bucket.
+    """
+    size = F.length("shingles")
+    least = F.least(F.lit(_MOST_NODES), F.greatest(F.lit(_LEAST_NODES), F.ceil(F.count(F.lit(1)) / _BLOCKS)))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / least), F.ceil(F.sum(size) / _MOST_BYTES)).cast("long").alias("blocks")
+    sizes = checkpointed(members.groupBy("family").agg(blocks))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = join_unequal(members, sizes, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    bucket = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("bucket")
+
+    def run(rows: pa.RecordBatch) -> list[np.ndarray]:
+        node, part = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        marks = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column(4).to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+
+        def like(i: int, rest: np.ndarray) -> np.ndarray:
+            out, own = np.zeros(len(rest), dtype=bool), sets[i]
+            may = similarity * np.maximum(sizes[rest], len(own)) <= np.minimum(sizes[rest], len(own))
+            may[may] = differing(marks[rest[may]], marks[i])
+            some = rest[may]
+            if len(some):
+                flat = np.concatenate([sets[j] for j in some])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(hit, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+                out[may] = both >= similarity * (len(own) + sizes[some] - both)
+            return out
+
+        links = joining(node, np.arange(len(node)), like, part if part.min() < part.max() else None)
+        return [links.min(axis=1), links.max(axis=1)] if len(links) else [np.empty(0, dtype=np.int64)] * 2
+
+    return by_bucket(dealt.select(bucket, "node", "block", "marks", "shingles"), run, ["a", "b"]).distinct()
+
+
 def _signed(rows: DataFrame, words: int, key: str, own: str, text: str) -> DataFrame:
     """``key``, ``own``, ``node`` (hash of the shingle set) and ``marks`` (the sketch; no words: empty); map-only."""
     slim = rows.select(column(key), own, column(text).alias(free_name([key, own], "text_")))
@@ -180,30 +267,25 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, key:
     firsts = checkpointed(rows.groupBy("node").agg(first))
     forget(rows)
 
-    def texts_of(met: DataFrame) -> DataFrame:
-        some = met.select("node").distinct().join(nodes.select("node", own), "node")
-        found = some.join(named.select(own, column(text).alias("text")).dropDuplicates([own]), own).select("node", "text")
-        return stored(found, "sketch-texts")
-
     marks = nodes.select("node", "marks")
     equal = checkpointed(_equal(nodes, _FIRST))
-    tried = checkpointed(candidates(equal.join(marks, "node").withColumn("label", F.lit(0).cast("long")), hub_links, differing))
-    texts = texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")))
-    early = checkpointed(alike(tried, texts, words, similarity))
-    forget(texts)
-    labels = components(early).select("node", F.col("component").alias("label"))
-    labelled = stored(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "sketch-labels")
-
+    found = checkpointed(candidates(equal.join(marks, "node").withColumn("label", F.lit(0).cast("long")), hub_links, differing))
+    labelled = _families(nodes, found)
     fold = min(BITS, max(3, (labelled.count() * (BITS + 1) // _IN_BIN).bit_length()))
     cuts = [TABLES * k // _ROUNDS for k in range(_ROUNDS + 1)]
-    found = None
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        met = checkpointed(_met(labelled, a, b, fold))
-        part = checkpointed(candidates(met.join(labelled.select("node", "marks", "label"), "node"), cross_links, differing))
-        found = part if found is None else found.unionAll(part)
-    others = checkpointed(found.distinct().join(tried, ["a", "b"], "left_anti"))
-    texts = texts_of(others.select(F.explode(F.array("a", "b")).alias("node")))
-    links = early.unionAll(checkpointed(alike(others, texts, words, similarity)))
-    forget(texts, nodes, labelled)
+    for k in range(_ROUNDS):
+        met = checkpointed(_met(labelled, cuts[k], cuts[k + 1], fold))
+        part = checkpointed(candidates(met.join(labelled.select("node", "marks", "label"), "node"), tree_links, differing))
+        if not part.isEmpty():
+            found = found.unionAll(part)
+            if k in _JOINED:
+                before, labelled = labelled, _families(nodes, found)
+                forget(before)
+    forget(labelled)
+    families = components(found).select("node", F.col("component").alias("family"))
+    members = families.join(nodes, "node").join(named.select(own, column(text).alias("text")).dropDuplicates([own]), own)
+    sets = stored(_with_sets(members, words), "sketch-sets")
+    links = checkpointed(_links(sets, similarity))
+    forget(sets, nodes)
     heads = firsts.join(components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     return named.join(heads.select(F.col("first.r").alias(own)), own).dropDuplicates([own]).select(*map(column, docs.columns))

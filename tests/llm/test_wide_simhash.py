@@ -54,3 +54,63 @@ def test_stage_searches_by_simhash(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     kept = corpus_pipeline.without_near_copies(spark, df, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(reach(len(texts), pairs)))
+
+
+def like_each_other(rng, n, places):
+    """Texts with some words changed of one, most pairs at 0.6 to 0.8, few at more."""
+    base = [f"v{i}" for i in range(200)]
+    texts = []
+    for k in range(n):
+        copy = list(base)
+        for i in rng.sample(range(200), rng.choice(places)):
+            copy[i] = f"y{k}_{i}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_a_group_costs_rows_in_proportion(spark, monkeypatch):
+    """Texts like each other, mostly below the threshold: their pairs met in the balls, and each was a row of its own."""
+    rng = random.Random(23)
+    texts = like_each_other(rng, 160, [3, 4, 5, 6])
+    sets = [plain_set(t) for t in texts]
+    alike = [[jaccard(sets[i], sets[j]) for j in range(i)] for i in range(len(texts))]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike[i][j] >= 0.8]
+    assert sum(0.6 < x < 0.8 for row in alike for x in row) > 5000 and pairs
+    made = []
+    monkeypatch.setattr(wide_simhash, "_ROUNDS", 4)
+    plain_met, plain_candidates = wide_simhash._met, wide_simhash.candidates
+    counted = lambda f: lambda *given: (made.append((out := f(*given)).count()), out)[1]
+    monkeypatch.setattr(wide_simhash, "_met", counted(plain_met))
+    monkeypatch.setattr(wide_simhash, "candidates", counted(plain_candidates))
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = wide_simhash.drop_similar(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(reach(len(texts), pairs)))
+    assert sum(made) < 30 * len(texts)
+
+
+def test_blocks_of_a_family_link_every_pair(spark, monkeypatch):
+    """A family in many blocks, by nodes or by bytes: links as of all pairs by brute force."""
+    rng = random.Random(24)
+    texts = like_each_other(rng, 50, [1, 4, 6, 7]) + near_copies(rng, 10)
+    sets = [plain_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    monkeypatch.setattr(wide_simhash, "_ROUNDS", 1)
+    for name, least in (("_LEAST_NODES", 7), ("_MOST_BYTES", 9000)):
+        with monkeypatch.context() as m:
+            m.setattr(wide_simhash, name, least)
+            kept = wide_simhash.drop_similar(df)
+            assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(reach(len(texts), pairs)))
+
+
+def test_joining_equals_all_pairs():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 30, 60):
+        near = np.triu(rng.random((n, n)) < 1.5 / n, 1)
+        near |= near.T
+        label, part = rng.integers(0, n, n), rng.integers(0, 3, n)
+        for of in (None, part):
+            links = wide_simhash.joining(np.arange(n), label, lambda i, rest, near=near: near[i, rest], of)
+            same = [(i, j) for i in range(n) for j in range(i) if label[i] == label[j]]
+            wanted = [(i, j) for i in range(n) for j in range(i) if near[i, j] and (of is None or of[i] != of[j])]
+            assert len(links) < n and reach(n, same + [tuple(x) for x in links.tolist()]) == reach(n, same + wanted)
