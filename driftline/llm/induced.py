@@ -31,6 +31,17 @@ _DIRECT = 5
 _FILE = 8 << 20
 
 
+def directly() -> int:
+    """The most S* suffixes that are sorted without recursion."""
+    return int(_DIRECT * CHUNK)
+
+
+def count_stars(text: np.ndarray) -> int:
+    """S* suffixes of a piece of text that begin between its ends: where it turns from falling to rising."""
+    own = text[np.append(True, text[1:] != text[:-1])] if len(text) else text
+    return int(((own[1:-1] < own[:-2]) & (own[1:-1] < own[2:])).sum())
+
+
 class Scratch:
     """Memory that the sorts of one task may use together, and files for what is beyond.
 
@@ -609,7 +620,7 @@ def _directly(level: Level, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sorted_stars(level: Level, stars: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """S* suffixes in ascending order, with common prefixes: by their names, by recursion on these, or if few directly."""
     scratch, m = level.scratch, len(stars)
-    if m <= _DIRECT * CHUNK:
+    if m <= directly():
         return _directly(level, stars)
     names, example, width = _named(level, stars, run)
     total = len(example)

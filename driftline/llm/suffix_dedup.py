@@ -1,12 +1,12 @@
 """Repeated byte strings across documents (operator 3), by external induced sorting of suffixes.
 
 Text is dealt to shards so that equal strings meet: each window of ``length`` bytes is named by the least hash of its
-16-byte strings, and neighbouring windows of one name form a segment. Names that occur in one document alone are set
+20-byte strings, and neighbouring windows of one name form a segment. Names that occur in one document alone are set
 aside; the distinct segments of the others are collected by name, and every shard of them is suffix-sorted with common
 prefixes (``induced``). Suffixes that share ``length`` bytes are neighbours there; the least document among them
 decides for all. Names depend on the windows' bytes only, so nothing is lost between shards.
 
-What is alike is put together before it moves: documents are collected by the least hash of their 16-byte strings, so
+What is alike is put together before it moves: documents are collected by the least hash of their 20-byte strings, so
 that copies come to lie side by side, and go in chunks. A chunk sends a name once and a segment once, with its least
 and greatest document, and gets one answer for it, which meets the chunk's own list of occurrences. So a passage in a
 third of all documents is as many rows in one task as there are chunks. Segments of a name that has very many distinct
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, fields_of, forget, integer_key, kept_as, map_arrow, stored
-from .induced import CHUNK, Scratch, suffixes
+from .induced import CHUNK, Scratch, count_stars, directly, suffixes
 
-GRAM, LONG_GRAM = 16, 44
+GRAM, LONG_GRAM = 20, 44
 LAST = (1 << 63) - 1
 _BLOCK = 1 << 21
 _CHUNK = 4 << 20
@@ -83,7 +83,7 @@ def window_runs(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray,
 
 
 def likeness(data: bytes) -> int:
-    """The least hash of the 16-byte strings of a text; copies share it, and near copies often do."""
+    """The least hash of the 20-byte strings of a text; copies share it, and near copies often do."""
     return int(min(gram_hashes(data[a : a + _BLOCK + GRAM]).min() for a in range(0, max(1, len(data) - GRAM), _BLOCK)).view(np.int64))
 
 
@@ -93,7 +93,11 @@ class Shard:
     def __init__(self, length: int, budget: int):
         self.length, self.scratch = length, Scratch(budget)
         self.text, self.lists, self.rows = [], [], []  # blocks
-        self.size = self.n = self.n_rows = 0
+        self.size = self.n = self.n_rows = self.stars = self.more = 0
+
+    def full(self, size: int) -> bool:
+        """Whether to sort now: at ``size``, or as another block like the last would call for a recursion."""
+        return self.size >= size or self.n_rows >= size or self.stars + self.more > directly()
 
     def add(self, name: np.ndarray, hash_: np.ndarray, facts: list[np.ndarray], least: np.ndarray, segments: pa.Array) -> None:
         """Rows of whole names, by name and hash: a chunk that has the segment (``facts``: chunk, at, base, most)."""
@@ -109,6 +113,8 @@ class Shard:
         data = np.frombuffer(kept.buffers()[2], np.uint8)[: int(own.sum())] if len(kept) else np.empty(0, dtype=np.uint8)
         text = np.full(len(data) + len(heads), 0xFF, dtype=np.uint8)  # a separator after each
         text[np.arange(len(data)) + np.repeat(np.arange(len(heads)), own)] = data
+        self.more = count_stars(text + np.uint8(2))
+        self.stars += self.more
         self.text.append(self.scratch.put(text))
         self.lists.append(self.scratch.put(np.stack([own, np.minimum.reduceat(least, heads), sizes - self.length + 1], axis=1).ravel()))
         self.rows.append(self.scratch.put(np.stack([number, *facts], axis=1).ravel()))
@@ -442,7 +448,7 @@ def _answers(dealt: DataFrame, length: int, shard: int, budget: int) -> DataFram
             if held and len(names) and (cut or held[-1].column(0)[-1].as_py() != names[0]):
                 add(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
-                if now.size >= shard or now.n_rows >= shard:
+                if now.full(shard):
                     yield from (_batch(x, own) for x in now.answers())
                     now = Shard(length, budget)
             elif cut:
