@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, fields_of, forget, free_name, join_unequal, map_arrow, row_identity, stored
+from .common import column, fields_of, forget, free_name, join_unequal, map_arrow, row_identity, stored
 from .components import components
 from .shingles import by_bucket, candidates, hub_links, shingle_set
 from .simhash import SEED, fold_of
@@ -32,6 +32,8 @@ FEATURES, CHECKED = 1024, 64
 #: Differing bits that a pair at 0.8 exceeds but once in some 100,000 times (4.3 deviations): of the last 64, of all.
 _MOST_CHECKED, _MOST = 22, 512
 _ROUNDS, _FIRST, _IN_BIN = 16, 32, 4_000_000
+#: So many links at most are joined by one task.
+_AT_ONCE = 1_000_000
 #: Rounds after which families are joined by what was found. A family's blocks: so many, or of the most nodes and bytes.
 _JOINED, _BLOCKS, _LEAST_NODES, _MOST_NODES, _MOST_BYTES = (0, 1, 3, 7), 8, 256, 2048, 16 << 20
 _MESSAGE = np.dtype([("own", "<u4"), ("node", "<i8"), ("check", "<u8"), ("label", "<i8")])
@@ -177,7 +179,7 @@ def tree_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, like_one:
 
 def _families(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """The nodes with ``label``, the family that the pairs found so far make."""
-    labels = components(found).select("node", F.col("component").alias("label"))
+    labels = components(found, at_once=_AT_ONCE).select("node", F.col("component").alias("label"))
     return stored(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "sketch-labels")
 
 
@@ -202,7 +204,7 @@ def _links(members: DataFrame, similarity: float) -> DataFrame:
     size = F.length("shingles")
     least = F.least(F.lit(_MOST_NODES), F.greatest(F.lit(_LEAST_NODES), F.ceil(F.count(F.lit(1)) / _BLOCKS)))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / least), F.ceil(F.sum(size) / _MOST_BYTES)).cast("long").alias("blocks")
-    sizes = checkpointed(members.groupBy("family").agg(blocks))
+    sizes = stored(members.groupBy("family").agg(blocks), "sketch-families")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = join_unequal(members, sizes, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     bucket = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("bucket")
@@ -264,28 +266,34 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, key:
     rows = stored(_signed(named, words, key, own, text), "sketches")
     nodes = stored(rows.where(F.length("marks") > 0).groupBy("node").agg(F.min("marks").alias("marks"), F.min(own).alias(own)), "sketch-nodes")
     first = F.min(F.struct(column(key).isNull().alias("n"), column(key).alias("k"), F.col(own).alias("r"))).alias("first")
-    firsts = checkpointed(rows.groupBy("node").agg(first))
+    firsts = stored(rows.groupBy("node").agg(first), "sketch-firsts")
     forget(rows)
 
     marks = nodes.select("node", "marks")
-    equal = checkpointed(_equal(nodes, _FIRST))
-    found = checkpointed(candidates(equal.join(marks, "node").withColumn("label", F.lit(0).cast("long")), hub_links, differing))
+    equal = stored(_equal(nodes, _FIRST), "sketch-equal")
+    found = stored(candidates(equal.join(marks, "node").withColumn("label", F.lit(0).cast("long")), hub_links, differing), "sketch-links")
+    forget(equal)
+    parts = [found]
     labelled = _families(nodes, found)
     fold = min(BITS, max(3, (labelled.count() * (BITS + 1) // _IN_BIN).bit_length()))
     cuts = [TABLES * k // _ROUNDS for k in range(_ROUNDS + 1)]
     for k in range(_ROUNDS):
-        met = checkpointed(_met(labelled, cuts[k], cuts[k + 1], fold))
-        part = checkpointed(candidates(met.join(labelled.select("node", "marks", "label"), "node"), tree_links, differing))
+        met = stored(_met(labelled, cuts[k], cuts[k + 1], fold), "sketch-met")
+        part = stored(candidates(met.join(labelled.select("node", "marks", "label"), "node"), tree_links, differing), "sketch-links")
+        forget(met)
+        parts.append(part)
         if not part.isEmpty():
             found = found.unionAll(part)
             if k in _JOINED:
                 before, labelled = labelled, _families(nodes, found)
                 forget(before)
-    forget(labelled)
-    families = components(found).select("node", F.col("component").alias("family"))
+    families = components(found, at_once=_AT_ONCE).select("node", F.col("component").alias("family"))
     members = families.join(nodes, "node").join(named.select(own, column(text).alias("text")).dropDuplicates([own]), own)
+    forget(labelled, *parts)
     sets = stored(_with_sets(members, words), "sketch-sets")
-    links = checkpointed(_links(sets, similarity))
+    links = stored(_links(sets, similarity), "sketch-links")
     forget(sets, nodes)
-    heads = firsts.join(components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
+    joined = components(links, at_once=_AT_ONCE)
+    forget(links)
+    heads = firsts.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     return named.join(heads.select(F.col("first.r").alias(own)), own).dropDuplicates([own]).select(*map(column, docs.columns))
