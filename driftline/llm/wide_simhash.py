@@ -5,7 +5,8 @@ apart, so of 64 bits 9.7 differ on average, too many for one ball. So the SimHas
 wide, and a pair is met where one of them differs in at most 2 bits, which is where their balls of radius 1 share a
 variant: a pair at 0.8 meets somewhere with probability 0.9999. As in ``simhash``, variants are binned by a linear
 fold, so a message stands for all variants of a sub-fingerprint in a bin. What meets is compared by all bits, and
-what may reach the threshold by them is of one family. Equal sub-fingerprints come first, each node against one of its
+what may reach the threshold by them, or is not far below it, is of one family: texts of a group just below the
+threshold would otherwise meet, and be told apart, in round after round. Equal sub-fingerprints come first, each node against one of its
 bucket, so that the balls need only tell of nodes which that has left in different families; of these a bucket tells
 no more than joins them. The pairs of a family are compared exactly, from the shingle sets, where its blocks meet, and
 only links that join two trees leave the task. So a group of like texts costs rows in proportion to its size (times
@@ -31,6 +32,8 @@ TABLES, BITS = 80, 32
 FEATURES, CHECKED = 1024, 64
 #: Differing bits that a pair at 0.8 exceeds but once in some 100,000 times (4.3 deviations): of the last 64, of all.
 _MOST_CHECKED, _MOST = 22, 512
+#: Differing bits up to which nodes are of one family, whose pairs are compared exactly; more than ``_MOST`` loses nothing.
+_RELATED = 672
 _ROUNDS, _FIRST, _IN_BIN = 16, 32, 4_000_000
 #: So many links at most are joined by one task.
 _AT_ONCE = 1_000_000
@@ -58,9 +61,14 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(counts @ planes() > 0, axis=1, bitorder="little")
 
 
-def differing(marks: np.ndarray, mark: np.ndarray) -> np.ndarray:
+def differing(marks: np.ndarray, mark: np.ndarray, most: int = _MOST) -> np.ndarray:
     """Whether sketches are near enough to one that the sets may be alike."""
-    return np.bitwise_count(marks.view(np.uint64) ^ mark.view(np.uint64)).sum(axis=1, dtype=np.int64) <= _MOST
+    return np.bitwise_count(marks.view(np.uint64) ^ mark.view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+
+
+def related(marks: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether sketches are near enough to one to be of its family."""
+    return differing(marks, mark, _RELATED)
 
 
 def meet(own: np.ndarray, node: np.ndarray, check: np.ndarray, label: np.ndarray, at: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +181,7 @@ def joining(node: np.ndarray, label: np.ndarray, like: Callable[[int, np.ndarray
 
 
 def tree_links(node: np.ndarray, marks: np.ndarray, label: np.ndarray, like_one: Callable) -> np.ndarray:
-    """Links that join the labels of a bucket as all pairs of it that may be alike would."""
+    """Links that join the labels of a bucket as all pairs of it that ``like_one`` tells would."""
     return joining(node, label, lambda i, rest: like_one(marks[rest], marks[i]))
 
 
@@ -271,7 +279,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, key:
 
     marks = nodes.select("node", "marks")
     equal = stored(_equal(nodes, _FIRST), "sketch-equal")
-    found = stored(candidates(equal.join(marks, "node").withColumn("label", F.lit(0).cast("long")), hub_links, differing), "sketch-links")
+    found = stored(candidates(equal.join(marks, "node").withColumn("label", F.lit(0).cast("long")), hub_links, related), "sketch-links")
     forget(equal)
     parts = [found]
     labelled = _families(nodes, found)
@@ -279,7 +287,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, key:
     cuts = [TABLES * k // _ROUNDS for k in range(_ROUNDS + 1)]
     for k in range(_ROUNDS):
         met = stored(_met(labelled, cuts[k], cuts[k + 1], fold), "sketch-met")
-        part = stored(candidates(met.join(labelled.select("node", "marks", "label"), "node"), tree_links, differing), "sketch-links")
+        part = stored(candidates(met.join(labelled.select("node", "marks", "label"), "node"), tree_links, related), "sketch-links")
         forget(met)
         parts.append(part)
         if not part.isEmpty():

@@ -7,7 +7,8 @@ from driftline.llm import common, wide_simhash
 from driftline.llm.components import components, least_reachable
 
 from .test_duplicates import reach
-from .test_shingles import SCHEMA, near_copies
+from .test_shingles import SCHEMA, jaccard, near_copies, plain_set
+from .test_wide_simhash import like_each_other
 
 
 def parts_in(spark):
@@ -38,3 +39,19 @@ def test_components_of_one_task(spark):
             found = {r["node"]: r["component"] for r in components(edges, at_once=at_once).collect()}
             assert all(want[x] == c for x, c in found.items()) and set(found) == {x for e in zip(a.tolist(), b.tolist(), strict=True) if e[0] != e[1] for x in e}
     assert not components(edges.where("a < 0"), at_once=1000).count()
+
+
+def test_a_group_below_the_threshold_meets_once(spark, monkeypatch):
+    """Texts at 0.55 to 0.75 of each other are one family after the first round (they met in all rounds, told apart each time)."""
+    rng = random.Random(33)
+    texts = like_each_other(rng, 160, [6, 7, 8])
+    sets = [plain_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    made = []
+    monkeypatch.setattr(wide_simhash, "_ROUNDS", 4)
+    plain_met = wide_simhash._met
+    monkeypatch.setattr(wide_simhash, "_met", lambda *given: (out := plain_met(*given), made.append(out.count()))[0])
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = wide_simhash.drop_similar(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(reach(len(texts), pairs)))
+    assert len(made) == 4 and sum(made[1:]) < len(texts), made
